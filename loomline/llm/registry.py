@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import line_dedup, sharding
+from . import bpe, line_dedup, sharding
 
 QUERIES = {
-    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op1_bpe_speculate": bpe.op1_bpe_speculate,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
 ORACLE_SQL = {
