@@ -1,13 +1,15 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, line_dedup, sharding
+from . import bpe, line_dedup, sharding, warc
 
 QUERIES = {
     "op1_bpe_speculate": bpe.op1_bpe_speculate,
+    "op2_warc_round_trip": warc.op2_warc_round_trip,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_warc_round_trip": warc.OP2_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
