@@ -87,12 +87,12 @@ class _Roller:
 
 
 def with_revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(key, url, payload) with payload_bytes, payload_digest and refers_to (null for a response).
+    """(key, payload_bytes, payload_digest, refers_to) of (key, url, payload); refers_to is null for a response.
 
     One row per digest is made by a partial aggregation; the join is an ordinary one that can split
     a partition of many copies.
     """
-    rows = records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    rows = records.select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     first = rows.where(F.col("payload_bytes") >= min_revisit).groupBy(F.col("payload_digest").alias("__digest")).agg(F.min("key").alias("__first"), F.count("*").alias("__n"))
     first = first.where(F.col("__n") > 1).select("__digest", "__first")
     rows = rows.join(first, rows["payload_digest"] == first["__digest"], "left")
@@ -114,16 +114,22 @@ def write_warc(records: DataFrame, uri: str, date: datetime.datetime = datetime.
     bounds, stamp = shard_bounds(records, shard_bytes), date.strftime("%Y-%m-%dT%H:%M:%SZ")
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    rows = with_revisits(records, min_revisit).withColumn("shard", common.range_index(F.col("key"), bounds))
-    # revisits do not carry their payload to the writer
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    rows = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key")
+    shard = common.range_index(F.col("key"), bounds)
+    marks = with_revisits(records, min_revisit).where(F.col("refers_to").isNotNull()).select(shard.alias("shard"), "key", "refers_to")
+    # payloads are shuffled once; a revisit's mark sorts just before its record
+    rows = records.select(shard.alias("shard"), "key", F.lit(None).cast("long").alias("refers_to"), "url", "payload", F.sha2("payload", 256).alias("payload_digest"))
+    rows = rows.unionByName(marks, allowMissingColumns=True)
+    rows = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key", F.col("refers_to").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, files = _Roller(uri, file_bytes), []
+        roller, files, mark = _Roller(uri, file_bytes), [], None
         for batch in batches:
             for r in batch.to_pylist():
-                data = record_bytes(r["key"], r["url"], r["payload"] or b"", r["payload_digest"], r["payload_bytes"], r["refers_to"], stamp)
+                if r["refers_to"] is not None:
+                    mark = (r["key"], r["refers_to"])
+                    continue
+                refers_to = mark[1] if mark and mark[0] == r["key"] else None
+                data = record_bytes(r["key"], r["url"], r["payload"], r["payload_digest"], len(r["payload"]), refers_to, stamp)
                 files += roller.put(r["shard"], r["key"], deflated(data, level))
         if roller.out is not None:
             files.append(roller.close())
