@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, embedding, html_extract, line_dedup, quality, sharding, token_files, warc
+from . import bpe, embedding, html_extract, jaccard_join, line_dedup, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_bpe_speculate": bpe.op1_bpe_speculate,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_huffman_ids": token_files.op6_huffman_ids,
     "op7_gbdt_quality": quality.op7_gbdt_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_jaccard_pivots": jaccard_join.op9_jaccard_pivots,
 }
 
 ORACLE_SQL = {
     "op2_warc_round_trip": warc.OP2_SQL,
     "op5_pivot_range_join": embedding.OP5_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_jaccard_pivots": jaccard_join.OP9_SQL,
 }
