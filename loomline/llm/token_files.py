@@ -16,7 +16,9 @@ stored each; very long texts span blocks like any other; further columns are not
 
 from __future__ import annotations
 
+import array
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -34,9 +36,11 @@ from pyspark.sql import types as T
 from . import common
 from .bpe import byte_chars
 
-BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 4_000_000, b"LTOK1\0\0\0"
+BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 1_000_000, b"LTOK1\0\0\0"
 _HEAD = struct.Struct("<8sIQQQ")
-_CACHE = 500_000
+_CACHE = 400_000
+#: A space that does not stand before a visible character; the places before those that do.
+_RUNS, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -154,6 +158,18 @@ def _table(lengths: bytes) -> tuple[np.ndarray, int]:
     return decode_table(np.frombuffer(lengths, "u1"))
 
 
+class _Spaced(dict):
+    """ids of a piece that follows a space, made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.make(" " + piece)
+        return got
+
+
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE over words, which are remembered.
 
@@ -173,21 +189,9 @@ class LibraryEncoder:
         self.lib.no_padding()
         self.model, self.chars, self.words = self.lib.model, byte_chars(), regex.compile(self.WORDS)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
         self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            elif out:
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out
+        self.spaced = _Spaced(self._piece)
 
     def _word(self, w: str) -> bytes:
         got = self.known.get(w)
@@ -195,29 +199,27 @@ class LibraryEncoder:
             if len(self.known) > _CACHE:
                 self.known.clear()
             ids = [t.id for t in self.model.tokenize("".join([self.chars[b] for b in w.encode("utf-8")]))]
-            got = self.known[w] = np.array(ids, dtype="<u4").tobytes()
+            got = self.known[w] = array.array(self.kind, ids).tobytes()
         return got
 
     def _piece(self, p: str) -> bytes:
-        body = p[1:] if p[0] == " " else p
-        if body.isalpha():
+        if (p[1:] if p[:1] == " " else p).isalpha():
             return self._word(p)
         return b"".join(map(self._word, self.words.findall(p)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, seen = [], self.seen
+        """Ids of each text as integers of ``kind``."""
+        out, spaced, odd = [], self.spaced, _RUNS.search
         for text in texts:
+            if len(spaced) > _CACHE:
+                spaced.clear()
             if any(s in text for s in self.special):
-                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                continue
-            if len(seen) > _CACHE:
-                seen.clear()
-            cut = self.pieces(text)
-            for p in set(cut):
-                if p not in seen:
-                    seen[p] = self._piece(p)
-            out.append(b"".join(map(seen.__getitem__, cut)))
+                out.append(array.array(self.kind, self.lib.encode(text, add_special_tokens=False).ids).tobytes())
+            elif odd(text):
+                out.append(b"".join([self._piece(p) for p in _CUTS.split(text)]))
+            else:
+                first, *rest = text.split(" ")
+                out.append(self._piece(first) + b"".join(map(spaced.__getitem__, rest)))
         return out
 
 
@@ -226,56 +228,76 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-_IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+_IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 _COUNT = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.LongType())])
 _FILE = T.StructType([T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_bytes", T.LongType())])
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFrame:
-    """(part, doc_id, n_tokens, ids), range-sorted by doc_id; part grows with doc_id."""
+def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int, file_ids: int) -> DataFrame:
+    """Chunks of about ``file_ids`` ids, range-sorted by doc_id.
+
+    part grows with doc_id; seq and before count the chunks and ids of the part so far; docs (i64),
+    sizes (u32) and ids (u16, or u32 for large vocabularies) are little-endian arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, end = library_encoder(path), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
+        enc, part = library_encoder(path), TaskContext.get().partitionId()
+        wide, end = np.dtype(enc.kind).itemsize, array.array(enc.kind, [end_id]).tobytes()
+        docs, ids, seq, before = [], [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            sizes = np.array([len(i) // wide for i in ids], dtype="<u4")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([np.array(docs, dtype="<i8").tobytes()]), pa.array([sizes.tobytes()]), pa.array([b"".join(ids)])], names=_IDS.names)
+
+        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                cut = batch.slice(at, 1000)
-                ids = [i + end for i in enc.encode(cut.column(1).to_pylist())]
-                n = [len(i) // 4 for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), cut.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=_IDS.names)
+            for at in range(0, batch.num_rows, 500):
+                cut = batch.slice(at, 500)
+                docs += cut.column(0).to_pylist()
+                ids += [i + end for i in enc.encode(cut.column(1).to_pylist())]
+                held = sum(map(len, ids)) // wide
+                if held >= file_ids:
+                    yield chunk()
+                    docs, ids, seq, before = [], [], seq + 1, before + held
+        if docs:
+            yield chunk()
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_of(F.col("text")).alias("text"))
     return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _IDS)
 
 
+def _ids(chunk: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = chunk.as_buffer()
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
 def count_ids(encoded: DataFrame, width: int) -> DataFrame:
     """(id, n): each task counts in one array, then sums are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=width) if len(ids.as_buffer()) > 4 * width else 0
-                if len(ids.as_buffer()) <= 4 * width:
-                    np.add.at(total, np.frombuffer(ids.as_buffer(), "<u4"), 1)
+            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total += np.bincount(_ids(ids, n), minlength=width)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=_COUNT.names)
 
-    return encoded.select("ids").mapInArrow(run, _COUNT).groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("n_ids", "ids").mapInArrow(run, _COUNT).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, width: int, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write token files under ``uri``; the manifest, also at ``uri``/manifest."""
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encoded = common.stage(encode_documents(docs, path, end_id, parts), "ids")
+    encoded = common.stage(encode_documents(docs, path, end_id, parts, file_ids), "ids")
     counts = np.zeros(width, dtype=np.int64)
     for r in count_ids(encoded, width).collect():  # at most one row per id of the vocabulary
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     starts, at = {}, 0
-    for r in encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row per part
+    for r in encoded.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per part
         starts[r["part"]] = at
         at += r["n"]
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(uri)
@@ -283,41 +305,21 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(uri)
-        files, state = [], {"part": None, "seq": 0, "at": 0}
-        held: list[tuple[int, np.ndarray]] = []
-
-        def flush() -> None:
-            if not held:
-                return
-            ids, sizes = np.concatenate([x for _, x in held]), np.array([len(x) for _, x in held])
-            data = file_bytes(np.array([d for d, _ in held]), sizes, ids, state["at"], lengths, codes)
-            name = f"part-{state['part']:06d}-{state['seq']:05d}.ltok"
-            temp = f"{folder}/_tmp-{name}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(temp, compression=None) as f:
-                f.write(data)
-            fs.move(temp, f"{folder}/{name}")
-            files.append((name, len(held), len(ids), state["at"], len(data)))
-            state["at"] += len(ids)
-            state["seq"] += 1
-            held.clear()
-
-        size = 0
+        files = []
         for batch in batches:
-            for part, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if part != state["part"]:
-                    flush()
-                    size = 0
-                    state.update(part=part, seq=0, at=starts[part])
-                held.append((doc, np.frombuffer(ids.as_buffer(), "<u4").copy()))
-                size += len(held[-1][1])
-                if size >= file_ids:
-                    flush()
-                    size = 0
-        flush()
+            for r in range(batch.num_rows):
+                part, seq, before, n = (batch.column(i)[r].as_py() for i in range(4))
+                doc_ids, sizes = np.frombuffer(batch.column(4)[r].as_buffer(), "<i8"), np.frombuffer(batch.column(5)[r].as_buffer(), "<u4")
+                data = file_bytes(doc_ids, sizes, _ids(batch.column(6)[r], n), starts[part] + before, lengths, codes)
+                name = f"part-{part:06d}-{seq:05d}.ltok"
+                temp = f"{folder}/_tmp-{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(temp, compression=None) as f:
+                    f.write(data)
+                fs.move(temp, f"{folder}/{name}")
+                files.append((name, len(doc_ids), n, starts[part] + before, len(data)))
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate([pa.string()] + [pa.int64()] * 4)], names=_FILE.names)
 
-    rows = encoded.select("part", "doc_id", "ids").repartitionByRange(parts, "part").sortWithinPartitions("part", "doc_id")
-    rows.mapInArrow(run, _FILE).write.parquet(f"{uri}/_manifest")
+    encoded.mapInArrow(run, _FILE).write.parquet(f"{uri}/_manifest")
     common.rename(spark, f"{uri}/_manifest", f"{uri}/manifest")
     common.release(encoded)
     return spark.read.schema(_FILE).parquet(f"{uri}/manifest")
