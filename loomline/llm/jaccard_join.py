@@ -207,7 +207,7 @@ def join_sets(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_CELL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
+_CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
 
 def _sketch(words: int, percent: int):
@@ -299,14 +299,14 @@ def join_small(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def voronoi(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, a, pivot, home): the pivots that each document links with (home null) and the regions it goes to."""
+    """(region, doc_id, a, pivot, home): the pivots that each document links with (home null) and the regions it goes to."""
     radius = 1 - percent / 100 + 1e-12
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, docs = left.column("doc_id").to_numpy(), [np.frombuffer(x, np.uint64) for x in left.column("shingles").to_pylist()]
         p_ids, p_sets = right.column("doc_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
         if not docs or not p_sets:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.bool_())], names=_CELL.names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.bool_())], names=_CELL.names)
         index = _Index(docs + p_sets)
         m, out = len(docs), ([], [], [], [])
         dist = np.zeros((len(p_sets), m))
@@ -327,7 +327,7 @@ def voronoi(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
         for k in range(len(p_ids)):
             which = np.flatnonzero(near[k])
             put(which, None, k, home[which] == k)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], names=_CELL.names)
+        return pa.table([pa.array([key[0].as_py()] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], names=_CELL.names)
 
     return rows.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(run, _CELL)
 
@@ -373,10 +373,12 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         edges = common.stage(cells.where("home IS NULL").select(F.col("doc_id").alias("a"), F.col("a").alias("b")), "links")
         found.append(edges)
         label = components(edges).withColumnRenamed("node", "doc_id")
-        region = F.xxhash64("region", "pivot")
-        cells = cells.where("home IS NOT NULL").select("doc_id", "pivot")
-        nxt = large.select("region", "doc_id", "shingles", "label").join(cells, "doc_id").join(label, "doc_id", "left")
+        region = F.xxhash64("parent", "pivot")
+        cells = cells.where("home IS NOT NULL").select(F.col("region").alias("parent"), "doc_id", "pivot")
+        own = large.select(F.col("region").alias("parent"), "doc_id", "shingles", "label")
+        nxt = own.join(cells, ["parent", "doc_id"]).join(label, "doc_id", "left")
         nxt = nxt.select(region.alias("region"), "doc_id", "shingles", F.coalesce("component", "label").alias("label"))
+        nxt = common.stage(nxt, "next")
         open_ = nxt.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
         rows = common.stage(nxt.join(open_, "region", "left_semi"), "cells")
     return found
