@@ -304,7 +304,7 @@ def voronoi(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, docs = left.column("doc_id").to_numpy(), [np.frombuffer(x, np.uint64) for x in left.column("shingles").to_pylist()]
-        p_ids, p_sets = right.column("doc_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
+        p_ids, p_sets = right.column("p_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in right.column("p_set").to_pylist()]
         if not docs or not p_sets:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.bool_())], names=_CELL.names)
         index = _Index(docs + p_sets)
@@ -329,7 +329,7 @@ def voronoi(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
             put(which, None, k, home[which] == k)
         return pa.table([pa.array([key[0].as_py()] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], names=_CELL.names)
 
-    return rows.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(run, _CELL)
+    return rows.groupBy("region", "part").cogroup(pivots.groupBy("p_region", "p_part")).applyInArrow(run, _CELL)
 
 
 def join_blocks(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +368,7 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         drawn = large.groupBy("region", "part").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(level + 100)).alias("h"), "doc_id")).alias("p"))
         few = drawn.groupBy("region").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("ps"), F.count("*").alias("parts"))
         chosen = few.select("region", "parts", F.explode("ps.doc_id").alias("doc_id")).join(large.select("region", "doc_id", "shingles"), ["region", "doc_id"])
-        pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).select("region", "part", "doc_id", "shingles")
+        pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).select(F.col("region").alias("p_region"), F.col("part").alias("p_part"), F.col("doc_id").alias("p_id"), F.col("shingles").alias("p_set"))
         cells = common.stage(voronoi(large.select("region", "part", "doc_id", "shingles"), pivots, percent), "voronoi")
         edges = common.stage(cells.where("home IS NULL").select(F.col("doc_id").alias("a"), F.col("a").alias("b")), "links")
         found.append(edges)
