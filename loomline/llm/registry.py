@@ -1,12 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, embedding, html_extract, jaccard_join, line_dedup, quality, sharding, token_files, warc
+from . import bpe, decontaminate, embedding, html_extract, jaccard_join, line_dedup, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_bpe_speculate": bpe.op1_bpe_speculate,
     "op2_warc_round_trip": warc.op2_warc_round_trip,
     "op10_lstm_extract": html_extract.op10_lstm_extract,
     "op3_sampled_splitters": sharding.op3_sampled_splitters,
+    "op4_qgram_lemma": decontaminate.op4_qgram_lemma,
     "op5_pivot_range_join": embedding.op5_pivot_range_join,
     "op6_huffman_ids": token_files.op6_huffman_ids,
     "op7_gbdt_quality": quality.op7_gbdt_quality,
