@@ -38,7 +38,7 @@ from .bpe import byte_chars
 
 BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 1_000_000, b"LTOK1\0\0\0"
 _HEAD = struct.Struct("<8sIQQQ")
-_CACHE = 400_000
+_CACHE = 900_000
 #: A space that does not stand before a visible character; the places before those that do.
 _RUNS, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
@@ -187,7 +187,8 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model, self.chars, self.words = self.lib.model, byte_chars(), regex.compile(self.WORDS)
+        self.model, self.words = self.lib.model, regex.compile(self.WORDS)
+        self.chars = dict(enumerate(byte_chars()))
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
         self.known: dict[str, bytes] = {}
@@ -198,13 +199,16 @@ class LibraryEncoder:
         if got is None:
             if len(self.known) > _CACHE:
                 self.known.clear()
-            ids = [t.id for t in self.model.tokenize("".join([self.chars[b] for b in w.encode("utf-8")]))]
+            ids = [t.id for t in self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(self.chars))]
             got = self.known[w] = array.array(self.kind, ids).tobytes()
         return got
 
     def _piece(self, p: str) -> bytes:
-        if (p[1:] if p[:1] == " " else p).isalpha():
+        body = p[1:] if p[:1] == " " else p
+        if body.isalpha():
             return self._word(p)
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return self._word(p[:-1]) + self._word(p[-1])
         return b"".join(map(self._word, self.words.findall(p)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
