@@ -3,9 +3,11 @@
 Unrelated documents are all at distance 1 from each other, so pivots cannot part them. Documents
 are therefore first routed by keys that no linked pair can miss: at Jaccard similarity t, sets
 of sizes a and b differ in at most (a + b)(1 - t)/(1 + t) shingles, so if shingles are dealt by
-hash into more classes than that, some class is equal in both. The hash of each class is a key
-(small sets use their smallest shingles instead, of which linked sets share one). Documents that
-share a key, directly or through others, form a region; no link leaves a region.
+hash into more classes than that, some class is equal in both, and stays so if shingles that are
+common in the corpus are left out of all sets. The hash of each class is a key; sets with too many
+empty classes also use their first shingles, rare ones first, of which linked sets share one.
+Documents that share a key, directly or through others, form a region; no link leaves a region.
+Which shingles count as common only decides how much work there is, not the result.
 
 Within a region pivots take over. The distances to a pivot link what is near it, and by the
 triangle inequality a pair can only link if its distances to each pivot differ by no more than
@@ -39,10 +41,10 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Documents and shingles that one task joins at most, pivots of a large region, and levels of splitting.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS = 6_000, 4_000_000, 16, 4
-#: Sets up to this size are routed by their smallest shingles; bits of the filter of routed ids.
-SMALL, FILTER_BITS = 48, 1 << 23
+#: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a document that are too many.
+REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 6_000, 4_000_000, 16, 4, 3
+#: Bits of the filter of routed ids and of common shingles; common shingles wanted at most; least count of one.
+FILTER_BITS, COMMON_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 25, 1 << 21, 8
 _WORDS_KEPT = 1_000_000
 
 
@@ -93,23 +95,22 @@ class Routes:
         return self.starts[i]
 
     @functools.lru_cache(maxsize=100_000)  # noqa: B019
-    def group(self, g: int) -> tuple[int, int, int]:
-        """(classes, classes that may be empty, largest size of a smaller partner)."""
+    def group(self, g: int) -> tuple[int, int]:
+        """(classes, of which so many may be empty in a set that needs no further keys)."""
         top = self.start(g + 1) - 1
-        both = top + top * 100 // self.percent
-        differ = both * (100 - self.percent) // (100 + self.percent)
-        spare, size = 0, self.start(g)
-        while spare < 64:
+        differ = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        best, size = (1.0, 0), self.start(g)
+        for spare in range(13 if size < 200 else 40):
             classes = differ + 1 + spare
             mean = classes * math.exp(-size / classes)
             tail, term = 1.0, math.exp(-mean)
             for k in range(spare + 1):
                 tail -= term
                 term *= mean / (k + 1)
-            if tail < 1e-7:
-                break
-            spare += 1
-        return differ + 1 + spare, spare, top
+            if differ == 0 or tail < 1e-4:
+                return classes, spare
+            best = min(best, (tail, spare))
+        return differ + 1 + best[1], best[1]
 
     def interval(self, n: int) -> int:
         i = 0
@@ -117,27 +118,28 @@ class Routes:
             i += 1
         return i
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray, common_bits: np.ndarray) -> np.ndarray:
         n, out = len(s), []
+        slot = s >> np.uint64(64 - COMMON_BITS.bit_length() + 1)
+        often = (common_bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        rare = s[~often]
         i = self.interval(n)
         for g in (i, i - 1) if i else (i,):
-            classes, spare, top = self.group(g)
+            classes, spare = self.group(g)
             salt = np.uint64((g + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            if top <= SMALL:
-                # the smallest hashes: any two sets that link share one of these
-                keep = n - -(-self.percent * n // 100) + 1
-                out.append(_mix(s[:keep] + salt))
-                continue
-            mixed = _mix(s ^ salt)
-            at = (mixed % np.uint64(classes)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-            sums = np.add.reduceat(_mix(mixed[order] + np.uint64(1)), first)
-            got = at[order][first]
+            got = np.zeros(0, np.int64)
+            if len(rare):
+                mixed = _mix(rare ^ salt)
+                at = (mixed % np.uint64(classes)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                at = at[order]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                got = at[first]
+                out.append(_mix(np.add.reduceat(_mix(mixed[order] + np.uint64(1)), first) + _mix(got.astype(np.uint64) + salt)))
             if classes - len(got) > spare:
-                empty = np.setdiff1d(np.arange(classes), got)
-                got, sums = np.r_[got, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-            out.append(_mix(sums + _mix(got.astype(np.uint64) + salt)))
+                # of two sets that link and both come here, the first shingles of one order meet
+                keep = n - -(-self.percent * n // 100) + 1
+                out.append(_mix(np.r_[rare, s[often]][:keep] + ~salt))
         return np.unique(np.concatenate(out))
 
 
@@ -210,9 +212,59 @@ _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 _CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
 
-def _sketch(words: int, percent: int):
+def common_shingles(docs: DataFrame, words: int, held: int = 4_000_000) -> bytes:
+    """A bit map of the hashes of shingles that recur: COMMON_BITS bits whatever the input.
+
+    Tasks count about ``held`` shingles at a time and pass on those they met twice; the least count is
+    raised until no more than COMMON_MOST are left.
+    """
+    schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("n", T.LongType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes = Routes(percent)
+        parts, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            again = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(s[again].view(np.int64)), pa.array(n[again])], names=schema.names)
+
+        for batch in batches:
+            for text in batch.column(0):
+                parts.append(shingles(text.as_py(), words))
+                size += len(parts[-1])
+                if size >= held:
+                    yield counted()
+                    parts, size = [], 0
+        yield counted()
+
+    counts = docs.select("text").mapInArrow(run, schema).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    counts = common.stage(counts, "common")
+    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("k")).collect()  # one row per quarter power of two
+    least, total = 1 << 62, 0
+    for r in steps:
+        total += r["c"]
+        if total > COMMON_MOST:
+            break
+        least = r["n"]
+    shift = 64 - COMMON_BITS.bit_length() + 1
+    slots = counts.where(F.col("n") >= least).select(F.shiftrightunsigned("s", shift).alias("s"))
+    out = _bit_map(slots, COMMON_BITS)
+    common.release(counts)
+    return out
+
+
+def _bit_map(slots: DataFrame, bits: int) -> bytes:
+    """A map of ``bits`` bits with those in column s set; one row of 4 KB for each 32,768 bits."""
+    maps = slots.groupBy(F.expr("s div 32768").alias("k")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("bits")).collect()
+    out = bytearray(bits // 8)
+    for r in maps:
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def _sketch(words: int, percent: int, often):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes, common_bits = Routes(percent), np.frombuffer(often.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
@@ -223,7 +275,7 @@ def _sketch(words: int, percent: int):
                     n.append(len(s))
                     f1.append((f & (1 << 64) - 1) - (1 << 63))
                     f2.append((f >> 64) - (1 << 63))
-                    keys.append(routes.keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    keys.append(routes.keys(s, common_bits).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=_DOC.names)
 
     return run
@@ -235,12 +287,7 @@ def _id_slot(col):
 
 def id_filter(ids: DataFrame, col: str) -> bytes:
     """A bit map of FILTER_BITS bits of hashed ids: 1 MB whatever the input."""
-    slots = ids.select(_id_slot(F.col(col)).alias("s"))
-    maps = slots.groupBy(F.expr("s div 32768").alias("k")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8)
-    for r in maps:
-        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["bits"]
-    return bytes(out)
+    return _bit_map(ids.select(_id_slot(F.col(col)).alias("s")), FILTER_BITS)
 
 
 def region_sets(docs: DataFrame, bits: bytes, words: int) -> DataFrame:
@@ -372,6 +419,10 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         cells = common.stage(voronoi(large.select("region", "part", "doc_id", "shingles"), pivots, percent), "voronoi")
         edges = common.stage(cells.where("home IS NULL").select(F.col("doc_id").alias("a"), F.col("a").alias("b")), "links")
         found.append(edges)
+        if level < LEVELS and cells.where("home IS NOT NULL").count() > SPREAD * large.count():
+            # the pivots do not part these documents
+            found.append(common.stage(join_blocks(large.drop("parts"), big, percent), "links"))
+            break
         label = components(edges).withColumnRenamed("node", "doc_id")
         region = F.xxhash64("parent", "pivot")
         cells = cells.where("home IS NOT NULL").select(F.col("region").alias("parent"), "doc_id", "pivot")
@@ -387,7 +438,8 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, max_docs: int = REGION_DOCS, max_shingles: int = REGION_SHINGLES) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id it is connected with)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = common.stage(docs.mapInArrow(_sketch(words, percent), _DOC), "sketch")
+    often = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # COMMON_BITS / 8 bytes
+    sketch = common.stage(docs.mapInArrow(_sketch(words, percent, often), _DOC), "sketch")
     classes = sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = common.stage(classes, "classes")
     reps = sketch.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
