@@ -148,7 +148,7 @@ def _restore(v: float, digits: int) -> float:
     if digits == 0:
         return math.copysign(float(f"1e{first + 1}"), v)
     places = digits - first - 1
-    if not 0 <= places <= 340:
+    if not 0 <= places <= 300:
         raise corrupted("decimal places")
     scale = 10.0**places
     return (math.floor(v * scale) if v < 0 else math.ceil(v * scale)) / scale
