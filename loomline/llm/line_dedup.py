@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    common_keys = runs.compact().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
+    # staged, so that the join has its exchanges to itself and a very common line's partition can be split
+    common_keys = common.stage(runs.compact().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "common")
     gone = slim.join(common_keys, KEY).where(F.col("doc_id") != F.col("last_doc"))
     gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
     extra = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
