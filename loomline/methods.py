@@ -43,6 +43,10 @@ class Method(IntEnum):
     Elf = 26
 
 
+def max_method_index() -> int:
+    return int(max(Method))
+
+
 #: Error names and their codes.
 ERROR_CODES = {"UnknownMethod": 1, "UnsupportedInput": 2, "InvalidConfiguration": 3, "CorruptedCompressedData": 4, "ItemNotFound": 5, "EmptyConvexHull": 6, "EmptyQueue": 7, "ByteStreamError": 8, "UnsupportedMethod": 9, "OutOfMemory": 10, "WriteFailed": 11}
 
