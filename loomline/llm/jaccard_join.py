@@ -42,10 +42,10 @@ from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a document that are too many.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 6_000, 4_000_000, 16, 4, 3
+REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 6_000, 2_500_000, 16, 4, 3
 #: Bits of the filter of routed ids and of common shingles; common shingles wanted at most; least count of one.
 FILTER_BITS, COMMON_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 25, 1 << 21, 8
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 250_000
 
 
 class _WordHash(dict):
@@ -212,7 +212,7 @@ _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 _CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
 
-def common_shingles(docs: DataFrame, words: int, held: int = 4_000_000) -> bytes:
+def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> bytes:
     """A bit map of the hashes of shingles that recur: COMMON_BITS bits whatever the input.
 
     Tasks count about ``held`` shingles at a time and pass on those they met twice; the least count is
