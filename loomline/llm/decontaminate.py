@@ -3,9 +3,9 @@
 A window of W characters of an item that lies in a document with at most E edits shares at least
 W + 1 - q(E + 1) q-grams with it, all within a band of E + 1 neighbouring diagonals. Shared q-grams
 are therefore counted in bands of 2(E + 1) diagonals that overlap by half, so that each window's
-diagonals lie within one band. Bands whose densest stretch of W characters reaches the count are
-regions; each is verified by banded alignment (the item's window against the document, free ends in
-the document).
+diagonals lie within one band. Each window of an item whose grams in a band reach the count is a
+region; it is verified by banded alignment (the item's window against the document, free ends in
+the document), unless its count shows that it has no fewer edits than the best so far.
 
 Texts are compared in a plain form: lower case, each run of white space one space. An item shorter
 than W is its own window, with edits in proportion; items under q + 8 characters are sought whole,
@@ -86,6 +86,29 @@ def banded_edits(pattern: np.ndarray, text: np.ndarray, limit: int) -> tuple[int
     return best
 
 
+def fewest_edits(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Edits of the best place of ``pattern`` in ``text`` with free ends in the text: columns as bit vectors (Myers)."""
+    m = len(pattern)
+    masks: dict[int, int] = {}
+    for i, c in enumerate(pattern.tolist()):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    more, less, cost, best = full, 0, m, m
+    for c in text.tolist():
+        eq = masks.get(c, 0)
+        x = eq | less
+        d = (((eq & more) + more) ^ more) | eq
+        up, down = less | (full & ~(d | more)), more & d
+        if up & top:
+            cost += 1
+        elif down & top:
+            cost -= 1
+            best = min(best, cost)
+        up, down = up << 1, down << 1
+        more, less = (down | ~(x | up)) & full, up & x
+    return best
+
+
 @dataclass
 class Index:
     """Sorted q-grams of a slice of the benchmark with item and position, and a bit map of them."""
@@ -150,38 +173,42 @@ class Index:
         return out
 
     def _item(self, codes: np.ndarray, k: int, doc_at: np.ndarray, pos: np.ndarray, w: int, e: int, least: int) -> tuple[int, int, int] | None:
-        diag, step, best = doc_at - pos, e + 1, None
+        """(edits, start, end) of the window of item k with the fewest edits, if any has at most ``e``.
+
+        Every window whose shared grams within a band reach ``least`` is aligned, those with the most
+        grams first, but for windows whose grams show that they have no fewer edits than the best.
+        """
+        text, step, best = self.items[k], e + 1, None
+        diag, whole = doc_at - pos, w - self.q + 1
         for shift in (0, step):
             band = (diag + shift) // (2 * step)
-            order = np.lexsort((doc_at, band))
+            order = np.argsort(band, kind="stable")
             edge = np.flatnonzero(np.r_[True, band[order][1:] != band[order][:-1], True])
             for a, b in zip(edge[:-1], edge[1:]):
                 if b - a < least:
                     continue
-                place, own = doc_at[order[a:b]], pos[order[a:b]]
-                # distinct places of the text within any stretch of a window (and its edits)
-                u, first = np.unique(place, return_index=True)
-                if len(u) < least:
+                # the band's shared grams in the window at each position of the item
+                seen = np.zeros(len(text) - self.q + 2, dtype=np.int64)
+                seen[pos[order[a:b]] + 1] = 1
+                seen = seen.cumsum()
+                count = seen[whole:] - seen[: len(seen) - whole]
+                heads = np.flatnonzero(count >= least)
+                if not len(heads):
                     continue
-                dense = np.flatnonzero(u[least - 1 :] - u[: len(u) - least + 1] <= w + e - self.q)
-                last_end = -1
-                for i in dense:
-                    if u[i] < last_end:
+                first = int(band[order[a]]) * 2 * step - shift
+                for head in heads[np.argsort(-count[heads], kind="stable")].tolist():
+                    # an edit spoils at most q grams of a window
+                    if best is not None and -((count[head] - whole) // self.q) >= best[0]:
+                        break
+                    start = max(0, head + first)
+                    region = codes[start : head + first + w + 2 * step]
+                    pattern = text[head : head + w]
+                    if fewest_edits(pattern, region) > (e if best is None else best[0] - 1):
                         continue
-                    p = int(own[first[i]])
-                    # the window of the item that this stretch starts in, moved inside the item
-                    head = max(0, min(p, len(self.items[k]) - w))
-                    start = max(0, int(u[i]) - (p - head) - 2 * step)
-                    region = codes[start : int(u[i]) - (p - head) + w + 2 * step]
-                    pattern = self.items[k][head : head + w]
-                    s = region.tobytes().find(pattern.tobytes())
-                    edits, s, t = (0, s // 4, s // 4 + w) if s >= 0 and s % 4 == 0 else banded_edits(pattern, region, e)
-                    if edits <= e:
-                        last_end = start + t
-                        got = (edits, start + s, start + t)
-                        best = got if best is None or got < best else best
-                        if not edits:
-                            return best
+                    edits, s, t = banded_edits(pattern, region, e)
+                    best = (edits, start + s, start + t)
+                    if not edits:
+                        return best
         return best
 
 

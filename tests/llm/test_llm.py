@@ -215,6 +215,46 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def sellers(p, t):
+    row = list(range(len(p) + 1))
+    best = row[-1]
+    for c in t:
+        last, row = row, [0]
+        for i, x in enumerate(p):
+            row.append(min(last[i] + (x != c), last[i + 1] + 1, row[i] + 1))
+        best = min(best, row[-1])
+    return best
+
+
+def test_fewest_edits_is_edit_distance():
+    r = random.Random(8)
+    for _ in range(300):
+        p, t = ("".join(r.choice("abc") for _ in range(r.randint(lo, 90))) for lo in (1, 0))
+        assert decontaminate.fewest_edits(decontaminate.codes_of(p), decontaminate.codes_of(t)) == sellers(p, t)
+
+
+def test_decontamination_finds_windows_edited_at_their_start():
+    r = random.Random(4)
+    item = "".join(r.choice("abcdefghij ") for _ in range(130)).replace("  ", "xy").strip()
+    index = decontaminate.Index.build([(7, item)], decontaminate.Q, decontaminate.WINDOW, decontaminate.EDIT_SHARE)
+    clean = lambda n: "".join(r.choice("klmnopqr") for _ in range(n))
+    shifts = [(3, 11, 19), (0, 1, 2, 3, 4, 5), (72,), ()] + [tuple(r.sample(range(80), r.randint(1, 9))) for _ in range(12)]
+    found = 0
+    for places in shifts:
+        for s in (0, 20, len(item) - 80):
+            passage = list(item[s : s + 80])
+            for x in places:
+                passage[x] = r.choice(["", passage[x] + "z", "z"]) if len(places) > 3 else "z"
+            doc = clean(60) + "".join(passage) + clean(60)
+            want = min(sellers(item[h : h + 80], doc) for h in range(len(item) - 79))
+            got = index.search(decontaminate.codes_of(doc))
+            assert [(i, e) for i, e, *_ in got] == ([(7, want)] if want <= 6 else []), (places, s)
+            for _, e, a, b in got:
+                assert min(sellers(item[h : h + 80], doc[a:b]) for h in range(len(item) - 79)) == e
+                found += 1
+    assert 15 < found < 3 * len(shifts)
+
+
 def test_banded_edits_is_edit_distance():
     r = random.Random(1)
     for _ in range(60):
