@@ -15,6 +15,7 @@ a result's name.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,14 +57,13 @@ def statistics(texts: list[str]) -> np.ndarray:
         words, lines = text.split(), text.split("\n")
         sizes = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
         m = max(1, len(words))
-        distinct = set(words)
+        distinct = Counter(words)
         p = counts[counts > 0] / n
         odd = sum(1 for w in distinct if not w.strip(".,").isalpha())
         caps = sum(1 for w in distinct if len(w) > 2 and w.isupper())
         stats = [np.log1p(len(text)), np.log1p(len(words)), np.log1p(len(lines)), sizes.mean(), (sizes > 12).mean(), (sizes < 4).mean(), len(distinct) / m, len(set(lines)) / len(lines), np.log1p(len(text) / len(lines))]
         full = sum(1 for x in lines if x.rstrip()[-1:] in (".", "!", "?")) / len(lines)
-        first = max(distinct, key=words.count, default="") if 0 < len(words) <= 64 else ""
-        out[i] = [*stats, *share, odd / max(1, len(distinct)), caps / max(1, len(distinct)), full, words.count(first) / m if first else 0.0, -(p * np.log2(p)).sum()]
+        out[i] = [*stats, *share, odd / max(1, len(distinct)), caps / max(1, len(distinct)), full, max(distinct.values(), default=0) / m, -(p * np.log2(p)).sum()]
     return out
 
 

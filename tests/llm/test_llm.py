@@ -309,6 +309,14 @@ def test_quality(spark, empty):
     assert quality.score(empty, forest).count() == 0
 
 
+def test_commonest_word_of_texts_of_any_length():
+    at = quality.FEATURES.index("commonest_word")
+    for n in (0, 1, 63, 64, 65, 1000):
+        words = [x for i in range(n) for x in (f"w{i}", "same")]
+        assert quality.statistics([" ".join(words)])[0, at] == (0.5 if n else 0)
+    assert quality.statistics(["   \n "])[0, at] == 0
+
+
 def test_html(spark):
     good = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>A &amp; B</h1><p>First  line<br>goes\non.</p><p>Second one.</p></article><footer>&copy; me</footer></body></html>"
     rows = [(1, "u", good), (2, "u", None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (5, "u", good[:-20]), (6, "u", good.replace("<p>Second one.</p>", "<p>" + "Many words here. " * 20000 + "</p>"))]
