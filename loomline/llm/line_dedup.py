@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps, for each line key, in how many documents it was seen and the largest
-document that holds it. Each batch of documents becomes one sorted run of level 0; a level
-that reaches ``fanout`` runs is merged into one run of the next level. A batch is
-merge-anti-joined with the runs to learn which of its keys are new.
+document that holds it. Each batch of documents is merge-anti-joined with the runs: its new keys
+become one sorted run of level 0, so that a key lies in one run only, and its known keys
+go beside it as updates of count and largest document. A level that reaches ``fanout`` runs is
+merged into one run of the next level, and so are their updates.
 
 Defined results: a null or empty text is one empty line; equal documents count once each;
 keys shorter than ``min_chars`` code points never drop; ties cannot occur as document ids are
@@ -36,15 +37,18 @@ def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class LineRuns:
-    """Sorted runs (h1, h2, n_docs, last_doc) in levels, in the shared folder."""
+    """Sorted runs (h1, h2, n_docs, last_doc) in levels, in the shared folder, each with its updates of keys of earlier runs."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[DataFrame, DataFrame | None]]] = []
         self.merges = 0
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [run for level in self.levels for run, _ in level]
+
+    def updates(self) -> list[DataFrame]:
+        return [known for level in self.levels for _, known in level if known is not None]
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines whose key is in no run yet."""
@@ -55,18 +59,27 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch; a document must lie in one batch only."""
         per_doc = lines.select("doc_id", *KEY).distinct()
-        run = per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._put(0, common.stage(run.sortWithinPartitions(*KEY), "run0"))
-
-    def _put(self, level: int, run: DataFrame) -> None:
+        batch = per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not self.runs():
+            self._put(0, common.stage(batch.sortWithinPartitions(*KEY), "run0"), None)
+            return
+        batch = common.stage(batch, "batch")
+        new = common.stage(self.unseen(batch).sortWithinPartitions(*KEY), "run0")
+        known = common.stage(batch.join(new.hint("merge"), KEY, "left_anti").sortWithinPartitions(*KEY), "known0")
+        common.release(batch)
+        self._put(0, new, known)
+
+    def _put(self, level: int, run: DataFrame, known: DataFrame | None) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append((run, known))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self.merges += 1
-            self._put(level + 1, common.stage(self._merged(old), f"run{level + 1}"))
-            for r in old:
+            runs, updates = [r for r, _ in old], [k for _, k in old if k is not None]
+            merged = common.stage(self._merged(updates), f"known{level + 1}") if updates else None
+            self._put(level + 1, common.stage(self._merged(runs), f"run{level + 1}"), merged)
+            for r in runs + updates:
                 common.release(r)
 
     @staticmethod
@@ -78,8 +91,8 @@ class LineRuns:
         return rows.sortWithinPartitions(*KEY)
 
     def compact(self) -> DataFrame:
-        """All runs as one."""
-        found = self.runs()
+        """All runs as one, with the updates of their keys."""
+        found = self.runs() + self.updates()
         return found[0] if len(found) == 1 else self._merged(found)
 
 

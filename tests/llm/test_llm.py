@@ -123,6 +123,28 @@ def test_line_runs(spark):
     assert runs.merges >= 2 and runs.compact().count() == 6 and runs.compact().agg(F.max("n_docs")).first()[0] == 5
 
 
+def test_line_dedup_anti_joins_each_batch_with_the_runs(spark, monkeypatch):
+    made, joined = [], []
+
+    class Seen(line_dedup.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def unseen(self, lines):
+            joined.append(len(self.runs()))
+            return super().unseen(lines)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Seen)
+    rows = [(i, f"line number {i} of all of them\na line that all of them hold\nline of one in seven: {i % 7}") for i in range(40)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_dropped for i in range(40)] == [int(i < 39) + int(i < 33) for i in range(40)]
+    assert joined == [1, 2, 1]
+    runs = made[0]
+    assert sum(r.count() for r in runs.runs()) == runs.compact().count() == 48  # each key in one run
+    assert runs.compact().agg(F.max("n_docs"), F.sum("n_docs")).first()[:] == (40, 120)
+
+
 def brute_components(n, linked):
     label = list(range(n))
     for i in range(n):
