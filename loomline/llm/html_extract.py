@@ -136,14 +136,18 @@ def _step_slots(step: str, depth: int) -> tuple[int, ...]:
     return (_slot(f"t:{tag}", PATH_DIM // 2), *(PATH_DIM // 2 + _slot(f"m:{w}", PATH_DIM // 2) for w in _WORD.findall(marks)))
 
 
+@functools.lru_cache(maxsize=100_000)
+def _word_slot(word: str) -> int:
+    return _slot("w:" + word.lower(), WORD_DIM)
+
+
 def block_vector(path: tuple[str, ...], text: str, linked: int, at: int, of: int) -> np.ndarray:
     v = np.zeros(PATH_DIM + WORD_DIM + EXTRA, dtype=np.float32)
     for d, step in enumerate(path):
         for s in _step_slots(step, 0):
             v[s] = 1.0
     words = text.split(" ")
-    for w in words[:: max(1, len(words) // 32)]:  # evenly over the whole block
-        v[PATH_DIM + _slot("w:" + w.lower(), WORD_DIM)] += 1.0 / min(len(words), 32)
+    v[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(list(map(_word_slot, words)), minlength=WORD_DIM) / len(words)
     n = len(text)
     v[-EXTRA:] = [min(1.0, np.log1p(n) / 8), min(1.0, np.log1p(len(words)) / 6), linked / n, sum(text.count(c) for c in ".!?") / n * 10, at / max(1, of - 1), min(1.0, len(path) / 12), float(text[-1] in ".!?"), 1.0]
     return v

@@ -350,6 +350,16 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_block_vector_has_all_words():
+    part = slice(html_extract.PATH_DIM, html_extract.PATH_DIM + html_extract.WORD_DIM)
+    for n in (1, 5, 32, 50, 64, 200, 20_000):
+        words = [f"Wörd{i % 97}" if i % 2 else f"other{i}" for i in range(n)]
+        want = np.zeros(html_extract.WORD_DIM)
+        for w in words:
+            want[html_extract._slot("w:" + w.lower(), html_extract.WORD_DIM)] += 1 / n
+        assert np.allclose(html_extract.block_vector(("p",), " ".join(words), 0, 0, 1)[part], want, atol=1e-5)
+
+
 def test_html_held_out():
     model, site, wrong, n = html_extract.trained(), html_extract.SitePages(321), 0, 0
     for _ in range(150):
