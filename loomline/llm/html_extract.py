@@ -11,8 +11,9 @@ block. No row of the input is used for it; the seed makes it the same on each ru
 
 Defined results: a null or empty page gives the empty text; character references are decoded;
 white space within a block becomes one space; blocks are joined by one newline in page order;
-unclosed tags, stray tags and pages without a body are taken as they come; very long pages are
-read whole, in one sequence; equal pages give equal texts; other columns pass through unless
+unclosed tags, stray tags and pages without a body are taken as they come; contents of script,
+style, title, textarea, template and iframe are no text, and such an element without an end goes to
+the end of its block; very long pages are read whole, in one sequence; equal pages give equal texts; other columns pass through unless
 they bear a result's name.
 """
 
@@ -39,7 +40,7 @@ TRAIN_PAGES, EPOCHS, SEED = 700, 14, 7
 #: Elements that start and end a block.
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio canvas template".split())
 #: Elements whose content is never text of the page.
-_RAW = frozenset("script style template noscript textarea title iframe svg math object".split())
+_RAW = frozenset("script style template textarea title iframe".split())
 #: Elements without an end tag.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes if it is still open.
@@ -62,6 +63,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -80,6 +82,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if stack[i][0] in _SCOPE:
                 return
 
+    def parent_end(at: int) -> int:
+        """Where the first of the open blocks ends after ``at``: by its own end tag, or what closes it if left open."""
+        end = n
+        for name in {x[0] for x in stack}:
+            depth = 1
+            for m in re.compile(rf"<(/?){re.escape(name)}(?![^\s/>])", re.I).finditer(page, at, end):
+                depth += -1 if m[1] or name in _CLOSES.get(name, ()) else 1
+                if not depth:
+                    end = m.start()
+                    break
+        return end
+
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
@@ -108,8 +122,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if name in _RAW:
             if not tag.endswith("/>"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else n
+                stop = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                if not stop:
+                    endless.add(name)
+                at = stop.end() if stop else parent_end(at)
             text.append(" ") if name not in _BLOCK else flush()
             continue
         if name == "br":

@@ -360,6 +360,17 @@ def test_block_vector_has_all_words():
         assert np.allclose(html_extract.block_vector(("p",), " ".join(words), 0, 0, 1)[part], want, atol=1e-5)
 
 
+def test_html_keeps_formulas_and_what_follows_unclosed_elements():
+    texts = lambda page: [b[1] for b in html_extract.blocks_of(page)]
+    page = "<article><p>area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p><object data=f><p>fallback</p></object><noscript>no <b>script</b></noscript><svg><title>t</title><text>drawn</text></svg></article>"
+    assert texts(page) == ["area x=2 end", "fallback", "no script", "drawn"]
+    for name in ("script", "style", "title", "textarea", "template", "iframe"):
+        assert texts(f"<div><p>a <{name}>hidden</{name}></p><p>b</p></div>") == ["a", "b"]
+        for page in ("<div><p>a</p><{}>x<div>y</div>z</div><p>b</p>", "<div><p>a<{}>x</p><p>b</p></div>", "<ul><li>a<{}>x<li>b</ul>", "<div><p>a<{}>x</div>b<p>"):
+            assert texts(page.format(name)) == ["a", "b"], (name, page)
+        assert texts(f"a<{name}>x y") == ["a"]
+
+
 def test_html_held_out():
     model, site, wrong, n = html_extract.trained(), html_extract.SitePages(321), 0, 0
     for _ in range(150):
