@@ -9,7 +9,8 @@ the document), unless its count shows that it has no fewer edits than the best s
 
 Texts are compared in a plain form: lower case, each run of white space one space. An item shorter
 than W is its own window, with edits in proportion; items under q + 8 characters are sought whole,
-without edits. A document is contaminated if any region is verified.
+without edits (those shorter than a q-gram by hashes of their own length). A document is contaminated
+if any region is verified.
 
 The index of the benchmark is broadcast only up to ``max_index`` q-grams; a larger benchmark is dealt
 into slices of that size and the documents are scanned once for each.
@@ -123,9 +124,18 @@ class Index:
     window: int
     share: float
     least: np.ndarray
+    short: list[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]
 
     @staticmethod
     def build(rows: list[tuple[int, str]], q: int, window: int, share: float) -> Index:
+        # items shorter than q: (length, sorted hashes, ids, texts) of each length
+        short = []
+        for n in sorted({len(t) for _, t in rows if 0 < len(t) < q}):
+            own = [(i, codes_of(t)) for i, t in rows if len(t) == n]
+            key = np.concatenate([grams(c, n) for _, c in own])
+            order = np.argsort(key, kind="stable")
+            short.append((n, key[order], np.array([i for i, _ in own], dtype=object)[order], [own[k][1] for k in order]))
+        rows = [r for r in rows if len(r[1]) >= q]
         ids, items = [r[0] for r in rows], [codes_of(r[1]) for r in rows]
         g = [grams(c, q) for c in items]
         gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
@@ -133,7 +143,7 @@ class Index:
         order = np.argsort(gram, kind="stable")
         bits = np.zeros(1 << _BITS, dtype=bool)
         bits[(gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        out = Index(ids, items, gram[order], item[order], pos[order], bits, q, window, share, np.zeros(0))
+        out = Index(ids, items, gram[order], item[order], pos[order], bits, q, window, share, np.zeros(0), short)
         out.least = np.array([out.limits(k)[2] for k in range(len(items))], dtype=np.int64)
         return out
 
@@ -145,6 +155,22 @@ class Index:
 
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, end) of each item found in a plain text."""
+        return self._long(codes) + self._short(codes)
+
+    def _short(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The items shorter than q, each at its first place."""
+        out = []
+        for n, key, ids, texts in self.short:
+            g, first = np.unique(grams(codes, n), return_index=True)
+            lo, hi = np.searchsorted(g, key, "left"), np.searchsorted(g, key, "right")
+            for k in np.flatnonzero(lo < hi).tolist():
+                at = int(first[lo[k]])
+                if np.array_equal(codes[at : at + n], texts[k]):
+                    out.append((ids[k], 0, at, at + n))
+        return out
+
+    def _long(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The items of q characters or more."""
         g = grams(codes, self.q)
         at = np.flatnonzero(self.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
@@ -212,12 +238,12 @@ class Index:
         return best
 
 
-def slices(benchmark: DataFrame, q: int, max_index: int) -> Iterator[list[tuple[int, str]]]:
+def slices(benchmark: DataFrame, max_index: int) -> Iterator[list[tuple[int, str]]]:
     """Items in slices of at most ``max_index`` q-grams (one item at least); rows come one partition at a time."""
     held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").toLocalIterator():
         text = plain(r[1])
-        if len(text) < q:
+        if not text:
             continue
         if held and size + len(text) > max_index:
             yield held
@@ -231,9 +257,9 @@ def slices(benchmark: DataFrame, q: int, max_index: int) -> Iterator[list[tuple[
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, window: int = WINDOW, share: float = EDIT_SHARE, max_index: int = MAX_INDEX) -> DataFrame:
     """(doc_id, item_id, edits, region_start, region_end) of each item found in a document; offsets are those of the plain text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= q)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     out = spark.createDataFrame([], _HIT)
-    for part in slices(benchmark, q, max_index):
+    for part in slices(benchmark, max_index):
         index = spark.sparkContext.broadcast(Index.build(part, q, window, share))  # at most max_index q-grams
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -277,6 +277,18 @@ def test_decontamination_finds_windows_edited_at_their_start():
     assert 15 < found < 3 * len(shifts)
 
 
+def test_decontamination_finds_items_shorter_than_a_gram(spark):
+    items = ["é", "Oui!", "seven c", "eight ch", "no", "Oui!", "", None, "a  b"]
+    texts = ["x OUI! y", "oui!", "é", "e", "", None, "it is seven  Characters", "with eight chars", "nope", "A\nB"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = decontaminate.plain
+    want = {(d, i, 0, plain(t).find(plain(x)), plain(t).find(plain(x)) + len(plain(x))) for d, t in enumerate(texts) for i, x in enumerate(items) if plain(x) and plain(x) in plain(t)}
+    assert {(0, 1, 0, 2, 6), (6, 2, 0, 6, 13), (7, 3, 0, 5, 13)} <= want
+    for options in ({}, {"max_index": 5}):
+        assert {tuple(r) for r in decontaminate.find_leaks(df, bench, **options).collect()} == want
+
+
 def test_banded_edits_is_edit_distance():
     r = random.Random(1)
     for _ in range(60):
