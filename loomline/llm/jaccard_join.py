@@ -3,19 +3,22 @@
 Unrelated documents are all at distance 1 from each other, so pivots cannot part them. Documents
 are therefore first routed by keys that no linked pair can miss: at Jaccard similarity t, sets
 of sizes a and b differ in at most (a + b)(1 - t)/(1 + t) shingles, so if shingles are dealt by
-hash into more classes than that, some class is equal in both, and stays so if shingles that are
-common in the corpus are left out of all sets. The hash of each class is a key; sets with too many
-empty classes also use their first shingles, rare ones first, of which linked sets share one.
-Documents that share a key, directly or through others, form a region; no link leaves a region.
-Which shingles count as common only decides how much work there is, not the result.
-
-Within a region pivots take over. The distances to a pivot link what is near it, and by the
-triangle inequality a pair can only link if its distances to each pivot differ by no more than
-the radius. Regions too large for one task are split among executors: documents go to the
-Voronoi region of their nearest pivot and, within a window of twice the radius, to further
-regions; those whose documents are already connected are done, large ones are split again with
-new pivots, and what does not shrink is joined block by block. All steps are exact; only
-connections are kept, pairs are not written out.
+hash into more classes than that, some class is equal in both, and more than the spare ones if
+classes without a shingle that is rare in the corpus are left out. The hash of each class is a key;
+sets with too few such classes also use their first shingles, rare ones first, of which linked sets share one.
+The documents that share a key are a region; every pair that links lies in one. Regions of the same
+documents are joined once. Which shingles count as common only decides how much work there is, not
+the result.
+
+Each region has a pivot. The distances of its documents to the pivot link what is near it, and by
+the triangle inequality a pair can only link if its distances to the pivot differ by no more than
+the radius; so the region is cut into rings as wide as the radius, each document goes to its own
+ring and is replicated to the next, and the rings are regions of the next round, less those whose
+documents are already connected. After ``ROUNDS`` of this a region that fits a task is joined there,
+with pivots and windows in memory. Larger ones go to the Voronoi regions of several pivots and,
+within a window of twice the radius, to further ones, are split again with new pivots, and what does
+not shrink is joined block by block. All steps are exact; only connections are kept, pairs are
+not written out.
 
 Equal sets are one class, compared once. Shingles are 64-bit hashes.
 
@@ -42,15 +45,22 @@ from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a document that are too many.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 6_000, 2_500_000, 16, 4, 3
-#: Bits of the filter of routed ids and of common shingles; common shingles wanted at most; least count of one.
-FILTER_BITS, COMMON_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 25, 1 << 21, 8
-_WORDS_KEPT = 250_000
+REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 3
+#: Rounds of pivots and rings before regions are joined; documents compared with a pivot by one task.
+ROUNDS, PIVOT_DOCS = 2, 256
+#: Bits of the filter of routed ids; common shingles wanted at most; least count of one.
+FILTER_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 21, 8
+#: Bits of the maps of common shingles; the next map holds those that are LEVEL_STEP times as frequent.
+LEVEL_BITS, LEVEL_STEP = (1 << 25, 1 << 23, 1 << 22, 1 << 22), 8
+#: Words remembered, and the longest of them in bytes; documents of a key held at once; posting entries walked at once.
+_WORDS_KEPT, _LONGEST, _HELD, _POSTS = 250_000, 64, 20_000, 4_000_000
 
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh64_intdigest(word)
+        got = xxhash.xxh64_intdigest(word)
+        if len(word) <= _LONGEST:
+            self[word] = got
         return got
 
 
@@ -78,6 +88,22 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+class CommonLevels:
+    """How common a shingle is in the corpus: 0 for a rare one, else the number of maps that it is in."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps = maps
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(s), np.uint8), np.arange(len(s))
+        for bits in self.maps:
+            slot = s[live] >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+            hit = np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+            live = live[hit.astype(bool)]
+            out[live] += 1
+        return out
+
+
 class Routes:
     """Keys of sets: equal for at least one key of any two sets that link.
 
@@ -118,28 +144,26 @@ class Routes:
             i += 1
         return i
 
-    def keys(self, s: np.ndarray, common_bits: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray, levels: CommonLevels) -> np.ndarray:
+        """A hash of all of each class that holds a rare shingle, and the first shingles where too few classes do."""
         n, out = len(s), []
-        slot = s >> np.uint64(64 - COMMON_BITS.bit_length() + 1)
-        often = (common_bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        rare = s[~often]
+        level = levels.of(s)
         i = self.interval(n)
         for g in (i, i - 1) if i else (i,):
             classes, spare = self.group(g)
             salt = np.uint64((g + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            got = np.zeros(0, np.int64)
-            if len(rare):
-                mixed = _mix(rare ^ salt)
-                at = (mixed % np.uint64(classes)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                at = at[order]
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                got = at[first]
-                out.append(_mix(np.add.reduceat(_mix(mixed[order] + np.uint64(1)), first) + _mix(got.astype(np.uint64) + salt)))
-            if classes - len(got) > spare:
+            mixed = _mix(s ^ salt)
+            at = (mixed % np.uint64(classes)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            some = np.minimum.reduceat(level[order], first) == 0
+            whole = np.add.reduceat(_mix(mixed[order] + np.uint64(1)), first) + _mix(at[first].astype(np.uint64) + salt)
+            out.append(_mix(whole[some]))
+            if classes - some.sum() > spare:
                 # of two sets that link and both come here, the first shingles of one order meet
                 keep = n - -(-self.percent * n // 100) + 1
-                out.append(_mix(np.r_[rare, s[often]][:keep] + ~salt))
+                out.append(_mix(s[np.lexsort((s, level))[:keep]] + ~salt))
         return np.unique(np.concatenate(out))
 
 
@@ -152,20 +176,23 @@ class _Index:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        tokens, self.token = np.unique(flat, return_inverse=True)
+        tokens, self.token = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.token = self.token.astype(np.int32)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(self.token, kind="stable")
-        self.posts = owner[order]
+        self.posts = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.token, minlength=len(tokens)))])
 
     def overlap(self, i: int) -> np.ndarray:
         """Shared shingles of document i with each document."""
         t = self.token[self.begin[i] : self.begin[i + 1]]
         lo, n = self.first[t], self.first[t + 1] - self.first[t]
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.posts[at], minlength=len(self.sizes))
+        out, step = np.zeros(len(self.sizes), dtype=np.int64), max(1, _POSTS // len(self.sizes))
+        for k in range(0, len(t), step):
+            a, m = lo[k : k + step], n[k : k + step]
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            out += np.bincount(self.posts[at], minlength=len(self.sizes))
+        return out
 
 
 def join_sets(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT, halves: np.ndarray | None = None) -> np.ndarray:
@@ -209,11 +236,13 @@ def join_sets(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_MEET = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("p_id", T.LongType())])
+_DIST = T.StructType([T.StructField("p_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("near", T.BooleanType()), T.StructField("ring", T.IntegerType())])
 _CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
 
-def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> bytes:
-    """A bit map of the hashes of shingles that recur: COMMON_BITS bits whatever the input.
+def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> CommonLevels:
+    """Bit maps of the hashes of shingles that recur: LEVEL_BITS bits whatever the input.
 
     Tasks count about ``held`` shingles at a time and pass on those they met twice; the least count is
     raised until no more than COMMON_MOST are left.
@@ -246,11 +275,12 @@ def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> bytes
         if total > COMMON_MOST:
             break
         least = r["n"]
-    shift = 64 - COMMON_BITS.bit_length() + 1
-    slots = counts.where(F.col("n") >= least).select(F.shiftrightunsigned("s", shift).alias("s"))
-    out = _bit_map(slots, COMMON_BITS)
+    maps = []
+    for k, bits in enumerate(LEVEL_BITS):
+        shift = 64 - bits.bit_length() + 1
+        maps.append(_bit_map(counts.where(F.col("n") >= min(1 << 62, least * LEVEL_STEP**k)).select(F.shiftrightunsigned("s", shift).alias("s")), bits))
     common.release(counts)
-    return out
+    return CommonLevels(maps)
 
 
 def _bit_map(slots: DataFrame, bits: int) -> bytes:
@@ -264,7 +294,7 @@ def _bit_map(slots: DataFrame, bits: int) -> bytes:
 
 def _sketch(words: int, percent: int, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes, common_bits = Routes(percent), np.frombuffer(often.value, np.uint8)
+        routes, levels = Routes(percent), often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
@@ -275,7 +305,7 @@ def _sketch(words: int, percent: int, often):
                     n.append(len(s))
                     f1.append((f & (1 << 64) - 1) - (1 << 63))
                     f2.append((f >> 64) - (1 << 63))
-                    keys.append(routes.keys(s, common_bits).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    keys.append(routes.keys(s, levels).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=_DOC.names)
 
     return run
@@ -314,6 +344,104 @@ def _edges(ids: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
     return ids[order][rest].tolist(), head[rest].tolist()
 
 
+def meetings(keyed: DataFrame) -> DataFrame:
+    """(region, doc_id, p_id) of (key, doc_id): the documents that share a key, and the region's pivot.
+
+    Keys are streamed in order; the pivot is the document of the smallest hash. Keys of the same documents
+    make one region, named by their documents, so far as a task holds the documents of a key at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begun: tuple[int, int] | None = None  # key and pivot of a region that is already partly written
+
+        def whole(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+            """Regions of complete keys."""
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[first, len(key)])
+            name = _mix(np.add.reduceat(_mix(doc.view(np.uint64) + np.uint64(0x51ED270B)), first) + size.astype(np.uint64))
+            pick = np.zeros(len(first), bool)
+            pick[np.unique(name, return_index=True)[1]] = True
+            pick &= size > 1
+            at = np.flatnonzero(pick)
+            new = np.array([x not in seen for x in name[at].tolist()], dtype=bool)
+            at = at[new] if len(at) else at
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(name[at].tolist())
+            m = size[at]
+            rows = np.repeat(first[at] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if len(at) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name[at], m).view(np.int64)), pa.array(doc[rows]), pa.array(np.repeat(doc[first[at]], m))], names=_MEET.names)
+
+        def part(key: int, pivot: int, doc: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), key)), pa.array(doc), pa.array(np.full(len(doc), pivot))], names=_MEET.names)
+
+        for b in batches:
+            key, doc = np.r_[key, b.column(0).to_numpy()], np.r_[doc, b.column(1).to_numpy()]
+            if begun:
+                own = int(np.searchsorted(key != begun[0], True))
+                yield part(*begun, doc[:own])
+                key, doc = key[own:], doc[own:]
+                if len(key):
+                    begun = None
+            if not len(key):
+                continue
+            # the last key may go on in the next batch
+            cut = len(key) - int(np.searchsorted(key[::-1] != key[-1], True))
+            if cut:
+                yield whole(key[:cut], doc[:cut])
+                key, doc = key[cut:], doc[cut:]
+            if len(key) > _HELD:
+                begun = (int(key[0]), int(doc[0]))
+                yield part(*begun, doc)
+                key, doc = key[:0], doc[:0]
+        if len(key):
+            yield whole(key, doc)
+
+    rows = keyed.select("key", "doc_id").repartition("key").sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id")
+    return rows.mapInArrow(run, _MEET).distinct()
+
+
+def pivot_distances(pairs: DataFrame, sets: DataFrame, percent: int, most: int = PIVOT_DOCS) -> DataFrame:
+    """(p_id, doc_id, near, ring) of (p_id, doc_id): whether they link, and the distance in whole radii.
+
+    A pivot of many documents is copied to several tasks; sets are streamed, a pivot's before those that it meets.
+    """
+    radius = 1 - percent / 100 + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for p, is_doc, doc, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not is_doc:
+                    pivot = s
+                    continue
+                shared = int((pivot[np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)] == s).sum())
+                union = len(s) + len(pivot) - shared
+                for o, v in zip(out, (p, doc, 100 * shared >= percent * union, int((1 - shared / union) / radius))):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32()))], names=_DIST.names)
+
+    load = pairs.groupBy("p_id").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
+    docs = pairs.join(load, "p_id").select("p_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("is_doc"), "doc_id")
+    pivots = load.select("p_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_doc"), F.col("p_id").alias("doc_id"))
+    rows = docs.unionByName(pivots).join(sets.select("doc_id", "shingles"), "doc_id").select("p_id", "salt", "is_doc", "doc_id", "shingles")
+    return rows.repartition("p_id", "salt").sortWithinPartitions("p_id", "salt", "is_doc", "doc_id").mapInArrow(run, _DIST)
+
+
+def rings(meet: DataFrame, dist: DataFrame, label: DataFrame) -> DataFrame:
+    """(region, doc_id, label, ring regions' home) of the next round: each document in its ring and, as a visitor, in the next one."""
+    rows = meet.where("doc_id <> p_id").join(dist, ["p_id", "doc_id"])
+    rows = rows.select("region", "doc_id", F.explode(F.array(F.struct(F.col("ring").alias("ring"), F.lit(1).alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(0).alias("home")))).alias("r"))
+    rows = rows.select(F.xxhash64("region", "r.ring").alias("region"), "doc_id", "r.home")
+    rows = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    live = rows.groupBy("region").agg(F.max("home").alias("h"), F.min("label").alias("x"), F.max("label").alias("y")).where("h = 1 and x <> y").select("region")
+    return rows.join(live, "region", "left_semi").select("region", "doc_id", "label")
+
+
 def join_small(rows: DataFrame, percent: int) -> DataFrame:
     """Join each region of (region, label, doc_id, shingles) within a task; edges of a spanning forest."""
 
@@ -394,10 +522,27 @@ def join_blocks(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("region", "lo", "hi").applyInArrow(run, _EDGE)
 
 
+def merged(rows: DataFrame, sizes: DataFrame, max_docs: int, max_shingles: int) -> DataFrame:
+    """Regions (region, doc_id, label) that overlap as one where all that hang together fit a task; the others as they are, those of the same documents once."""
+    whole = rows.groupBy("region").agg(F.min("doc_id").alias("h"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("doc_id"), 20)).alias("s"))
+    whole = common.stage(whole, "whole")
+    single = whole.groupBy("m", "s").agg(F.min("region").alias("region")).select("region")
+    rows = common.stage(rows.join(single, "region", "left_semi"), "single")
+    hang = common.stage(components(rows.join(whole.select("region", "h"), "region").select(F.col("doc_id").alias("a"), F.col("h").alias("b"))), "hang")
+    docs = rows.select("doc_id", "label").distinct().join(hang.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
+    fits = docs.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    fits = fits.where((F.col("docs") <= max_docs) & (F.col("weight") <= max_shingles)).select("component")
+    joined = docs.join(fits, "component").select(F.xxhash64(F.lit("all"), "component").alias("region"), "doc_id", "label")
+    loose = rows.join(hang.select(F.col("node").alias("doc_id"), "component").join(fits, "component", "left_anti"), "doc_id").select("region", "doc_id", "label")
+    out = common.stage(joined.unionByName(loose), "open")
+    for old in (whole, rows, hang):
+        common.release(old)
+    return out
+
+
 def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int) -> list[DataFrame]:
-    """Edges that connect what links within each region of (region, doc_id, shingles)."""
+    """Edges that connect what links within each region of (region, doc_id, shingles, label)."""
     found: list[DataFrame] = []
-    rows = rows.withColumn("label", F.col("doc_id"))
     for level in range(LEVELS + 1):
         size = rows.groupBy("region").agg(F.count("*").alias("docs"), F.sum(F.octet_length("shingles") / 8).alias("weight"))
         parts = F.greatest(F.ceil(F.col("docs") / max_docs), F.ceil(F.col("weight") / max_shingles)).cast("int")
@@ -405,6 +550,7 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         big = size.where("parts > 1").select("region", "parts")
         found.append(common.stage(join_small(rows.join(size.where("parts = 1").select("region"), "region", "left_semi"), percent), "links"))
         if big.isEmpty():
+            common.release(size)
             break
         large = rows.join(big, "region").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).cast("int"))
         large = common.stage(large, "large")
@@ -413,13 +559,13 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
             break
         # the pivots: in each part the documents with the smallest hash, then of the region those
         drawn = large.groupBy("region", "part").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(level + 100)).alias("h"), "doc_id")).alias("p"))
-        few = drawn.groupBy("region").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("ps"), F.count("*").alias("parts"))
+        few = drawn.groupBy("region").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.count("*").alias("parts")).withColumn("ps", F.slice("ps", 1, PIVOTS))
         chosen = few.select("region", "parts", F.explode("ps.doc_id").alias("doc_id")).join(large.select("region", "doc_id", "shingles"), ["region", "doc_id"])
         pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).select(F.col("region").alias("p_region"), F.col("part").alias("p_part"), F.col("doc_id").alias("p_id"), F.col("shingles").alias("p_set"))
         cells = common.stage(voronoi(large.select("region", "part", "doc_id", "shingles"), pivots, percent), "voronoi")
         edges = common.stage(cells.where("home IS NULL").select(F.col("doc_id").alias("a"), F.col("a").alias("b")), "links")
         found.append(edges)
-        if level < LEVELS and cells.where("home IS NOT NULL").count() > SPREAD * large.count():
+        if cells.where("home IS NOT NULL").count() > SPREAD * large.count():
             # the pivots do not part these documents
             found.append(common.stage(join_blocks(large.drop("parts"), big, percent), "links"))
             break
@@ -432,43 +578,45 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         nxt = common.stage(nxt, "next")
         open_ = nxt.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
         rows = common.stage(nxt.join(open_, "region", "left_semi"), "cells")
+        common.release(large)
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, max_docs: int = REGION_DOCS, max_shingles: int = REGION_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, max_docs: int = REGION_DOCS, max_shingles: int = REGION_SHINGLES, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id it is connected with)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    often = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # COMMON_BITS / 8 bytes
+    often = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # LEVEL_BITS / 8 bytes
     sketch = common.stage(docs.mapInArrow(_sketch(words, percent, often), _DOC), "sketch")
-    classes = sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = common.stage(classes, "classes")
-    reps = sketch.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id")
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges between documents that follow each other under one key."""
-        last_key = last_doc = None
-        for b in batches:
-            doc, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(doc):
-                continue
-            same = np.flatnonzero(key[1:] == key[:-1])
-            a, c = doc[same + 1], doc[same]
-            if last_key is not None and last_key == key[0]:
-                a, c = np.r_[a, doc[0]], np.r_[c, last_doc]
-            last_key, last_doc = key[-1], doc[-1]
-            pair = np.unique(np.stack([a, c], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=_EDGE.names)
-
-    regions = components(keyed.mapInArrow(neighbours, _EDGE)).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
-    regions = common.stage(regions, "routed")
-    sets = region_sets(docs, id_filter(regions, "doc_id"), words).join(regions, "doc_id")
-    found = link_edges(common.stage(sets, "sets"), percent, max_docs, max_shingles)
-    edges = functools.reduce(DataFrame.unionByName, found)
-    parts = components(edges).withColumnRenamed("node", "rep")
-    by_class = classes.join(parts, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2"], "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = common.stage(sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    keyed = sketch.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
+    meet = common.stage(meetings(keyed), "meet")
+    members = common.stage(sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
+    common.release(sketch)
+    common.release(classes)
+    routed = meet.select("doc_id").distinct()
+    sets = common.stage(region_sets(docs, id_filter(routed, "doc_id"), words).join(routed, "doc_id", "left_semi"), "sets")
+    found: list[DataFrame] = []
+    for level in range(rounds):
+        pairs = meet.where("doc_id <> p_id").select("p_id", "doc_id").distinct()
+        dist = common.stage(pivot_distances(pairs, sets, percent), "distances")
+        found.append(common.stage(dist.where("near").select(F.col("doc_id").alias("a"), F.col("p_id").alias("b")), "links"))
+        label = components(functools.reduce(DataFrame.unionByName, found))
+        rows = common.stage(rings(meet, dist, label), "rings")
+        for old in (meet, dist):
+            common.release(old)
+        if level < rounds - 1:
+            first = rows.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(level)), "doc_id"))["doc_id"].alias("p_id"))
+            meet = common.stage(rows.join(first, "region").select("region", "doc_id", "p_id"), "meet")
+            common.release(rows)
+    rows = merged(rows, members.select("doc_id", "n"), max_docs, max_shingles)
+    found += link_edges(rows.join(sets, "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
+    parts = components(functools.reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "rep")
+    out = members.join(parts, "rep", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = common.stage(out, "groups")
+    for old in (sets, rows, members, *found):
+        common.release(old)
+    return out
 
 
 def op9_jaccard_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

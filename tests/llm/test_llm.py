@@ -183,14 +183,17 @@ def test_jaccard_join(spark, options):
 
 
 def test_routes_miss_no_link():
-    r, routes, none = np.random.default_rng(0), jaccard_join.Routes(85), np.zeros(jaccard_join.COMMON_BITS // 8, np.uint8)
+    r, routes = np.random.default_rng(0), jaccard_join.Routes(85)
+    # no shingle is common, one in four is, of which one in four is very common
+    none, some = jaccard_join.CommonLevels([]), jaccard_join.CommonLevels([r.integers(0, 256, 1 << 13, dtype=np.uint8).tobytes(), bytes([17]) * (1 << 10)])
     for n in [7, 8, 10, 13, 20, 33, 60, 150, 400] * 30:
         a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
         cut = int(r.integers(0, n * 15 // 185 + 2))
         b = np.unique(np.r_[r.permutation(a)[cut:], r.integers(0, 1 << 63, int(r.integers(0, cut + 1)), dtype=np.uint64)])
         o = len(np.intersect1d(a, b))
         if 100 * o >= 85 * (len(a) + len(b) - o) and len(a) != o:
-            assert len(np.intersect1d(routes.keys(a, none), routes.keys(b, none)))
+            for levels in (none, some):
+                assert len(np.intersect1d(routes.keys(a, levels), routes.keys(b, levels)))
 
 
 @pytest.mark.parametrize("options", [{}, {"block": 16, "chunk": 8}])
