@@ -44,27 +44,16 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a document that are too many.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 3
+#: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a region's documents that are too many for one.
+REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 1.5
 #: Rounds of pivots and rings before regions are joined; documents compared with a pivot by one task.
 ROUNDS, PIVOT_DOCS = 2, 256
 #: Bits of the filter of routed ids; common shingles wanted at most; least count of one.
 FILTER_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 21, 8
 #: Bits of the maps of common shingles; the next map holds those that are LEVEL_STEP times as frequent.
 LEVEL_BITS, LEVEL_STEP = (1 << 25, 1 << 23, 1 << 22, 1 << 22), 8
-#: Words remembered, and the longest of them in bytes; documents of a key held at once; posting entries walked at once.
-_WORDS_KEPT, _LONGEST, _HELD, _POSTS = 250_000, 64, 20_000, 4_000_000
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = xxhash.xxh64_intdigest(word)
-        if len(word) <= _LONGEST:
-            self[word] = got
-        return got
-
-
-_HASH = _WordHash()
+#: Bytes of text cut into words at once; documents of a key held at once; posting entries walked at once.
+_AT_ONCE, _HELD, _POSTS = 1 << 18, 20_000, 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,19 +62,74 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of the word n-grams of a text, A-Z lower-cased."""
-    if len(_HASH) > _WORDS_KEPT:
-        _HASH.clear()
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    n = min(words, len(h))
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a byte is part of a word, its value with A-Z as a-z, powers of the base and of its inverse)."""
+    inside = np.ones(256, dtype=bool)
+    inside[[ord(c) for c in common.SPACES]] = False
+    byte = np.arange(256, dtype=np.uint64)
+    value = _mix(np.where((byte >= 65) & (byte <= 90), byte + np.uint64(32), byte) + np.uint64(1))
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return inside, value, np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of bytes; no word goes on over a cut. A word's hash is a polynomial of its bytes, from sums over all of them."""
+    inside, value, up, down = _powers(max(_AT_ONCE, 1 << len(raw).bit_length()))
+    own = inside[raw]
+    before, after = np.r_[False, own[:-1]], np.r_[own[1:], False]
+    inner = cuts[(cuts > 0) & (cuts < len(raw))]
+    before[inner], after[inner - 1] = False, False
+    start, end = np.flatnonzero(own & ~before), np.flatnonzero(own & ~after) + 1
+    total = np.r_[np.uint64(0), np.cumsum(value[raw] * up[: len(raw)], dtype=np.uint64)]
+    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of the word n-grams of each text, A-Z lower-cased; null as empty.
+
+    Texts are read from the array's buffers, about _AT_ONCE bytes at a time; a longer text in pieces that end at white space.
+    """
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at, n = 0, len(texts)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, "right")) - 1)
+        own, cuts = raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        parts, done = [], 0
+        while len(own) - done > 2 * _AT_ONCE:
+            spaces = np.flatnonzero(~_powers(_AT_ONCE)[0][own[done + _AT_ONCE : done + 2 * _AT_ONCE]])
+            if not len(spaces):
+                break
+            stop = done + _AT_ONCE + int(spaces[0]) + 1
+            parts.append(_words(own[done:stop], cuts[:0])[0])
+            done = stop
+        h, start = _words(own[done:], cuts[1:-1] - done)
+        if parts:
+            h, counts = np.concatenate([*parts, h]), [0, sum(map(len, parts)) + len(h)]
+        else:
+            counts = [0, *np.searchsorted(start, cuts[1:]).tolist()]
+        # n-grams of all texts at once; those that reach into the next text are not used
+        full = _grams(h, words) if len(h) >= words else h[:0]
+        for begin, end in zip(counts[:-1], counts[1:]):
+            m = min(words, end - begin)
+            yield np.zeros(0, np.uint64) if not m else np.unique(full[begin : end - m + 1] if m == words else _grams(h[begin:end], m))
+        at = to
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         out = _mix(out + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), words))
 
 
 class CommonLevels:
@@ -258,12 +302,13 @@ def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> Commo
             return pa.RecordBatch.from_arrays([pa.array(s[again].view(np.int64)), pa.array(n[again])], names=schema.names)
 
         for batch in batches:
-            for text in batch.column(0):
-                parts.append(shingles(text.as_py(), words))
-                size += len(parts[-1])
-                if size >= held:
-                    yield counted()
-                    parts, size = [], 0
+            for at in range(0, batch.num_rows, 500):
+                for s in shingle_sets(batch.column(0).slice(at, 500), words):
+                    parts.append(s)
+                    size += len(s)
+                    if size >= held:
+                        yield counted()
+                        parts, size = [], 0
         yield counted()
 
     counts = docs.select("text").mapInArrow(run, schema).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
@@ -299,8 +344,7 @@ def _sketch(words: int, percent: int, often):
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 n, f1, f2, keys = [], [], [], []
-                for text in b.column(1).to_pylist():
-                    s = shingles(text, words)
+                for s in shingle_sets(b.column(1), words):
                     f = xxhash.xxh128_intdigest(s.tobytes())
                     n.append(len(s))
                     f1.append((f & (1 << 64) - 1) - (1 << 63))
@@ -330,7 +374,7 @@ def region_sets(docs: DataFrame, bits: bytes, words: int) -> DataFrame:
             some = np.flatnonzero(mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             for at in range(0, len(some), 500):
                 b = batch.take(pa.array(some[at : at + 500]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=_SET.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), words)], pa.binary())], names=_SET.names)
 
     return docs.select("doc_id", "text", _id_slot(F.col("doc_id")).alias("slot")).mapInArrow(run, _SET)
 
@@ -523,15 +567,18 @@ def join_blocks(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def merged(rows: DataFrame, sizes: DataFrame, max_docs: int, max_shingles: int) -> DataFrame:
-    """Regions (region, doc_id, label) that overlap as one where all that hang together fit a task; the others as they are, those of the same documents once."""
+    """Regions (region, doc_id, label) that overlap as one where that is less work; the others as they are, those of the same documents once.
+
+    It is where all the documents that hang together fit a task, or make no more pairs than their regions do one by one.
+    """
     whole = rows.groupBy("region").agg(F.min("doc_id").alias("h"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("doc_id"), 20)).alias("s"))
-    whole = common.stage(whole, "whole")
-    single = whole.groupBy("m", "s").agg(F.min("region").alias("region")).select("region")
-    rows = common.stage(rows.join(single, "region", "left_semi"), "single")
-    hang = common.stage(components(rows.join(whole.select("region", "h"), "region").select(F.col("doc_id").alias("a"), F.col("h").alias("b"))), "hang")
+    whole = common.stage(whole.groupBy("m", "s").agg(F.min(F.struct("region", "h")).alias("r")).select("r.region", "r.h", "m"), "whole")
+    rows = common.stage(rows.join(whole.select("region", "h"), "region"), "single")
+    hang = common.stage(components(rows.select(F.col("doc_id").alias("a"), F.col("h").alias("b"))), "hang")
     docs = rows.select("doc_id", "label").distinct().join(hang.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
-    fits = docs.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
-    fits = fits.where((F.col("docs") <= max_docs) & (F.col("weight") <= max_shingles)).select("component")
+    alone = whole.join(hang.withColumnRenamed("node", "h"), "h").groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    fits = docs.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).join(alone, "component")
+    fits = fits.where(((F.col("docs") <= max_docs) & (F.col("weight") <= max_shingles)) | (F.col("docs") * F.col("docs") <= F.col("pairs"))).select("component")
     joined = docs.join(fits, "component").select(F.xxhash64(F.lit("all"), "component").alias("region"), "doc_id", "label")
     loose = rows.join(hang.select(F.col("node").alias("doc_id"), "component").join(fits, "component", "left_anti"), "doc_id").select("region", "doc_id", "label")
     out = common.stage(joined.unionByName(loose), "open")
@@ -565,10 +612,11 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         cells = common.stage(voronoi(large.select("region", "part", "doc_id", "shingles"), pivots, percent), "voronoi")
         edges = common.stage(cells.where("home IS NULL").select(F.col("doc_id").alias("a"), F.col("a").alias("b")), "links")
         found.append(edges)
-        if cells.where("home IS NOT NULL").count() > SPREAD * large.count():
-            # the pivots do not part these documents
-            found.append(common.stage(join_blocks(large.drop("parts"), big, percent), "links"))
-            break
+        # regions that the pivots do not part are joined block by block
+        spread = cells.where("home IS NOT NULL").groupBy("region").agg(F.count("*").alias("copies")).join(size, "region")
+        dense = common.stage(spread.where(F.col("copies") > F.col("docs") * SPREAD).select("region", "parts"), "dense")
+        found.append(common.stage(join_blocks(large.drop("parts"), dense, percent), "links"))
+        cells = cells.join(dense.select("region"), "region", "left_anti")
         label = components(edges).withColumnRenamed("node", "doc_id")
         region = F.xxhash64("parent", "pivot")
         cells = cells.where("home IS NOT NULL").select(F.col("region").alias("parent"), "doc_id", "pivot")
