@@ -483,7 +483,7 @@ def rings(meet: DataFrame, dist: DataFrame, label: DataFrame) -> DataFrame:
     rows = rows.select(F.xxhash64("region", "r.ring").alias("region"), "doc_id", "r.home")
     rows = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     live = rows.groupBy("region").agg(F.max("home").alias("h"), F.min("label").alias("x"), F.max("label").alias("y")).where("h = 1 and x <> y").select("region")
-    return rows.join(live, "region", "left_semi").select("region", "doc_id", "label")
+    return rows.join(live.hint("merge"), "region", "left_semi").select("region", "doc_id", "label")  # a merge join splits a region of many documents
 
 
 def join_small(rows: DataFrame, percent: int) -> DataFrame:
@@ -573,7 +573,7 @@ def merged(rows: DataFrame, sizes: DataFrame, max_docs: int, max_shingles: int)
     """
     whole = rows.groupBy("region").agg(F.min("doc_id").alias("h"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("doc_id"), 20)).alias("s"))
     whole = common.stage(whole.groupBy("m", "s").agg(F.min(F.struct("region", "h")).alias("r")).select("r.region", "r.h", "m"), "whole")
-    rows = common.stage(rows.join(whole.select("region", "h"), "region"), "single")
+    rows = common.stage(rows.join(whole.select("region", "h").hint("merge"), "region"), "single")
     hang = common.stage(components(rows.select(F.col("doc_id").alias("a"), F.col("h").alias("b"))), "hang")
     docs = rows.select("doc_id", "label").distinct().join(hang.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
     alone = whole.join(hang.withColumnRenamed("node", "h"), "h").groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
@@ -599,7 +599,7 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         if big.isEmpty():
             common.release(size)
             break
-        large = rows.join(big, "region").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).cast("int"))
+        large = rows.join(big.hint("merge"), "region").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).cast("int"))
         large = common.stage(large, "large")
         if level == LEVELS:
             found.append(common.stage(join_blocks(large.drop("parts"), big, percent), "links"))
@@ -655,7 +655,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             common.release(old)
         if level < rounds - 1:
             first = rows.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(level)), "doc_id"))["doc_id"].alias("p_id"))
-            meet = common.stage(rows.join(first, "region").select("region", "doc_id", "p_id"), "meet")
+            meet = common.stage(rows.join(first.hint("merge"), "region").select("region", "doc_id", "p_id"), "meet")
             common.release(rows)
     rows = merged(rows, members.select("doc_id", "n"), max_docs, max_shingles)
     found += link_edges(rows.join(sets, "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
