@@ -24,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,8 +39,8 @@ _END = "\ue000"
 #: Control characters that str.split() takes for white space but the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Characters of text that are handled at once, and words that are remembered.
-_CHUNK, _CACHE = 1 << 20, 300_000
+#: Characters of text that are handled at once, words and pieces that are remembered, and the longest of them.
+_CHUNK, _CACHE, _LONG = 1 << 20, 900_000, 200
 
 
 def byte_chars() -> list[str]:
@@ -90,11 +91,12 @@ class BpeTable:
         whole[own] = self._compatible(self.left[own], self.right[own], own)
         whole[list(often)] = False
         self.greedy = {s: i for s, i in self.index.items() if whole[i]}
-        starts: dict[str, set[int]] = {}
-        for g in self.greedy:
-            starts.setdefault(g[:2], set()).add(len(g))
-        #: the lengths of the tokens that begin with two characters, longest first
-        self.lengths = {k: sorted(v | {1}, reverse=True) for k, v in starts.items()}
+        self.size = np.array([len(t) for t in names], dtype=np.int64)
+        #: finds the longest token at each place in turn
+        self.cutter = ahocorasick.Automaton()
+        for t, i in self.greedy.items():
+            self.cutter.add_word(t, i)
+        self.cutter.make_automaton()
         self.strings = dict(zip(self.vocab_id.tolist(), (s[:-1] + suffix if s.endswith(_END) else s for s in names)))
         self.strings |= {i: s for s, i in self.special.items()}
 
@@ -123,20 +125,14 @@ class BpeTable:
             live = live[undo_x | undo_y]
         return good
 
-    def _speculate(self, word: str) -> list[int]:
-        greedy, lengths, out, at, n = self.greedy, self.lengths, [], 0, len(word)
-        if word in greedy:
-            return [greedy[word]]
-        while at < n:
-            for size in lengths.get(word[at : at + 2], (1,)):
-                t = greedy.get(word[at : at + size])
-                if t is not None and at + size <= n:
-                    out.append(t)
-                    at += size
-                    break
-            else:
-                return []
-        return out
+    def _speculate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, number of each word's tokens) by greedy longest match; none of a word that it does not cover."""
+        found = np.array(list(self.cutter.iter_long("\n".join(words))), dtype=np.int64).reshape(-1, 2)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        owner = np.searchsorted(np.cumsum(length + 1), found[:, 0], "right")
+        whole = np.bincount(owner, self.size[found[:, 1]], minlength=len(words)) == length
+        some = whole[owner]
+        return found[some, 1], np.bincount(owner[some], minlength=len(words))
 
     def _merge(self, word: str) -> list[int]:
         """Exact merging: always the oldest merge, leftmost first, by a heap over a linked list."""
@@ -160,19 +156,20 @@ class BpeTable:
                 heapq.heappush(heap, (rank[q][0], prv[i], q))
         return [t for t in toks if t >= 0]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Vocabulary ids of words in byte characters, each with the end mark if the file has a suffix."""
-        cuts = [self._speculate(w) for w in words]
-        sizes = np.array([len(c) for c in cuts], dtype=np.int64)
-        flat = np.fromiter((t for c in cuts for t in c), dtype=np.int64, count=int(sizes.sum()))
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Vocabulary ids of words in byte characters, each with the end mark if the file has a suffix, as little-endian unsigned 32-bit integers."""
+        flat, sizes = self._speculate(words)
         owner = np.repeat(np.arange(len(words)), sizes)
         inner = owner[1:] == owner[:-1]
         pairs, back = np.unique(flat[:-1][inner] * self.n + flat[1:][inner], return_inverse=True)
         good = self._compatible(pairs // self.n, pairs % self.n)
-        bad = set(owner[:-1][inner][~good[back]].tolist()) | {i for i, c in enumerate(cuts) if not c and words[i]}
-        for i in bad:
-            cuts[i] = self._merge(words[i])
-        return [self.vocab_id[c] if c else np.empty(0, np.uint32) for c in cuts]
+        bad = sizes == 0
+        bad[owner[:-1][inner][~good[back]]] = True
+        raw, ends = self.vocab_id[flat].astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(bad).tolist():
+            out[i] = self.vocab_id[self._merge(words[i])].astype("<u4").tobytes() if words[i] else b""
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library without a decoder: the tokens' strings with one space between."""
@@ -199,6 +196,11 @@ class TextEncoder:
 
     def _to_words(self, piece: str) -> list[str | int]:
         """Words of a piece, normalised; special tokens as their ids."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                return [piece[:-1].lower(), piece[-1]]
         out: list[str | int] = []
         for part in self.split.split(piece) if self.split and "<" in piece else [piece]:
             if part in self.table.special:
@@ -210,18 +212,23 @@ class TextEncoder:
         return out
 
     def byte_word(self, word: str) -> str:
-        return "".join([self.chars[b] for b in word.encode("utf-8")]) + (_END if self.table.suffix else "")
+        end = _END if self.table.suffix else ""
+        # visible ASCII stands for itself
+        return word + end if word.isascii() and word.isprintable() else "".join([self.chars[b] for b in word.encode("utf-8")]) + end
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece; pieces and words of moderate length are remembered."""
         cut = [self._to_words(p) for p in pieces]
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        fresh = sorted({w for c in cut for w in c if isinstance(w, str)} - self.known.keys())
-        for w, ids in zip(fresh, self.table.encode_words([self.byte_word(w) for w in fresh])):
-            self.known[w] = ids.astype("<u4").tobytes()
         known = self.known
-        for p, c in zip(pieces, cut):
-            self.seen[p] = b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in c])
+        if len(known) > _CACHE:
+            known.clear()
+        fresh = list({w for c in cut for w in c if w not in known and isinstance(w, str)})
+        got = dict(zip(fresh, self.table.encode_words([self.byte_word(w) for w in fresh])))
+        known.update(got if max(map(len, fresh), default=0) <= _LONG else {w: i for w, i in got.items() if len(w) <= _LONG})
+        ids = lambda w: w.to_bytes(4, "little") if isinstance(w, int) else known[w] if w in known else got[w]
+        made = {p: ids(c[0]) if len(c) == 1 else b"".join(map(ids, c)) for p, c in zip(pieces, cut)}
+        self.seen.update(made if max(map(len, pieces), default=0) <= _LONG else {p: i for p, i in made.items() if len(p) <= _LONG})
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -234,14 +241,15 @@ class TextEncoder:
                 cut.append(t.split() if not _ODD.search(t) else [p for p in _SPACE.split(t) if p])
                 size += len(t)
                 at += 1
-            fresh = {p for c in cut for p in c} - self.seen.keys()
+            get = self.seen.get
+            got = [list(map(get, c)) for c in cut]
+            fresh = {p for c, g in zip(cut, got) if None in g for p, i in zip(c, g) if i is None}
             if fresh:
                 if len(self.seen) + len(fresh) > _CACHE:
                     self.seen.clear()
-                    fresh = {p for c in cut for p in c}
-                self._learn(sorted(fresh))
-            get = self.seen.__getitem__
-            out += [b"".join(map(get, c)) for c in cut]
+                made = self._learn(list(fresh))
+                got = [[made[p] if i is None else i for p, i in zip(c, g)] if None in g else g for c, g in zip(cut, got)]
+            out += map(b"".join, got)
         return out
 
 

@@ -36,9 +36,12 @@ from pyspark.sql import types as T
 from . import common
 from .bpe import byte_chars
 
-BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 1_000_000, b"LTOK1\0\0\0"
+BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 2_000_000, b"LTOK1\0\0\0"
+#: Files that a task reads.
+FILES_A_TASK = 2
 _HEAD = struct.Struct("<8sIQQQ")
-_CACHE = 900_000
+#: Pieces and words that are remembered, and the longest of them.
+_CACHE, _LONG = 900_000, 200
 #: A space that does not stand before a visible character; the places before those that do.
 _RUNS, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
@@ -159,14 +162,16 @@ def _table(lengths: bytes) -> tuple[np.ndarray, int]:
 
 
 class _Spaced(dict):
-    """ids of a piece that follows a space, made on first use."""
+    """ids of a piece that follows a space, made on first use; long pieces are not kept."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.make(" " + piece)
+        got = self.make(piece)
+        if len(piece) <= _LONG:
+            self[piece] = got
         return got
 
 
@@ -191,24 +196,33 @@ class LibraryEncoder:
         self.chars = dict(enumerate(byte_chars()))
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
+        self.space = self.chars[ord(" ")]
         self.known: dict[str, bytes] = {}
-        self.spaced = _Spaced(self._piece)
+        self.spaced = _Spaced(self._after_space)
+
+    def _model(self, w: str) -> bytes:
+        return array.array(self.kind, [t.id for t in self.model.tokenize(w)]).tobytes()
 
     def _word(self, w: str) -> bytes:
         got = self.known.get(w)
         if got is None:
             if len(self.known) > _CACHE:
                 self.known.clear()
-            ids = [t.id for t in self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(self.chars))]
-            got = self.known[w] = array.array(self.kind, ids).tobytes()
+            got = self._model(w.encode("utf-8").decode("latin-1").translate(self.chars))
+            if len(w) <= _LONG:
+                self.known[w] = got
         return got
 
+    def _after_space(self, body: str) -> bytes:
+        if body.isascii():
+            # visible ASCII stands for itself
+            if body.isalpha():
+                return self._model(self.space + body)
+            if body[-1:] in (".", ",") and body[:-1].isalpha():
+                return self.spaced[body[:-1]] + self._word(body[-1])
+        return self._piece(" " + body)
+
     def _piece(self, p: str) -> bytes:
-        body = p[1:] if p[:1] == " " else p
-        if body.isalpha():
-            return self._word(p)
-        if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return self._word(p[:-1]) + self._word(p[-1])
         return b"".join(map(self._word, self.words.findall(p)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -232,7 +246,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-_IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+_IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("used", T.BinaryType()), T.StructField("times", T.BinaryType())])
 _COUNT = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.LongType())])
 _FILE = T.StructType([T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_bytes", T.LongType())])
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -242,7 +256,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int, file_i
     """Chunks of about ``file_ids`` ids, range-sorted by doc_id.
 
     part grows with doc_id; seq and before count the chunks and ids of the part so far; docs (i64),
-    sizes (u32) and ids (u16, or u32 for large vocabularies) are little-endian arrays.
+    sizes (u32), ids (u16, or u32 for large vocabularies), the ids used (u32) and how many times (u32) are
+    little-endian arrays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +266,10 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int, file_i
         docs, ids, seq, before = [], [], 0, 0
 
         def chunk() -> pa.RecordBatch:
-            sizes = np.array([len(i) // wide for i in ids], dtype="<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([np.array(docs, dtype="<i8").tobytes()]), pa.array([sizes.tobytes()]), pa.array([b"".join(ids)])], names=_IDS.names)
+            sizes, raw = np.array([len(i) // wide for i in ids], dtype="<u4"), b"".join(ids)
+            counts = np.bincount(np.frombuffer(raw, f"<u{wide}"))
+            used = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([np.array(docs, dtype="<i8").tobytes()]), pa.array([sizes.tobytes()]), pa.array([raw]), pa.array([used.astype("<u4").tobytes()]), pa.array([counts[used].astype("<u4").tobytes()])], names=_IDS.names)
 
         held = 0
         for batch in batches:
@@ -277,22 +294,23 @@ def _ids(chunk: pa.BinaryScalar, n: int) -> np.ndarray:
 
 
 def count_ids(encoded: DataFrame, width: int) -> DataFrame:
-    """(id, n): each task counts in one array, then sums are shuffled."""
+    """(id, n): each task adds its chunks' counts in one array, then sums are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, dtype=np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total += np.bincount(_ids(ids, n), minlength=width)
+            for used, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[np.frombuffer(used, "<u4")] += np.frombuffer(times, "<u4")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=_COUNT.names)
 
-    return encoded.select("n_ids", "ids").mapInArrow(run, _COUNT).groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("used", "times").mapInArrow(run, _COUNT).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, width: int, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write token files under ``uri``; the manifest, also at ``uri``/manifest."""
     spark = docs.sparkSession
+    width = library_encoder(path).lib.get_vocab_size()
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     encoded = common.stage(encode_documents(docs, path, end_id, parts, file_ids), "ids")
     counts = np.zeros(width, dtype=np.int64)
@@ -323,7 +341,7 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, width:
                 files.append((name, len(doc_ids), n, starts[part] + before, len(data)))
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate([pa.string()] + [pa.int64()] * 4)], names=_FILE.names)
 
-    encoded.mapInArrow(run, _FILE).write.parquet(f"{uri}/_manifest")
+    encoded.drop("used", "times").mapInArrow(run, _FILE).write.parquet(f"{uri}/_manifest")
     common.rename(spark, f"{uri}/_manifest", f"{uri}/manifest")
     common.release(encoded)
     return spark.read.schema(_FILE).parquet(f"{uri}/manifest")
@@ -345,7 +363,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(begins + first), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=_DOC.names)
 
-    return files.repartition(max(1, files.count()), "file").mapInArrow(run, _DOC)
+    return files.repartition(max(1, -(-files.count() // FILES_A_TASK))).mapInArrow(run, _DOC)
 
 
 def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,5 +371,5 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     uri = common.new_path(spark, "tokens")
-    write_token_files(docs, uri, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=50257)
+    write_token_files(docs, uri, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, uri)
