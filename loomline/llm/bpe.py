@@ -39,8 +39,8 @@ _END = "\ue000"
 #: Control characters that str.split() takes for white space but the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Characters of text that are handled at once, words and pieces that are remembered, and the longest of them.
-_CHUNK, _CACHE, _LONG = 1 << 20, 900_000, 200
+#: Characters of text that are handled at once, words and pieces that are remembered (of pieces twice as many), and the longest of them.
+_CHUNK, _CACHE, _LONG = 1 << 20, 600_000, 200
 
 
 def byte_chars() -> list[str]:
@@ -190,7 +190,9 @@ class TextEncoder:
         self.table = load_table(path)
         self.words = regex.compile(self.WORDS)
         self.chars = byte_chars()
+        #: pieces seen; full, it starts anew beside its old self, from which pieces that recur are taken over
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")") if self.table.special else None
 
@@ -218,6 +220,8 @@ class TextEncoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each piece; pieces and words of moderate length are remembered."""
+        if not pieces:
+            return {}
         cut = [self._to_words(p) for p in pieces]
         known = self.known
         if len(known) > _CACHE:
@@ -246,8 +250,10 @@ class TextEncoder:
             fresh = {p for c, g in zip(cut, got) if None in g for p, i in zip(c, g) if i is None}
             if fresh:
                 if len(self.seen) + len(fresh) > _CACHE:
-                    self.seen.clear()
-                made = self._learn(list(fresh))
+                    self.old, self.seen = self.seen, {}
+                made = {p: self.old[p] for p in fresh if p in self.old}
+                self.seen.update(made)
+                made |= self._learn([p for p in fresh if p not in made])
                 got = [[made[p] if i is None else i for p, i in zip(c, g)] if None in g else g for c, g in zip(cut, got)]
             out += map(b"".join, got)
         return out

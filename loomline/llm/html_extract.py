@@ -11,7 +11,8 @@ block. No row of the input is used for it; the seed makes it the same on each ru
 
 Defined results: a null or empty page gives the empty text; character references are decoded;
 white space within a block becomes one space; blocks are joined by one newline in page order;
-unclosed tags, stray tags and pages without a body are taken as they come; contents of script,
+unclosed tags, stray tags and pages without a body are taken as they come; after a quote that is never
+closed tags end at the next >, and a tag without end ends the page; contents of script,
 style, title, textarea, template and iframe are no text, and such an element without an end goes to
 the end of its block; very long pages are read whole, in one sequence; equal pages give equal texts; other columns pass through unless
 they bear a result's name.
@@ -24,6 +25,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +50,12 @@ _CLOSES = {"p": ("p",), "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd",
 #: Elements that bound the search for something to close.
 _SCOPE = frozenset("html body table td th ul ol dl article section div aside nav footer header main form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+#: A comment, CDATA section, declaration or the start of a tag; a tag with its quoted values; one without regard to quotes.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?(?=[a-zA-Z])", re.S)
+_TAG = re.compile(r"</?(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_PLAIN_TAG = re.compile(r"</?[^>]*+>")
+#: Steps of a path that are kept at either end.
+_STEPS = 32
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -64,19 +71,23 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     text: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
     endless: set[str] = set()
+    opened: Counter[str] = Counter()
+    quotes = True
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = _WHITE.sub(" ", html.unescape("".join(text))).strip()
             if body:
-                out.append((tuple(x[1] for x in stack), body, min(linked, len(body))))
+                near = stack if len(stack) <= 2 * _STEPS else stack[:_STEPS] + stack[-_STEPS:]
+                out.append((tuple(x[1] for x in near), body, min(linked, len(body))))
             text.clear()
         linked = 0
 
     def close(names: tuple[str, ...]) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
+                opened.subtract(x[0] for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in _SCOPE:
@@ -95,7 +106,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         return end
 
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _MARK.search(page, at)
         end = m.start() if m else n
         if end > at:
             text.append(page[at:end])
@@ -104,19 +115,29 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not m:
             break
         tag, at = m.group(), m.end()
-        if tag[1] == "!" or tag[1] == "?":
+        if tag[1:2] in ("!", "?"):
             if tag.startswith("<![CDATA["):
                 text.append(tag[9:].removesuffix("]]>"))
             continue
+        # a page with a quote that is never closed has its tags end at the next >, from there on; a tag without end is the last thing
+        m = _TAG.match(page, end) if quotes else None
+        if not m:
+            quotes, m = False, _PLAIN_TAG.match(page, end)
+        if not m:
+            break
+        tag, at = m.group(), m.end()
         name = _NAME.match(tag)[1].lower()
         if tag[1] == "/":
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in _BLOCK:
                 flush()
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name] > 0:
+                    while True:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                        if last == name:
+                            break
             elif name == "br":
                 text.append(" ")
             continue
@@ -138,6 +159,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if name not in _VOID and not tag.endswith("/>"):
                 marks = [next((v for v in a.groups()[1:] if v), "") if a[1].lower() in ("class", "id", "role", "itemprop") else a[1].lower() + (next((v for v in a.groups()[1:] if v), "")) for a in _ATTR.finditer(tag)] if " " in tag else []
                 stack.append((name, " ".join([name, *marks]).lower()))
+                opened[name] += 1
     flush()
     return out
 
@@ -333,9 +355,14 @@ class SitePages:
             out.append((f"<p>{self.prose()}</p>" if x < 0.68 else f"<p><b>{self.prose()}<br>" if x < 0.78 else f"<h2>{self.words(1, 6)}</h2>" if x < 0.83 else "<ul>" + "".join(f"<li>{self.prose(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>" if x < 0.88 else f"<blockquote>{self.prose()}</blockquote>" if x < 0.91 else f"<pre>{self.prose()}</pre>" if x < 0.93 else f"<table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr></table>" if x < 0.96 else f'<p>{self.prose()} <a href="#">{self.words(1, 3)}</a> {self.prose()}</p>', 1))
             if r.random() < 0.05:
                 out.append((self.side(r.choice(["ad", "share", "form", "side", "notice", "nav"])), 0))
+        if r.random() < 0.05:
+            # a long run of the same paragraph, and now and then a long list of links after it
+            out += [(f"<p>{self.prose(1, 20)}</p>", 1)] * r.randint(20, 150)
         if r.random() < 0.15:
             out.append((self.side("comment"), 0))
         out.append((f"</{tag}>" + ("</div>" if wrap.startswith("<div") else "</main>" if wrap else ""), -1))
+        if r.random() < 0.03:
+            out.append((f"<nav><ul>{''.join(f'<li>{x}</li>' for x in self.links(r.randint(20, 100)))}</ul></nav>", 0))
         for kind in ("share", "ad", "side", "comment", "form", "notice", "nav"):
             if r.random() < {"comment": 0.45, "side": 0.4}.get(kind, 0.2):
                 out.append((self.side(kind), 0))

@@ -40,8 +40,8 @@ BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 2_000_000, b"LTOK1\0\0\0"
 #: Files that a task reads.
 FILES_A_TASK = 2
 _HEAD = struct.Struct("<8sIQQQ")
-#: Pieces and words that are remembered, and the longest of them.
-_CACHE, _LONG = 900_000, 200
+#: Pieces and words that are remembered (of pieces twice as many), and the longest of them.
+_CACHE, _LONG = 600_000, 200
 #: A space that does not stand before a visible character; the places before those that do.
 _RUNS, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
@@ -162,18 +162,28 @@ def _table(lengths: bytes) -> tuple[np.ndarray, int]:
 
 
 class _Spaced(dict):
-    """ids of a piece that follows a space, made on first use; long pieces are not kept."""
+    """ids of a piece that follows a space, made on first use; long pieces are not kept.
+
+    Full, it starts anew beside its old self, from which pieces that recur are taken over.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.make(piece)
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(piece)
         if len(piece) <= _LONG:
             self[piece] = got
         return got
 
+    def tidy(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
 
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE over words, which are remembered.
@@ -229,8 +239,7 @@ class LibraryEncoder:
         """Ids of each text as integers of ``kind``."""
         out, spaced, odd = [], self.spaced, _RUNS.search
         for text in texts:
-            if len(spaced) > _CACHE:
-                spaced.clear()
+            spaced.tidy(_CACHE)
             if any(s in text for s in self.special):
                 out.append(array.array(self.kind, self.lib.encode(text, add_special_tokens=False).ids).tobytes())
             elif odd(text):

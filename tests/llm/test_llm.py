@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -97,6 +98,18 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_rows(empty, 4).count() == 0
 
 
+def test_sharding_places_repeated_and_null_ids_once(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (None, "c", "z"), (None, None, "w"), (2, "long " * 500, "v"), (2, "long " * 500, "u"), (3, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumn("__key", F.lit(1))
+    for carry in (True, False):
+        got = sharding.shard_rows(df, shards=3, carry=carry).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+        for shard in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+        if carry:
+            assert sorted(r["__id"] for r in got) == sorted(r[2] for r in rows) and {r["__key"] for r in got} == {1}
+
+
 def test_line_dedup(spark, empty):
     line = "A Line that is Long enough"
     rows = [(1, f"{line}\nown\n{line}"), (2, f"  {line.upper()}\t\nb"), (3, f"x\n{line}"), (4, line), (5, "tiny\ntiny"), (6, None), (7, ""), (8, "tiny"), (9, "tiny\n" + "z" * 25), (10, "z" * 25)]
@@ -386,6 +399,69 @@ def test_html_keeps_formulas_and_what_follows_unclosed_elements():
         assert texts(f"a<{name}>x y") == ["a"]
 
 
+def test_html_unclosed_quotes_and_tags():
+    texts = lambda page: [b[1] for b in html_extract.blocks_of(page)]
+    assert texts('<p title="abc>hello world</p><p>x</p>') == ["hello world", "x"]
+    assert texts('<p title="a>b" class=x>he < llo</p><p>end <a href="y') == ["he < llo", "end"]
+    for piece in ("<a 'x\"", "<div>x", "<p", '<p title="', "<script>", "<!--", "<p>a<b", "<div><script>"):
+        start = time.time()
+        html_extract.blocks_of(piece * (1_000_000 // len(piece)))
+        assert time.time() - start < 20, piece
+    start = time.time()
+    html_extract.blocks_of("<div>" * 80_000 + "</p>" * 80_000)
+    assert time.time() - start < 20
+
+
+def test_lstm_is_the_plain_recurrence():
+    r = np.random.default_rng(3)
+    m = html_extract.BlockLabeller(seed=2, dim=5, hidden=3)
+    pages = [r.normal(size=(n, 5)).astype(np.float32) for n in (4, 1, 7)]
+    x, mask, _ = html_extract.padded(pages)
+    got = m.score(x, mask)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for p, page in enumerate(pages):
+        states = {}
+        for d in "fb":
+            h, c = np.zeros(3), np.zeros(3)
+            for t in range(len(page)) if d == "f" else reversed(range(len(page))):
+                z = page[t] @ m.p[f"w{d}"] + m.p[f"b{d}"] + h @ m.p[f"u{d}"]
+                i, f, o, g = sig(z[:3]), sig(z[3:6]), sig(z[6:9]), np.tanh(z[9:])
+                c = f * c + i * g
+                h = o * np.tanh(c)
+                states[d, t] = h
+        want = [sig(np.r_[states["f", t], states["b", t]] @ m.p["o"] + m.p["c"][0]) for t in range(len(page))]
+        assert np.allclose(got[p, : len(page)], want, atol=1e-5)
+
+
+def test_forest_is_the_plain_boosting():
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(float)
+    forest = quality.fit(x, y, trees=3, depth=2, bins=16)
+    # one row at a time, through all trees
+    for row, s in zip(x[:50], forest.score(x[:50])):
+        total = forest.base
+        for f, c, leaf in zip(forest.feature, forest.cut, forest.leaf):
+            node = 0
+            for _ in range(2):
+                node = 2 * node + 1 + (row[f[node]] > c[node])
+            total += leaf[node - 3]
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-12
+    # the first split has the largest gain of all cuts at quantiles of all features
+    p = np.full(len(y), y.mean())
+    grad, hess = p - y, p * (1 - p)
+    best = (0.0, None)
+    for f in range(4):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])):
+            left = x[:, f] <= cut
+            if min(hess[left].sum(), hess[~left].sum()) < quality.LEAST / 4:
+                continue
+            gain = sum(grad[m].sum() ** 2 / (hess[m].sum() + quality.L2) for m in (left, ~left)) - grad.sum() ** 2 / (hess.sum() + quality.L2)
+            if gain > best[0] + 1e-9:
+                best = (gain, (f, cut))
+    assert (forest.feature[0, 0], forest.cut[0, 0]) == best[1]
+
+
 def test_html_held_out():
     model, site, wrong, n = html_extract.trained(), html_extract.SitePages(321), 0, 0
     for _ in range(150):
