@@ -38,7 +38,7 @@ from .bpe import byte_chars
 
 BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 2_000_000, b"LTOK1\0\0\0"
 #: Files that a task reads.
-FILES_A_TASK = 2
+FILES_A_TASK = 8
 _HEAD = struct.Struct("<8sIQQQ")
 #: Pieces and words that are remembered (of pieces twice as many), and the longest of them.
 _CACHE, _LONG = 600_000, 200
