@@ -39,8 +39,8 @@ _END = "\ue000"
 #: Control characters that str.split() takes for white space but the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Characters of text that are handled at once, words and pieces that are remembered (of pieces twice as many), and the longest of them.
-_CHUNK, _CACHE, _LONG = 1 << 20, 600_000, 200
+#: Characters of text that are handled at once, words and pieces that are remembered (of pieces twice as many), the longest of them, and pieces kept between tasks.
+_CHUNK, _CACHE, _LONG, _KEPT = 1 << 20, 400_000, 200, 150_000
 
 
 def byte_chars() -> list[str]:
@@ -234,6 +234,12 @@ class TextEncoder:
         self.seen.update(made if max(map(len, pieces), default=0) <= _LONG else {p: i for p, i in made.items() if len(p) <= _LONG})
         return made
 
+    def trim(self) -> None:
+        """Between tasks a process, which may go on to other work, keeps words and a moderate number of pieces only."""
+        self.old = {}
+        if len(self.seen) > _KEPT:
+            self.seen = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -277,6 +283,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", with_ids:
             decoded = [hashlib.sha256(enc.table.decode(np.frombuffer(i, "<u4")).encode("utf-8")).hexdigest() for i in ids]
             cols = [batch.column(c) for c in extra] + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names=schema.names)
+        enc.trim()
 
     return docs.select(*extra, common.text_of(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
 

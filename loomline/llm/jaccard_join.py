@@ -20,7 +20,8 @@ within a window of twice the radius, to further ones, are split again with new p
 not shrink is joined block by block. All steps are exact; only connections are kept, pairs are
 not written out.
 
-Equal sets are one class, compared once. Shingles are 64-bit hashes.
+Equal sets are one class; of each a task passes on one document only, and these are connected from
+the start. Shingles are 64-bit hashes.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; fewer words
 than a shingle are one shingle; very long texts have all their shingles; an empty table gives an
@@ -47,13 +48,13 @@ WORDS, PERCENT = 4, 85
 #: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a region's documents that are too many for one.
 REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 1.5
 #: Rounds of pivots and rings before regions are joined; documents compared with a pivot by one task.
-ROUNDS, PIVOT_DOCS = 2, 256
+ROUNDS, PIVOT_DOCS = 1, 256
 #: Bits of the filter of routed ids; common shingles wanted at most; least count of one.
 FILTER_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 21, 8
 #: Bits of the maps of common shingles; the next map holds those that are LEVEL_STEP times as frequent.
 LEVEL_BITS, LEVEL_STEP = (1 << 25, 1 << 23, 1 << 22, 1 << 22), 8
-#: Bytes of text cut into words at once; documents of a key held at once; posting entries walked at once.
-_AT_ONCE, _HELD, _POSTS = 1 << 18, 20_000, 4_000_000
+#: Bytes of text cut into words at once; documents of a key held at once; posting entries walked at once; sets that a task remembers.
+_AT_ONCE, _HELD, _POSTS, _SEEN = 1 << 18, 20_000, 4_000_000, 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -339,7 +340,7 @@ def _bit_map(slots: DataFrame, bits: int) -> bytes:
 
 def _sketch(words: int, percent: int, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes, levels = Routes(percent), often.value
+        routes, levels, seen = Routes(percent), often.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
@@ -349,7 +350,11 @@ def _sketch(words: int, percent: int, often):
                     n.append(len(s))
                     f1.append((f & (1 << 64) - 1) - (1 << 63))
                     f2.append((f >> 64) - (1 << 63))
-                    keys.append(routes.keys(s, levels).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    # one of a task's equal sets speaks for all
+                    keys.append(routes.keys(s, levels).view(np.int64) if len(s) and f not in seen else np.zeros(0, np.int64))
+                    if len(seen) > _SEEN:
+                        seen.clear()
+                    seen.add(f)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=_DOC.names)
 
     return run
@@ -635,16 +640,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # LEVEL_BITS / 8 bytes
     sketch = common.stage(docs.mapInArrow(_sketch(words, percent, often), _DOC), "sketch")
-    classes = common.stage(sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    keyed = sketch.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    meet = common.stage(meetings(keyed), "meet")
-    members = common.stage(sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
+    speaks = F.size("keys") > 0
+    classes = sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.when(speaks, F.col("doc_id"))).alias("node"))
+    classes = common.stage(classes, "classes")
+    meet = common.stage(meetings(sketch.select(F.explode("keys").alias("key"), "doc_id")), "meet")
+    same = sketch.where(speaks).select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> node")
+    found = [common.stage(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same")]
+    members = sketch.select("doc_id", "n", "f1", "f2").join(classes.drop("rep"), ["f1", "f2"], "left").select("doc_id", "n", "node")
+    members = common.stage(members, "members")
     common.release(sketch)
-    common.release(classes)
     routed = meet.select("doc_id").distinct()
     sets = common.stage(region_sets(docs, id_filter(routed, "doc_id"), words).join(routed, "doc_id", "left_semi"), "sets")
-    found: list[DataFrame] = []
     for level in range(rounds):
         pairs = meet.where("doc_id <> p_id").select("p_id", "doc_id").distinct()
         dist = common.stage(pivot_distances(pairs, sets, percent), "distances")
@@ -659,10 +665,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             common.release(rows)
     rows = merged(rows, members.select("doc_id", "n"), max_docs, max_shingles)
     found += link_edges(rows.join(sets, "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
-    parts = components(functools.reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "rep")
-    out = members.join(parts, "rep", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # a component's name is the smallest document of all its classes
+    parts = classes.join(components(functools.reduce(DataFrame.unionByName, found)), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
+    parts = common.stage(parts, "parts")
+    parts = parts.join(parts.groupBy("part").agg(F.min("rep").alias("first")), "part").select("node", "first")
+    out = members.join(parts, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     out = common.stage(out, "groups")
-    for old in (sets, rows, members, *found):
+    for old in (sets, rows, members, classes, *found):
         common.release(old)
     return out
 

@@ -168,7 +168,7 @@ def brute_components(n, linked):
     return label
 
 
-@pytest.mark.parametrize("options", [{}, {"max_docs": 3}, {"max_docs": 3, "rounds": 1}])
+@pytest.mark.parametrize("options", [{}, {"max_docs": 3}, {"max_docs": 3, "rounds": 3}])
 def test_jaccard_join(spark, options):
     r = random.Random(2)
     base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice([2, 5, 9, 30, 120]))] for _ in range(14)]
