@@ -50,7 +50,7 @@ REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 1.5
 #: Rounds of pivots and rings before regions are joined; documents compared with a pivot by one task.
 ROUNDS, PIVOT_DOCS = 1, 256
 #: Bits of the filter of routed ids; common shingles wanted at most; least count of one.
-FILTER_BITS, COMMON_MOST, COMMON_LEAST = 1 << 23, 1 << 21, 8
+FILTER_BITS, COMMON_MOST, COMMON_LEAST = 1 << 24, 1 << 21, 8
 #: Bits of the maps of common shingles; the next map holds those that are LEVEL_STEP times as frequent.
 LEVEL_BITS, LEVEL_STEP = (1 << 25, 1 << 23, 1 << 22, 1 << 22), 8
 #: Bytes of text cut into words at once; documents of a key held at once; posting entries walked at once; sets that a task remembers.
@@ -279,9 +279,9 @@ def join_sets(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT
 
 
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-_SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_MEET = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("p_id", T.LongType())])
+_MEET = T.StructType([T.StructField("region", T.LongType()), T.StructField("part", T.LongType()), T.StructField("p_id", T.LongType()), T.StructField("docs", T.ArrayType(T.LongType()))])
 _DIST = T.StructType([T.StructField("p_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("near", T.BooleanType()), T.StructField("ring", T.IntegerType())])
 _CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
@@ -365,12 +365,15 @@ def _id_slot(col):
 
 
 def id_filter(ids: DataFrame, col: str) -> bytes:
-    """A bit map of FILTER_BITS bits of hashed ids: 1 MB whatever the input."""
+    """A bit map of FILTER_BITS bits of hashed ids: 2 MB whatever the input."""
     return _bit_map(ids.select(_id_slot(F.col(col)).alias("s")), FILTER_BITS)
 
 
 def region_sets(docs: DataFrame, bits: bytes, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents whose id is in the filter."""
+    """(doc_id, n, counts, shingles) of the documents whose id is in the filter, and of a few others.
+
+    counts: how many shingles fall into each of a power of two of about n / 4 classes, a byte each; empty if one holds over 255.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(bits, np.uint8)
@@ -379,11 +382,50 @@ def region_sets(docs: DataFrame, bits: bytes, words: int) -> DataFrame:
             some = np.flatnonzero(mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             for at in range(0, len(some), 500):
                 b = batch.take(pa.array(some[at : at + 500]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), words)], pa.binary())], names=_SET.names)
+                n, counts, sets = [], [], []
+                for s in shingle_sets(b.column(1), words):
+                    k = max(1, len(s) // 4).bit_length()
+                    c = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+                    n.append(len(s))
+                    counts.append(c.astype(np.uint8).tobytes() if c.max() < 256 else b"")
+                    sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), pa.array(sets, pa.binary())], names=_SET.names)
 
     return docs.select("doc_id", "text", _id_slot(F.col("doc_id")).alias("slot")).mapInArrow(run, _SET)
 
 
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``sets`` whose id may be in ``ids``: a bit map of FILTER_BITS bits, 2 MB, is broadcast."""
+    slot = _id_slot(F.col("doc_id"))
+    maps = ids.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("__block")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("__bits"))
+    rows = sets.withColumn("__s", slot).withColumn("__block", F.expr("__s div 32768")).join(F.broadcast(maps), "__block")
+    return rows.where("(conv(hex(substring(__bits, cast((__s % 32768) div 8 as int) + 1, 1)), 16, 10) >> cast(__s % 8 as int)) & 1 = 1").select(*sets.columns)
+
+
+def may_link(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p_id, doc_id) whose classes' counts allow a link: the sum of their differences is no more than that of the sets.
+
+    The classes are pivots of a kind: each bounds the distance of two sets by the triangle inequality.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i, (m, n, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)))):
+                if x and y:
+                    u, v = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+                    k = min(len(u), len(v))
+                    differ = int(np.abs(u.reshape(k, -1).sum(axis=1) - v.reshape(k, -1).sum(axis=1)).sum())
+                    if differ * (100 + percent) > (m + n) * (100 - percent):
+                        continue
+                keep.append(i)
+            some = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["p_id", "doc_id"])
+
+    own = pairs.join(counts.select(F.col("doc_id").alias("p_id"), F.col("n").alias("m"), F.col("counts").alias("p_counts")), "p_id").join(counts, "doc_id")
+    return own.select("p_id", "doc_id", "m", "n", "p_counts", "counts").mapInArrow(run, "p_id long, doc_id long")
+
+
 def _edges(ids: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
     """Edges from each document to the first one of its label."""
     order = np.lexsort((ids, label))
@@ -419,18 +461,19 @@ def meetings(keyed: DataFrame) -> DataFrame:
             if len(seen) > 500_000:
                 seen.clear()
             seen.update(name[at].tolist())
-            m = size[at]
-            rows = np.repeat(first[at] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if len(at) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name[at], m).view(np.int64)), pa.array(doc[rows]), pa.array(np.repeat(doc[first[at]], m))], names=_MEET.names)
+            docs = pa.array([doc[a : a + m] for a, m in zip(first[at].tolist(), size[at].tolist())], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(doc[first[at]]), docs], names=_MEET.names)
 
         def part(key: int, pivot: int, doc: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), key)), pa.array(doc), pa.array(np.full(len(doc), pivot))], names=_MEET.names)
+            """Some documents of a key of very many; parts are named by their last document."""
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([int(doc[-1])]), pa.array([pivot]), pa.array([doc], pa.list_(pa.int64()))], names=_MEET.names)
 
         for b in batches:
             key, doc = np.r_[key, b.column(0).to_numpy()], np.r_[doc, b.column(1).to_numpy()]
             if begun:
                 own = int(np.searchsorted(key != begun[0], True))
-                yield part(*begun, doc[:own])
+                if own:
+                    yield part(*begun, doc[:own])
                 key, doc = key[own:], doc[own:]
                 if len(key):
                     begun = None
@@ -449,7 +492,8 @@ def meetings(keyed: DataFrame) -> DataFrame:
             yield whole(key, doc)
 
     rows = keyed.select("key", "doc_id").repartition("key").sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id")
-    return rows.mapInArrow(run, _MEET).distinct()
+    rows = rows.mapInArrow(run, _MEET).groupBy("region", "part").agg(F.first("p_id").alias("p_id"), F.first("docs").alias("docs"))
+    return rows.select("region", "p_id", F.explode("docs").alias("doc_id"))
 
 
 def pivot_distances(pairs: DataFrame, sets: DataFrame, percent: int, most: int = PIVOT_DOCS) -> DataFrame:
@@ -482,13 +526,20 @@ def pivot_distances(pairs: DataFrame, sets: DataFrame, percent: int, most: int =
 
 
 def rings(meet: DataFrame, dist: DataFrame, label: DataFrame) -> DataFrame:
-    """(region, doc_id, label, ring regions' home) of the next round: each document in its ring and, as a visitor, in the next one."""
-    rows = meet.where("doc_id <> p_id").join(dist, ["p_id", "doc_id"])
-    rows = rows.select("region", "doc_id", F.explode(F.array(F.struct(F.col("ring").alias("ring"), F.lit(1).alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(0).alias("home")))).alias("r"))
-    rows = rows.select(F.xxhash64("region", "r.ring").alias("region"), "doc_id", "r.home")
-    rows = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    live = rows.groupBy("region").agg(F.max("home").alias("h"), F.min("label").alias("x"), F.max("label").alias("y")).where("h = 1 and x <> y").select("region")
-    return rows.join(live.hint("merge"), "region", "left_semi").select("region", "doc_id", "label")  # a merge join splits a region of many documents
+    """(region, doc_id, label) of the next round, without the pivots: each document in its ring and, as a visitor, in the next one.
+
+    A region stays whole if some of its documents are too far from the pivot for their distance to be known.
+    """
+    rows = common.stage(meet.where("doc_id <> p_id").join(dist, ["p_id", "doc_id"], "left").select("region", "doc_id", "ring"), "measured")
+    far = rows.where("ring IS NULL").select("region").distinct().hint("merge")
+    ringed = rows.join(far, "region", "left_anti").select("region", "doc_id", F.explode(F.array(F.struct(F.col("ring").alias("ring"), F.lit(1).alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(0).alias("home")))).alias("r"))
+    ringed = ringed.select(F.xxhash64("region", "r.ring").alias("region"), "doc_id", "r.home")
+    whole = rows.join(far, "region", "left_semi").select("region", "doc_id", F.lit(1).alias("home"))
+    named = ringed.unionByName(whole).join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    live = named.groupBy("region").agg(F.max("home").alias("h"), F.min("label").alias("x"), F.max("label").alias("y")).where("h = 1 and x <> y").select("region")
+    out = common.stage(named.join(live.hint("merge"), "region", "left_semi").select("region", "doc_id", "label"), "rings")  # a merge join splits a region of many documents
+    common.release(rows)
+    return out
 
 
 def join_small(rows: DataFrame, percent: int) -> DataFrame:
@@ -583,7 +634,7 @@ def merged(rows: DataFrame, sizes: DataFrame, max_docs: int, max_shingles: int)
     docs = rows.select("doc_id", "label").distinct().join(hang.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
     alone = whole.join(hang.withColumnRenamed("node", "h"), "h").groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
     fits = docs.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).join(alone, "component")
-    fits = fits.where(((F.col("docs") <= max_docs) & (F.col("weight") <= max_shingles)) | (F.col("docs") * F.col("docs") <= F.col("pairs"))).select("component")
+    fits = fits.where(((F.col("docs") <= max_docs) & (F.col("weight") <= max_shingles)) | (F.col("docs") * F.col("docs") <= F.col("pairs"))).select("component").hint("merge")
     joined = docs.join(fits, "component").select(F.xxhash64(F.lit("all"), "component").alias("region"), "doc_id", "label")
     loose = rows.join(hang.select(F.col("node").alias("doc_id"), "component").join(fits, "component", "left_anti"), "doc_id").select("region", "doc_id", "label")
     out = common.stage(joined.unionByName(loose), "open")
@@ -644,19 +695,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.when(speaks, F.col("doc_id"))).alias("node"))
     classes = common.stage(classes, "classes")
     meet = common.stage(meetings(sketch.select(F.explode("keys").alias("key"), "doc_id")), "meet")
-    same = sketch.where(speaks).select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> node")
-    found = [common.stage(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same")]
+    # a class is one node, its smallest document that speaks for it
+    named = sketch.where(speaks).select("doc_id", "f1", "f2").join(classes.drop("rep"), ["f1", "f2"]).where("doc_id <> node").select("doc_id", "node")
+    named = common.stage(named, "named")
+    old, p_named = meet, named.withColumnsRenamed({"doc_id": "p_id", "node": "p_node"})
+    meet = meet.join(named, "doc_id", "left").join(p_named, "p_id", "left").select("region", F.coalesce("node", "doc_id").alias("doc_id"), F.coalesce("p_node", "p_id").alias("p_id")).distinct()
+    meet = common.stage(meet, "meet")
+    common.release(old)
+    common.release(named)
     members = sketch.select("doc_id", "n", "f1", "f2").join(classes.drop("rep"), ["f1", "f2"], "left").select("doc_id", "n", "node")
     members = common.stage(members, "members")
     common.release(sketch)
     routed = meet.select("doc_id").distinct()
-    sets = common.stage(region_sets(docs, id_filter(routed, "doc_id"), words).join(routed, "doc_id", "left_semi"), "sets")
+    sets = common.stage(region_sets(docs, id_filter(routed, "doc_id"), words), "sets")
+    found: list[DataFrame] = []
     for level in range(rounds):
         pairs = meet.where("doc_id <> p_id").select("p_id", "doc_id").distinct()
+        pairs = common.stage(may_link(pairs, sets.select("doc_id", "n", "counts"), percent), "pairs")
         dist = common.stage(pivot_distances(pairs, sets, percent), "distances")
+        common.release(pairs)
         found.append(common.stage(dist.where("near").select(F.col("doc_id").alias("a"), F.col("p_id").alias("b")), "links"))
         label = components(functools.reduce(DataFrame.unionByName, found))
-        rows = common.stage(rings(meet, dist, label), "rings")
+        rows = rings(meet, dist, label)
         for old in (meet, dist):
             common.release(old)
         if level < rounds - 1:
@@ -664,7 +724,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             meet = common.stage(rows.join(first.hint("merge"), "region").select("region", "doc_id", "p_id"), "meet")
             common.release(rows)
     rows = merged(rows, members.select("doc_id", "n"), max_docs, max_shingles)
-    found += link_edges(rows.join(sets, "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
+    found += link_edges(rows.join(only(sets, rows.select("doc_id").distinct()), "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
     # a component's name is the smallest document of all its classes
     parts = classes.join(components(functools.reduce(DataFrame.unionByName, found)), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     parts = common.stage(parts, "parts")
