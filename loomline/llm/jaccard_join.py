@@ -521,7 +521,8 @@ def pivot_distances(pairs: DataFrame, sets: DataFrame, percent: int, most: int =
     load = pairs.groupBy("p_id").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
     docs = pairs.join(load, "p_id").select("p_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("is_doc"), "doc_id")
     pivots = load.select("p_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_doc"), F.col("p_id").alias("doc_id"))
-    rows = docs.unionByName(pivots).join(sets.select("doc_id", "shingles"), "doc_id").select("p_id", "salt", "is_doc", "doc_id", "shingles")
+    needed = only(sets.select("doc_id", "shingles"), docs.select("doc_id").unionByName(pivots.select("doc_id")))
+    rows = docs.unionByName(pivots).join(needed, "doc_id").select("p_id", "salt", "is_doc", "doc_id", "shingles")
     return rows.repartition("p_id", "salt").sortWithinPartitions("p_id", "salt", "is_doc", "doc_id").mapInArrow(run, _DIST)
 
 
@@ -724,14 +725,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             meet = common.stage(rows.join(first.hint("merge"), "region").select("region", "doc_id", "p_id"), "meet")
             common.release(rows)
     rows = merged(rows, members.select("doc_id", "n"), max_docs, max_shingles)
-    found += link_edges(rows.join(only(sets, rows.select("doc_id").distinct()), "doc_id").select("region", "doc_id", "shingles", "label"), percent, max_docs, max_shingles)
+    filled = common.stage(rows.join(only(sets, rows.select("doc_id").distinct()), "doc_id").select("region", "doc_id", "shingles", "label"), "filled")
+    found += link_edges(filled, percent, max_docs, max_shingles)
     # a component's name is the smallest document of all its classes
     parts = classes.join(components(functools.reduce(DataFrame.unionByName, found)), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     parts = common.stage(parts, "parts")
     parts = parts.join(parts.groupBy("part").agg(F.min("rep").alias("first")), "part").select("node", "first")
     out = members.join(parts, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     out = common.stage(out, "groups")
-    for old in (sets, rows, members, classes, *found):
+    for old in (sets, rows, filled, members, classes, *found):
         common.release(old)
     return out
 
