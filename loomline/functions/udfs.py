@@ -1,4 +1,4 @@
-"""SQL functions over packed series: ts_compress, ts_decompress, ts_extract and ts_rebuild."""
+"""SQL functions over packed series: ts_compress, ts_decompress, ts_extract and ts_rebuild; null gives null."""
 
 from __future__ import annotations
 
@@ -22,11 +22,11 @@ def _decompress(payload: pd.Series) -> pd.Series:
 
 
 def _extract(payload: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([codec.extract(p) for p in payload], columns=_EXTRACTED.names)
+    return pd.DataFrame([(None, None) if p is None else codec.extract(p) for p in payload], columns=_EXTRACTED.names)
 
 
 def _rebuild(indices: pd.Series, coefficients: pd.Series, method: pd.Series) -> pd.Series:
-    return pd.Series([codec.rebuild(i, c, m) for i, c, m in zip(indices, coefficients, method)], dtype=object)
+    return pd.Series([None if i is None or c is None else codec.rebuild(i, c, m) for i, c, m in zip(indices, coefficients, method)], dtype=object)
 
 
 def register(spark: SparkSession) -> None:

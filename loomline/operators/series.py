@@ -98,21 +98,36 @@ def compress(packed: DataFrame, method: Method | int | str, config: dict | str |
     return out if permissive else out.drop("error_code")
 
 
-def decompress(compressed: DataFrame) -> DataFrame:
+def _guarded(df: DataFrame, drop: list[str], fields: list[T.StructField], step, permissive: bool) -> DataFrame:
+    """Rows mapped by ``step``; permissive: a refused row gets nulls and its error_code, others the code 0."""
+
+    def guarded(r: dict) -> tuple:
+        try:
+            return (*step(r), 0)
+        except SeriesError as e:
+            return (*[None] * len(fields), e.code)
+
+    return _mapped(df, drop, [*fields, T.StructField("error_code", T.IntegerType())], guarded) if permissive else _mapped(df, drop, fields, step)
+
+
+def decompress(compressed: DataFrame, permissive: bool = False) -> DataFrame:
     """(…, payload) to (…, values)."""
-    return _mapped(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py() or b""),))
+    return _guarded(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py() or b""),), permissive)
 
 
-def extract(compressed: DataFrame) -> DataFrame:
-    """(…, payload) to (…, indices, coefficients)."""
+def extract(compressed: DataFrame, permissive: bool = False) -> DataFrame:
+    """(…, payload) to (…, indices, coefficients).
+
+    A series of one point is stored raw and has neither: it is refused, or null if permissive.
+    """
     fields = [T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("coefficients", T.ArrayType(T.DoubleType()))]
-    return _mapped(compressed, ["payload"], fields, lambda r: codec.extract(r["payload"].as_py() or b""))
+    return _guarded(compressed, ["payload"], fields, lambda r: codec.extract(r["payload"].as_py() or b""), permissive)
 
 
-def rebuild(extracted: DataFrame, method: Method | int | str) -> DataFrame:
+def rebuild(extracted: DataFrame, method: Method | int | str, permissive: bool = False) -> DataFrame:
     """(…, indices, coefficients) to (…, payload)."""
     method = method_of(method)
-    return _mapped(extracted, ["indices", "coefficients"], [T.StructField("payload", T.BinaryType())], lambda r: (codec.rebuild(r["indices"].as_py(), r["coefficients"].as_py(), method),))
+    return _guarded(extracted, ["indices", "coefficients"], [T.StructField("payload", T.BinaryType())], lambda r: (codec.rebuild(r["indices"].as_py() or [], r["coefficients"].as_py() or [], method),), permissive)
 
 
 def evaluate(points: DataFrame, decoded: DataFrame, keys: list[str], bound: float | None = None) -> DataFrame:

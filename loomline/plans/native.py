@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..kernels.values import FRACTION_BITS, bucket
-from ..methods import Method, bound32, method_of
+from ..methods import Method, SeriesError, bound32, method_of
 
 M = Method
 
@@ -45,8 +45,13 @@ def aggregate(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * (F.col("c0") + F.col("c1")) / 2).alias("total"), F.min(F.least("c0", "c1")).alias("least"), F.max(F.greatest("c0", "c1")).alias("most"))
 
 
+_SEGMENTED = frozenset({M.PoorMansCompressionMidrange, M.PoorMansCompressionMean, M.PiecewiseConstantHistogram, M.PiecewiseLinearHistogram, M.SwingFilter, M.SwingFilterDisconnected, M.SlideFilter, M.SlidingWindow, M.BottomUp, M.VisvalingamWhyatt, M.LargestTriangleThreeBuckets})
+
+
 def segment_table(extracted: DataFrame, keys: list[str], method: Method | int | str) -> DataFrame:
-    """Segment table of extracted constants, chained lines or disjoint lines."""
+    """Segment table of extracted constants, chained lines or disjoint lines; other models are refused."""
+    if method_of(method) not in _SEGMENTED:
+        raise SeriesError("UnsupportedMethod", f"{method_of(method).name} has no table of lines between end values")
     method, ends, c = method_of(method), F.col("indices"), F.col("coefficients")
     incl = 1 if method in (M.SlidingWindow, M.BottomUp, M.VisvalingamWhyatt, M.LargestTriangleThreeBuckets) else 0
     if method in (M.PoorMansCompressionMidrange, M.PoorMansCompressionMean, M.PiecewiseConstantHistogram):

@@ -99,3 +99,23 @@ def test_stream(spark, points, tmp_path):
     found = native.segment_table(series.extract(series.compress(packed, M.PoorMansCompressionMidrange, {"abs_error_bound": 5.0})), ["id"], M.PoorMansCompressionMidrange)
     want = sorted((r.id, r.start_idx, r.end_idx, r.c0) for r in found.collect() if r.end_idx < 60)
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_permissive_verbs_and_refused_tables(spark):
+    packed = spark.createDataFrame([(1, [1.0, 2.0, 4.0, 4.5]), (2, [7.0])], "id long, values array<double>")
+    small = series.compress(packed, M.SwingFilter, {"abs_error_bound": 0.5})
+    got = {r.id: r for r in series.extract(small, permissive=True).collect()}
+    assert got[1].error_code == 0 and got[1].indices and got[2].error_code != 0 and got[2].indices is None and got[2].coefficients is None
+    back = {r.id: r for r in series.rebuild(series.extract(small, permissive=True).drop("error_code"), M.SwingFilter, permissive=True).collect()}
+    assert back[1].error_code == 0 and back[2].error_code != 0 and back[2].payload is None
+    broken = small.withColumn("payload", F.when(F.col("id") == 1, F.col("payload")))
+    assert {r.id: r.error_code == 0 for r in series.decompress(broken, permissive=True).collect()}[2]
+    for method in (M.ABCLinearApproximation, M.SimPiece, M.MixPiece, M.NonLinearApproximation, M.DiscreteFourierTransform):
+        with pytest.raises(SeriesError):
+            native.segment_table(series.extract(small), ["id"], method)
+
+
+def test_sql_functions_of_null(spark):
+    udfs.register(spark)
+    row = spark.sql("SELECT ts_extract(CAST(NULL AS BINARY)) AS e, ts_rebuild(CAST(NULL AS ARRAY<BIGINT>), CAST(NULL AS ARRAY<DOUBLE>), 'SwingFilter') AS r").first()
+    assert row.r is None and (row.e is None or (row.e.indices is None and row.e.coefficients is None))
