@@ -40,7 +40,7 @@ _END = "\ue000"
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Characters of text that are handled at once, words and pieces that are remembered (of pieces twice as many), the longest of them, and pieces kept between tasks.
-_CHUNK, _CACHE, _LONG, _KEPT = 1 << 20, 400_000, 200, 150_000
+_CHUNK, _CACHE, _LONG, _KEPT = 1 << 20, 300_000, 200, 150_000
 
 
 def byte_chars() -> list[str]:
@@ -284,6 +284,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", with_ids:
             cols = [batch.column(c) for c in extra] + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names=schema.names)
         enc.trim()
+        common.give_back()
 
     return docs.select(*extra, common.text_of(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,5 +86,10 @@ def range_index(key: Column, bounds: list[int]) -> Column:
     return (block * step + F.size(F.filter(F.slice(fine, block * step + 1, F.lit(step)), lambda b: b <= key))).cast("int")
 
 
-def tidy_tmp(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+def give_back() -> None:
+    """Return freed memory of this Python process to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

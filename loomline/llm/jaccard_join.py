@@ -286,7 +286,7 @@ _DIST = T.StructType([T.StructField("p_id", T.LongType()), T.StructField("doc_id
 _CELL = T.StructType([T.StructField("region", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("a", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("home", T.BooleanType())])
 
 
-def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> CommonLevels:
+def common_shingles(docs: DataFrame, words: int, held: int = 1_500_000) -> CommonLevels:
     """Bit maps of the hashes of shingles that recur: LEVEL_BITS bits whatever the input.
 
     Tasks count about ``held`` shingles at a time and pass on those they met twice; the least count is
@@ -298,7 +298,11 @@ def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> Commo
         parts, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            s = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            parts.clear()
+            s.sort()
+            first = np.flatnonzero(np.r_[len(s) > 0, s[1:] != s[:-1]][: len(s)])
+            s, n = s[first], np.diff(np.r_[first, len(s)])
             again = n > 1
             return pa.RecordBatch.from_arrays([pa.array(s[again].view(np.int64)), pa.array(n[again])], names=schema.names)
 
@@ -309,8 +313,9 @@ def common_shingles(docs: DataFrame, words: int, held: int = 3_000_000) -> Commo
                     size += len(s)
                     if size >= held:
                         yield counted()
-                        parts, size = [], 0
+                        size = 0
         yield counted()
+        common.give_back()
 
     counts = docs.select("text").mapInArrow(run, schema).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
     counts = common.stage(counts, "common")
