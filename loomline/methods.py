@@ -102,17 +102,27 @@ def parse_config(method: Method, config: dict | str | None) -> dict:
     """Checked configuration with bounds in single precision; the raw method ignores its configuration."""
     if method == Method.Uncompressed:
         return {}
+    return parse_fields(config, FIELDS[method])
+
+
+def parse_relative_bound(config: dict | str | None) -> dict:
+    """Checked configuration of a relative error bound, which no method takes."""
+    return parse_fields(config, {"rel_error_bound": "bound"})
+
+
+def parse_fields(config: dict | str | None, fields: dict[str, str]) -> dict:
+    """Checked configuration of exactly ``fields``."""
     if isinstance(config, str):
         try:
             pairs = json.loads(config, object_pairs_hook=list)
         except ValueError:
             raise invalid("not JSON") from None
-        if not isinstance(pairs, list) or len({k for k, _ in pairs}) != len(pairs):
+        if not isinstance(pairs, list) or not all(isinstance(p, tuple) for p in pairs) or len({k for k, _ in pairs}) != len(pairs):
             raise invalid("an object with distinct names is needed")
         config = dict(pairs)
-    config, fields = dict(config or {}), FIELDS[method]
+    config = dict(config or {})
     if set(config) != set(fields):
-        raise invalid(f"{method.name} takes {sorted(fields)}")
+        raise invalid(f"needed are {sorted(fields)}")
     out = {}
     for name, kind in fields.items():
         x = config[name]
@@ -129,3 +139,9 @@ def parse_config(method: Method, config: dict | str | None) -> dict:
     if out.get("histogram_bins_number", 2) < 2 or out.get("target_point_count", 2) < 2 or out.get("decimal_precision", 1) > 10:
         raise invalid("too small or too large")
     return out
+
+
+def default_config(method: Method, rng: np.random.Generator) -> dict:
+    """A valid configuration of a method, drawn from ``rng``: bounds below 10, counts of 2 to 10."""
+    draw = {"bound": lambda: float(np.float32(rng.uniform(0, 10))), "count": lambda: int(rng.integers(2, 11)), "precision": lambda: int(rng.integers(1, 11)), "text": lambda: "rmse"}
+    return {name: draw[kind]() for name, kind in FIELDS.get(method, {}).items()}

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,8 @@ from ..kernels import codec
 from ..methods import Method, SeriesError, method_of, parse_config
 
 CHUNK = "chunk"
+#: Absolute and relative tolerance of nearly_equal.
+ABS_TOLERANCE, REL_TOLERANCE = 1e-12, 1e-15
 
 
 def to_points(df: DataFrame, keys: list[str], order: list[str], value: str = "value", nulls: str = "raise") -> DataFrame:
@@ -76,6 +78,13 @@ def _numbers(x: pa.ListScalar) -> np.ndarray:
     return np.asarray(x.values, dtype=np.float64) if x.is_valid else np.zeros(0)
 
 
+def nearly_equal(a: Column, b: Column) -> Column:
+    """Whether two doubles differ by no more than either tolerance; infinities equal themselves only, NaN equals nothing, null gives null."""
+    gap, size = F.abs(a - b), F.greatest(F.abs(a), F.abs(b))
+    close = (size < F.lit(float("inf"))) & ((gap <= ABS_TOLERANCE) | (gap <= size * REL_TOLERANCE))
+    return F.when(a.isNotNull() & b.isNotNull(), ~F.isnan(a) & ~F.isnan(b) & ((a == b) | close))
+
+
 def compress(packed: DataFrame, method: Method | int | str, config: dict | str | None = None, permissive: bool = False) -> DataFrame:
     """Packed series to (…, method, n, payload); the configuration is checked before any job starts.
 

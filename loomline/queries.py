@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import udfs
+from .kernels.segments import margin
 from .kernels.values import bucket
 from .methods import FIELDS, Method, bound32
 from .operators import series
@@ -20,7 +21,7 @@ KEY = ["user_id"]
 BOUND, BINS, POINTS, TERMS, PLACES = 5.0, 12, 20, 9, 4
 _VALUES = {"abs_error_bound": BOUND, "histogram_bins_number": BINS, "target_point_count": POINTS, "number_of_coefficients": TERMS, "decimal_precision": PLACES, "aggregate_error_type": "rmse", "aggregate_error_bound": BOUND, "area_under_curve_error": 20.0}
 LOSSLESS = [M.Uncompressed, M.RunLengthEncoding, M.Chimp64, M.Chimp128, M.BitPackedDeltaEncoding, M.Elf]
-ZERO_BOUND = [M.PoorMansCompressionMidrange, M.PoorMansCompressionMean, M.SwingFilter, M.SwingFilterDisconnected, M.BitPackedQuantization, M.SerfQT, M.MacaqueS, M.MacaqueV]
+ZERO_BOUND = [M.PoorMansCompressionMidrange, M.PoorMansCompressionMean, M.SwingFilter, M.SwingFilterDisconnected, M.SlideFilter, M.ABCLinearApproximation, M.BitPackedQuantization, M.SerfQT, M.MacaqueS, M.MacaqueV]
 BOUNDED = [m for m, f in FIELDS.items() if "abs_error_bound" in f]
 SIZED = {M.PiecewiseConstantHistogram: BINS, M.PiecewiseLinearHistogram: BINS, M.LargestTriangleThreeBuckets: POINTS - 1, M.DiscreteFourierTransform: TERMS + 1}
 MODELS = [m for m in M if m not in series.codec.BIT_STREAMS]
@@ -194,6 +195,69 @@ CLOSED_LOOP_SQL = f"""WITH RECURSIVE {PTS}, r AS (
 ) SELECT user_id, idx, round(p, 6) AS value FROM r"""
 
 
+def decoded_values(spark: SparkSession, sf_dir: str, method: Method, places: int = 4) -> DataFrame:
+    """Each decoded value at the bound, size or count of the method."""
+    return round_trip(spark, sf_dir, method).withColumn("value", F.round("value", places) + 0.0)
+
+
+MEAN_VALUES_SQL = f"""WITH RECURSIVE {PTS}, r AS (
+  SELECT user_id, idx, value, value AS lo, value AS hi, value AS total, 1 AS n, 0 AS seg FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, v, CASE WHEN cut THEN v ELSE least(lo, v) END, CASE WHEN cut THEN v ELSE greatest(hi, v) END, CASE WHEN cut THEN v ELSE total + v END, CASE WHEN cut THEN 1 ELSE n + 1 END, seg + cut::INT
+  FROM (SELECT r.*, p.idx AS i, p.value AS v, greatest(hi, p.value) - (total + p.value) / (n + 1) > {BOUND} OR (total + p.value) / (n + 1) - least(lo, p.value) > {BOUND} AS cut
+        FROM r JOIN pts p ON p.user_id = r.user_id AND p.idx = r.idx + 1)
+) SELECT user_id, idx, round(avg(value) OVER (PARTITION BY user_id, seg), 4) + 0.0 AS value FROM r"""
+
+
+def _swing_sql(connected: bool) -> str:
+    """Cones of slopes point by point; a cone that is left ends on its best slope within the cone."""
+    eb, inf = f"{margin(BOUND)!r}::DOUBLE", "'infinity'::DOUBLE"
+    stop = "CASE WHEN idx - s > 1 THEN vs + least(greatest(mom / ((idx - s) * (idx - s + 1) * (2 * (idx - s) + 1) / 6), down), up) * (idx - s) ELSE value END"
+    if connected:
+        fresh = ("idx", "stop", f"v + {eb} - stop", f"v - {eb} - stop", "v - stop")
+    else:
+        fresh = ("i", "v", inf, f"-{inf}", "0.0")
+    on = ("s", "vs", f"least(up, (v + {eb} - vs) / (i - s))", f"greatest(down, (v - {eb} - vs) / (i - s))", "mom + (v - vs) * (i - s)")
+    steps = ", ".join(f"CASE WHEN cut THEN {a} ELSE {b} END" for a, b in zip(fresh, on))
+    return f"""WITH RECURSIVE {PTS}, r AS (
+  SELECT user_id, idx, value, 0::BIGINT AS s, value AS vs, {inf} AS up, -{inf} AS down, 0.0::DOUBLE AS mom, 0 AS seg FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, v, {steps}, seg + cut::INT
+  FROM (SELECT r.*, p.idx AS i, p.value AS v, r.idx > s AND NOT (down * (p.idx - s) + vs - {eb} <= p.value AND p.value <= up * (p.idx - s) + vs + {eb}) AS cut, {stop.replace("value", "r.value").replace("idx", "r.idx")} AS stop
+        FROM r JOIN pts p ON p.user_id = r.user_id AND p.idx = r.idx + 1)
+), e AS (
+  SELECT user_id, seg, idx AS last, {stop} AS stop FROM r QUALIFY row_number() OVER (PARTITION BY user_id, seg ORDER BY idx DESC) = 1
+) SELECT r.user_id, r.idx, round(CASE WHEN last = s THEN vs ELSE vs + (stop - vs) * (r.idx - s) / (last - s) END, 4) + 0.0 AS value FROM r JOIN e ON e.user_id = r.user_id AND e.seg = r.seg"""
+
+
+#: Buckets as in bucket_means; each keeps the point of the largest triangle with the point kept before and the mean of the next bucket.
+LTTB_SQL = f"""WITH RECURSIVE {PTS}, c AS (SELECT user_id, count(*) AS n, count(*) - 2 AS m FROM pts GROUP BY user_id),
+g AS (SELECT user_id, n, b, 1 + (b * m) // {POINTS - 2} AS lo, 1 + ((b + 1) * m) // {POINTS - 2} AS hi, CASE WHEN b + 2 <= {POINTS - 2} THEN least(1 + ((b + 2) * m) // {POINTS - 2}, n) ELSE n END AS stop FROM c, range({POINTS - 2}) t(b) WHERE n > {POINTS}),
+x AS (SELECT g.user_id, b, lo, hi, (hi + stop) // 2 AS x3, avg(p.value) AS y3 FROM g JOIN pts p ON p.user_id = g.user_id AND p.idx >= hi AND p.idx < stop GROUP BY ALL),
+t AS (SELECT x.user_id, b, x3, y3, p.idx AS i, p.value AS v FROM x JOIN pts p ON p.user_id = x.user_id AND p.idx >= lo AND p.idx < hi),
+k AS (
+  SELECT user_id, -1::BIGINT AS b, idx AS i, value AS v FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, b, i, v FROM (
+    SELECT t.user_id, t.b, t.i, t.v, row_number() OVER (PARTITION BY t.user_id ORDER BY abs(k.i * (t.v - y3) + t.i * (y3 - k.v) + x3 * (k.v - t.v)) DESC, t.i) AS r
+    FROM k JOIN t ON t.user_id = k.user_id AND t.b = k.b + 1) WHERE r = 1
+), f AS (SELECT user_id, i, v FROM k UNION SELECT p.user_id, idx, value FROM pts p JOIN c ON c.user_id = p.user_id WHERE idx = n - 1 OR n <= {POINTS}),
+w AS (SELECT user_id, i, v, lead(i) OVER o AS j, lead(v) OVER o AS u FROM f WINDOW o AS (PARTITION BY user_id ORDER BY i))
+SELECT p.user_id, p.idx, round(CASE WHEN p.idx = w.i THEN v ELSE v + (u - v) * (p.idx - w.i) / (j - w.i) END, 7) + 0.0 AS value
+FROM pts p JOIN w ON w.user_id = p.user_id AND p.idx >= w.i AND (p.idx < w.j OR w.j IS NULL)"""
+
+
+def discounted_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier: how many discounted prices are nearly the same by two orders of operations."""
+    price, off = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", series.nearly_equal(price * (1 - off), price - price * off).alias("near"))
+    return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if("near").alias("n_near"))
+
+
+DISCOUNTED_SQL = f"""WITH d AS (SELECT l_suppkey, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS a, l_extendedprice::DOUBLE - l_extendedprice::DOUBLE * l_discount::DOUBLE AS b FROM lineitem)
+SELECT l_suppkey, count(*) AS n, count(*) FILTER (abs(a - b) <= {series.ABS_TOLERANCE!r} OR abs(a - b) <= greatest(abs(a), abs(b)) * {series.REL_TOLERANCE!r}) AS n_near FROM d GROUP BY l_suppkey"""
+
+
 def scaled_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.scaled_deltas(points(spark, sf_dir), KEY, 100)
 
@@ -319,6 +383,10 @@ def _named() -> tuple[dict, dict]:
     for m in BOUNDED:
         queries[f"bounded_{m.name}"], sql[f"bounded_{m.name}"] = partial(bounded, method=m), BOUNDED_SQL
     queries["bounded_BitPackedBUFF"], sql["bounded_BitPackedBUFF"] = partial(bounded, method=M.BitPackedBUFF, bound=10.0**-PLACES), BOUNDED_SQL
+    for m, text in ((M.PoorMansCompressionMean, MEAN_VALUES_SQL), (M.SwingFilter, _swing_sql(True)), (M.SwingFilterDisconnected, _swing_sql(False))):
+        queries[f"values_{m.name}"], sql[f"values_{m.name}"] = partial(decoded_values, method=m), text
+    # values between points kept have ties at four places
+    queries["values_LargestTriangleThreeBuckets"], sql["values_LargestTriangleThreeBuckets"] = partial(decoded_values, method=M.LargestTriangleThreeBuckets, places=7), LTTB_SQL
     for m in (*SIZED, M.VisvalingamWhyatt, M.SlidingWindow, M.BottomUp):
         queries[f"sized_{m.name}"], sql[f"sized_{m.name}"] = partial(sized, method=m, most=SIZED.get(m)), SIZED_SQL
     for name, f, text in (
@@ -342,6 +410,7 @@ def _named() -> tuple[dict, dict]:
         ("quantity_runs", quantity_runs, QUANTITY_RUNS_SQL),
         ("embedding_round_trip", embedding_round_trip, EMBEDDING_SQL),
         ("region_series", region_series, REGION_SQL),
+        ("discounted_near", discounted_near, DISCOUNTED_SQL),
     ):
         queries[name] = f
         if text:
