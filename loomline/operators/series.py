@@ -107,6 +107,20 @@ def compress(packed: DataFrame, method: Method | int | str, config: dict | str |
     return out if permissive else out.drop("error_code")
 
 
+def compress_each(packed: DataFrame, configs: dict[Method, dict]) -> DataFrame:
+    """As ``compress``, with one row for each series and method: one pass over the series for all methods."""
+    for method, config in configs.items():
+        parse_config(method, config)
+
+    def step(r: dict) -> tuple:
+        x = _numbers(r["values"])
+        return ([{"method": int(m), "n": len(x), "payload": codec.compress(x, m, c)} for m, c in configs.items()],)
+
+    one = T.StructType([T.StructField("method", T.ByteType()), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType())])
+    kept = [c for c in packed.columns if c not in ("values", *one.names)]
+    return _mapped(packed.select(*kept, "values"), ["values"], [T.StructField("__each", T.ArrayType(one))], step).select(*kept, F.inline("__each"))
+
+
 def _guarded(df: DataFrame, drop: list[str], fields: list[T.StructField], step, permissive: bool) -> DataFrame:
     """Rows mapped by ``step``; permissive: a refused row gets nulls and its error_code, others the code 0."""
 

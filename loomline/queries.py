@@ -298,17 +298,16 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (k > 0)::INT, r
 SELECT user_id, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im, TRUE AS same FROM o WHERE r <= {TERMS}"""
 
 
-def payload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and ratio of each method on each series; one pass of packing feeds all methods."""
-    packed = series.pack(points(spark, sf_dir), KEY)
-    rows = [series.compress(packed, m, config(m)) for m in M]
-    out = reduce(DataFrame.unionByName, rows).select("user_id", F.col("method").cast("int").alias("method"), "n", F.octet_length("payload").cast("long").alias("bytes"))
+def payload_bytes(spark: SparkSession, sf_dir: str, methods=M) -> DataFrame:
+    """Bytes and ratio of each method on each series; one pass over the packed series serves all methods."""
+    rows = series.compress_each(series.pack(points(spark, sf_dir), KEY), {m: config(m) for m in methods})
+    out = rows.select("user_id", F.col("method").cast("int").alias("method"), "n", F.octet_length("payload").cast("long").alias("bytes"))
     return out.withColumn("ratio", F.round(F.col("n") * 8 / F.col("bytes"), 4))
 
 
 def best_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest lossless payload of each series."""
-    rows = payload_bytes(spark, sf_dir).where(F.col("method").isin([int(m) for m in LOSSLESS]))
+    rows = payload_bytes(spark, sf_dir, LOSSLESS)
     return rows.groupBy("user_id").agg(F.min(F.struct("bytes", "method")).alias("b")).select("user_id", "b.bytes", "b.method")
 
 

@@ -119,3 +119,14 @@ def test_sql_functions_of_null(spark):
     udfs.register(spark)
     row = spark.sql("SELECT ts_extract(CAST(NULL AS BINARY)) AS e, ts_rebuild(CAST(NULL AS ARRAY<BIGINT>), CAST(NULL AS ARRAY<DOUBLE>), 'SwingFilter') AS r").first()
     assert row.r is None and (row.e is None or (row.e.indices is None and row.e.coefficients is None))
+
+
+def test_compress_each(spark):
+    packed = spark.createDataFrame([(1, [1.0, 2.0, 2.5]), (2, []), (3, None), (4, [7.0])], "id int, values array<double>")
+    configs = {Method.Uncompressed: {}, Method.SwingFilter: {"abs_error_bound": 0.5}, Method.Elf: {}}
+    got = {(r.id, r.method): (r.n, r.payload) for r in series.compress_each(packed, configs).collect()}
+    assert len(got) == 12
+    for m, c in configs.items():
+        for r in series.compress(packed, m, c).collect():
+            assert got[r.id, int(m)] == (r.n, r.payload)
+    assert series.compress_each(packed.limit(0), configs).count() == 0
