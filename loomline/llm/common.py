@@ -51,10 +51,10 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
+def stage(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders by the columns ``by``, and read it back: the lineage ends there."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*(by or [])).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

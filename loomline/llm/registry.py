@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, embedding, html_extract, jaccard_join, line_dedup, quality, sharding, token_files, warc
+from . import bpe, decontaminate, digest_index, embedding, html_extract, jaccard_join, line_dedup, merkle, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_bpe_speculate": bpe.op1_bpe_speculate,
@@ -13,6 +13,8 @@ QUERIES = {
     "op7_gbdt_quality": quality.op7_gbdt_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_jaccard_pivots": jaccard_join.op9_jaccard_pivots,
+    "op11_digest_index": digest_index.op11_digest_index,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -20,4 +22,6 @@ ORACLE_SQL = {
     "op5_pivot_range_join": embedding.OP5_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_jaccard_pivots": jaccard_join.OP9_SQL,
+    "op11_digest_index": digest_index.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
