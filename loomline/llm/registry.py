@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, digest_index, embedding, html_extract, jaccard_join, line_dedup, merkle, quality, sharding, token_files, warc
+from . import alignment, bpe, decontaminate, digest_index, embedding, html_extract, jaccard_join, line_dedup, merkle, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_bpe_speculate": bpe.op1_bpe_speculate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_jaccard_pivots": jaccard_join.op9_jaccard_pivots,
     "op11_digest_index": digest_index.op11_digest_index,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
