@@ -58,6 +58,8 @@ class ByteTokens:
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = token
+        if not {bytes([b]) for b in range(256)} <= vocab.keys():
+            raise ValueError("the vocabulary lacks a byte")
 
 
 class PieceTokens:
@@ -80,15 +82,17 @@ class Aligner:
         self.digits = self.digits[0] + self.digits[1]
 
     def cut(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(ids of A, ids of B) of each text, both empty if either does not spell a space and the text."""
+        """(ids of A, ids of B) of each text, both empty if B's do not spell a space and the text.
+
+        A's vocabulary has every byte and its pattern every character, so its tokens always do.
+        """
         out = []
         for text, b in zip(texts, self.b.encode_all(texts)):
             if not text:
                 out.append(([], []))
                 continue
-            a, spelt = self.a.encode(" " + text), (" " + text).encode()
-            good = b"".join(map(self.a.bytes_of.__getitem__, a)) == spelt == b"".join(map(self.b.bytes_of.__getitem__, b))
-            out.append((a, b) if good else ([], []))
+            good = b"".join(map(self.b.bytes_of.__getitem__, b)) == (" " + text).encode()
+            out.append((self.a.encode(" " + text), b) if good else ([], []))
         return out
 
     def align(self, a_ids: list[int], b_ids: list[int]) -> tuple:
@@ -101,7 +105,7 @@ class Aligner:
         a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
         # groups as text: A's tokens of a group before B's
         codes = np.empty(len(a) + len(b), dtype=np.int64)
-        a_last, b_last = np.isin(a_end, cuts, assume_unique=True), np.isin(b_end, cuts, assume_unique=True)
+        a_last, b_last = cuts[a_group] == a_end, cuts[b_group] == b_end
         codes[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + a_last * len(self.sizes[0])
         codes[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = self.after + b + b_last * len(self.sizes[1])
         text = b"".join(map(self.digits.__getitem__, codes.tolist()))[:-1]
