@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as base
+from .kernels.segments import margin
 from .methods import Method
 from .operators import asof, series
-from .plans import greedy, intervals, native
+from .plans import greedy, intervals, native, piecewise
 from .queries import BOUND, KEY, PTS
 from .sources.staging import Staging
 from .streaming import keyed
@@ -117,7 +118,94 @@ ALIGNED_KINDS_SQL = f"""WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t
 k AS (SELECT user_id, t, {", ".join(map(_known, ("view", "click", "purchase", "signup", "error")))} FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT DISTINCT * FROM k"""
 
+def _pieces(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    return piecewise.piece_table(series.extract(base.payloads(spark, sf_dir, method)), KEY, method)
+
+
+def piece_points(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """A range of indices from the pieces that meet it."""
+    return piecewise.decode(_pieces(spark, sf_dir, method), KEY, 10, 40).select(*KEY, "idx", (F.round(F.col("value") + OFF_TIES, 4) + 0.0).alias("value"))
+
+
+def piece_sums(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """Count, sum and extremes of each series from its pieces."""
+    return piecewise.aggregate(_pieces(spark, sf_dir, method), KEY).select(*KEY, "n", *((F.round(F.col(c) + OFF_TIES, 3) + 0.0).alias(c) for c in ("total", "least", "most")))
+
+
+_INF = "'infinity'::DOUBLE"
+
+
+def _pieces_sql(both: bool) -> str:
+    """Cones from intercepts on the grid of the bound (below; or also above, whichever reaches further), then groups of overlapping slopes.
+
+    Ends in d (user_id, idx, value). With both intercepts a cone that is alone in its group of one intercept is grouped with others of its kind.
+    """
+    eb, slack = f"{margin(BOUND)!r}::DOUBLE", f"{BOUND - margin(BOUND)!r}::DOUBLE"
+    down, up = f"floor(v / {BOUND}) * {BOUND} + {slack}", f"ceil(v / {BOUND}) * {BOUND} - {slack}"
+    sides = {"1": down, "2": up} if both else {"1": down}
+    fits = {k: f"(on{k} AND (p.idx = s + 1 OR (lo{k} * (p.idx - s) + b{k} - {eb} <= p.value AND p.value <= hi{k} * (p.idx - s) + b{k} + {eb})))" for k in sides}
+    cut = f"NOT ({' OR '.join(fits.values())})"
+    begin = ", ".join(f"{b} AS b{k}, TRUE AS on{k}, -{_INF} AS lo{k}, {_INF} AS hi{k}" for k, b in sides.items()).replace("(v /", "(value /")
+    steps = ", ".join(
+        f"CASE WHEN cut THEN {b} ELSE b{k} END, cut OR fit{k}, CASE WHEN cut THEN -{_INF} WHEN fit{k} THEN greatest(lo{k}, (v - {eb} - b{k}) / (i - s)) ELSE lo{k} END, CASE WHEN cut THEN {_INF} WHEN fit{k} THEN least(hi{k}, (v + {eb} - b{k}) / (i - s)) ELSE hi{k} END" for k, b in sides.items()
+    )
+    # the upper intercept only if it alone is left
+    pick = lambda c: f"CASE WHEN on2 AND NOT on1 THEN {c}2 ELSE {c}1 END" if both else f"{c}1"
+    ctes = [
+        PTS,
+        f"""z AS (
+  SELECT user_id, idx, idx AS s, {begin} FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, CASE WHEN cut THEN i ELSE s END, {steps}
+  FROM (SELECT z.*, p.idx AS i, p.value AS v, {cut} AS cut, {", ".join(f"{f} AS fit{k}" for k, f in fits.items())}
+        FROM z JOIN pts p ON p.user_id = z.user_id AND p.idx = z.idx + 1))""",
+        f"c AS (SELECT user_id, s, {pick('b')} AS b, CASE WHEN idx = s THEN 0 ELSE {pick('lo')} END AS lo, CASE WHEN idx = s THEN 0 ELSE {pick('hi')} END AS hi FROM z QUALIFY row_number() OVER (PARTITION BY user_id, s ORDER BY idx DESC) = 1)",
+        _merge_sql("g", "SELECT *, b AS part FROM c"),
+    ]
+    if both:
+        ctes += [_merge_sql("h", "SELECT user_id, s, b, lo, hi, 0.0::DOUBLE AS part FROM g WHERE size = 1"), "m AS (SELECT user_id, s, b, slope FROM g WHERE size > 1 UNION ALL SELECT user_id, s, b, slope FROM h)"]
+    else:
+        ctes.append("m AS (SELECT user_id, s, b, slope FROM g)")
+    ctes.append("d AS (SELECT p.user_id, p.idx, m.slope * (p.idx - m.s) + m.b AS value FROM pts p ASOF JOIN m ON m.user_id = p.user_id AND p.idx >= m.s)")
+    return "WITH RECURSIVE " + ", ".join(ctes)
+
+
+def _merge_sql(name: str, rows: str) -> str:
+    """Cones in order of their lower slope, each with the group so far if it overlaps; slope is the middle of what the group shares."""
+    return f"""{name}o AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY lo, s) AS k FROM ({rows})),
+{name}r AS (
+  SELECT user_id, part, s, b, lo, hi, k, lo AS glo, hi AS ghi, 0 AS grp FROM {name}o WHERE k = 1
+  UNION ALL
+  SELECT o.user_id, o.part, o.s, o.b, o.lo, o.hi, o.k, CASE WHEN o.lo <= ghi AND o.hi >= glo THEN greatest(glo, o.lo) ELSE o.lo END, CASE WHEN o.lo <= ghi AND o.hi >= glo THEN least(ghi, o.hi) ELSE o.hi END, grp + (NOT (o.lo <= ghi AND o.hi >= glo))::INT
+  FROM {name}r q JOIN {name}o o ON o.user_id = q.user_id AND o.part = q.part AND o.k = q.k + 1
+),
+{name} AS (SELECT user_id, s, b, lo, hi, (max(glo) OVER w + min(ghi) OVER w) / 2 AS slope, count(*) OVER w AS size FROM {name}r WINDOW w AS (PARTITION BY user_id, part, grp))"""
+
+
+def _piece_points_sql(both: bool) -> str:
+    return f"{_pieces_sql(both)} SELECT user_id, idx, round(value + {OFF_TIES}, 4) + 0.0 AS value FROM d WHERE idx >= 10 AND idx < 40"
+
+
+def _piece_sums_sql(both: bool) -> str:
+    return f"{_pieces_sql(both)} SELECT user_id, count(*) AS n, round(sum(value) + {OFF_TIES}, 3) + 0.0 AS total, round(min(value) + {OFF_TIES}, 3) + 0.0 AS least, round(max(value) + {OFF_TIES}, 3) + 0.0 AS most FROM d GROUP BY user_id"
+
+
+def _piece_values_sql(both: bool) -> str:
+    return f"{_pieces_sql(both)} SELECT user_id, idx, round(value + {OFF_TIES}, 4) + 0.0 AS value FROM d"
+
+
+def piece_values(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """Each decoded value of the payloads."""
+    return base.round_trip(spark, sf_dir, method).withColumn("value", F.round(F.col("value") + OFF_TIES, 4) + 0.0)
+
+
 QUERIES = {
+    "values_SimPiece": partial(piece_values, method=M.SimPiece),
+    "values_MixPiece": partial(piece_values, method=M.MixPiece),
+    "piece_points_SimPiece": partial(piece_points, method=M.SimPiece),
+    "piece_points_MixPiece": partial(piece_points, method=M.MixPiece),
+    "piece_sums_SimPiece": partial(piece_sums, method=M.SimPiece),
+    "piece_sums_MixPiece": partial(piece_sums, method=M.MixPiece),
     "long_segments": long_segments,
     "stream_runs": partial(streamed, method=M.RunLengthEncoding, bound=0.0),
     "stream_swing": partial(streamed, method=M.SwingFilterDisconnected, bound=BOUND),
@@ -127,6 +215,12 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "values_SimPiece": _piece_values_sql(False),
+    "values_MixPiece": _piece_values_sql(True),
+    "piece_points_SimPiece": _piece_points_sql(False),
+    "piece_points_MixPiece": _piece_points_sql(True),
+    "piece_sums_SimPiece": _piece_sums_sql(False),
+    "piece_sums_MixPiece": _piece_sums_sql(True),
     "long_segments": LONG_SEGMENTS_SQL,
     "stream_runs": STREAM_RUNS_SQL,
     "stream_swing": STREAM_SWING_SQL,
