@@ -11,8 +11,8 @@ from . import queries as base
 from .kernels.segments import margin
 from .methods import Method
 from .operators import asof, series
-from .plans import greedy, intervals, native, piecewise
-from .queries import BOUND, KEY, PTS
+from .plans import fourier, greedy, intervals, native, piecewise
+from .queries import BOUND, KEY, PTS, TERMS
 from .sources.staging import Staging
 from .streaming import keyed
 
@@ -199,7 +199,60 @@ def piece_values(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
     return base.round_trip(spark, sf_dir, method).withColumn("value", F.round(F.col("value") + OFF_TIES, 4) + 0.0)
 
 
+def _rounded(*columns: str, places: int = 4) -> list:
+    return [(F.round(F.col(c) + OFF_TIES, places) + 0.0).alias(c) for c in columns]
+
+
+def long_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest frequencies of all events as one series."""
+    rows = read_events(spark, sf_dir, "ts", "event_id", "value").withColumn("series", F.lit("all"))
+    found = fourier.strongest(fourier.terms(greedy.numbered(rows, ["series"], ["ts", "event_id"]), ["series"]), ["series"], TERMS)
+    return found.select("n", "k", *_rounded("re", "im", places=3))
+
+
+_TERMS_SQL = """t AS (SELECT user_id, n, k, sum(value * cos(2 * pi() * (k * idx % n) / n)) AS re, -sum(value * sin(2 * pi() * (k * idx % n) / n)) AS im FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM n) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (k > 0)::INT, round(re * re + im * im, 4) DESC, k) AS r FROM t)"""
+LONG_SPECTRUM_SQL = f"""WITH n AS (SELECT 1 AS user_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value, count(*) OVER () AS n FROM events), {_TERMS_SQL}
+SELECT n, k, round(re + {OFF_TIES}, 3) + 0.0 AS re, round(im + {OFF_TIES}, 3) + 0.0 AS im FROM o WHERE r <= {TERMS}"""
+
+
+def _kept_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fourier.term_table(series.extract(base.payloads(spark, sf_dir, M.DiscreteFourierTransform)), KEY)
+
+
+def dft_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value of each series from all of its terms."""
+    return fourier.values(fourier.terms(base.points(spark, sf_dir), KEY), KEY).select(*KEY, "idx", *_rounded("value"))
+
+
+DFT_RECONSTRUCT_SQL = f"WITH {PTS} SELECT user_id, idx, round(value + {OFF_TIES}, 4) + 0.0 AS value FROM pts"
+
+
+def dft_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of indices from the kept terms."""
+    return fourier.values(_kept_terms(spark, sf_dir), KEY, 10, 40).select(*KEY, "idx", *_rounded("value"))
+
+
+_KEPT_SQL = f"""WITH {PTS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM pts), {_TERMS_SQL},
+d AS (SELECT n.user_id, n.idx, any_value(n.value) AS raw, any_value(n.n) AS n, sum(CASE WHEN k = 0 OR 2 * k = n.n THEN 1 ELSE 2 END * (re * cos(2 * pi() * (k * idx % n.n) / n.n) - im * sin(2 * pi() * (k * idx % n.n) / n.n)) / n.n) AS value FROM n JOIN o ON o.user_id = n.user_id AND o.r <= {TERMS} GROUP BY n.user_id, n.idx)"""
+DFT_POINTS_SQL = f"{_KEPT_SQL} SELECT user_id, idx, round(value + {OFF_TIES}, 4) + 0.0 AS value FROM d WHERE idx >= 10 AND idx < 40"
+
+
+def dft_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over a range of indices, and what the kept terms lose, from the terms and each series' sum of squares."""
+    table = _kept_terms(spark, sf_dir)
+    energy = base.points(spark, sf_dir).groupBy(*KEY).agg(F.sum(F.col("value") * F.col("value")).alias("energy"))
+    out = fourier.range_sums(table, KEY, 5, 55).join(fourier.lost(table, KEY, energy), KEY)
+    return out.select(*KEY, "n", "count", *_rounded("total", "rmse"))
+
+
+DFT_SUMS_SQL = f"{_KEPT_SQL} SELECT user_id, min(n) AS n, count(*) FILTER (idx >= 5 AND idx < 55) AS count, round(sum(value) FILTER (idx >= 5 AND idx < 55) + {OFF_TIES}, 4) + 0.0 AS total, round(sqrt(avg((value - raw) ** 2)) + {OFF_TIES}, 4) + 0.0 AS rmse FROM d GROUP BY user_id"
+
 QUERIES = {
+    "long_spectrum": long_spectrum,
+    "dft_reconstruct": dft_reconstruct,
+    "dft_points": dft_points,
+    "dft_sums": dft_sums,
     "values_SimPiece": partial(piece_values, method=M.SimPiece),
     "values_MixPiece": partial(piece_values, method=M.MixPiece),
     "piece_points_SimPiece": partial(piece_points, method=M.SimPiece),
@@ -215,6 +268,10 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "long_spectrum": LONG_SPECTRUM_SQL,
+    "dft_reconstruct": DFT_RECONSTRUCT_SQL,
+    "dft_points": DFT_POINTS_SQL,
+    "dft_sums": DFT_SUMS_SQL,
     "values_SimPiece": _piece_values_sql(False),
     "values_MixPiece": _piece_values_sql(True),
     "piece_points_SimPiece": _piece_points_sql(False),

@@ -127,14 +127,3 @@ def bucket_means(points: DataFrame, keys: list[str], target: int) -> DataFrame:
     b = F.floor(((F.col("idx") - 1) * t + t - 1) / m)
     b = F.when(F.floor(b * m / t) > F.col("idx") - 1, b - 1).otherwise(b)
     return rows.groupBy(*keys, b.cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-
-
-def fourier_terms(points: DataFrame, keys: list[str], terms: int) -> DataFrame:
-    """keys, k, re, im: the strongest frequencies by the definition of the transform (short series)."""
-    n = F.count("*").over(W.partitionBy(*keys))
-    rows = points.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2))))
-    angle = 2 * F.pi() * F.col("k") * F.col("idx") / F.col("n")
-    rows = rows.groupBy(*keys, "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
-    power = F.round(F.col("re") * F.col("re") + F.col("im") * F.col("im"), 4)
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy((F.col("k") > 0).cast("int"), power.desc(), "k"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= terms).select(*keys, "k", "re", "im")

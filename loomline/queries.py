@@ -12,7 +12,7 @@ from .kernels.segments import margin
 from .kernels.values import bucket
 from .methods import FIELDS, Method, bound32
 from .operators import series
-from .plans import native
+from .plans import fourier, native
 from .sources.tables import read_points
 
 M = Method
@@ -286,8 +286,8 @@ SELECT b.user_id, b.b AS bucket, count(*) AS n, round(avg(value), 6) AS mean FRO
 
 
 def fourier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms of the native plan, and whether the kernel kept the same frequencies."""
-    found = native.fourier_terms(points(spark, sf_dir), KEY, TERMS)
+    """The terms of the plan, and whether the kernel kept the same frequencies."""
+    found = fourier.strongest(fourier.terms(points(spark, sf_dir), KEY), KEY, TERMS)
     kept = series.extract(payloads(spark, sf_dir, M.DiscreteFourierTransform)).select("user_id", F.slice("indices", 3, TERMS).alias("ks"))
     return found.join(kept, "user_id").select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"), ((F.col("k") == 0) | F.array_contains("ks", F.col("k"))).alias("same"))
 
