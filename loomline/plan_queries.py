@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as base
+from .functions import udfs
 from .kernels.segments import margin
 from .methods import Method
 from .operators import asof, series
 from .plans import fourier, greedy, intervals, native, piecewise
 from .queries import BOUND, KEY, PTS, TERMS
+from .sources import format as points_format
+from .sources import tables
 from .sources.staging import Staging
 from .streaming import keyed
 
@@ -248,7 +252,80 @@ def dft_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DFT_SUMS_SQL = f"{_KEPT_SQL} SELECT user_id, min(n) AS n, count(*) FILTER (idx >= 5 AND idx < 55) AS count, round(sum(value) FILTER (idx >= 5 AND idx < 55) + {OFF_TIES}, 4) + 0.0 AS total, round(sqrt(avg((value - raw) ** 2)) + {OFF_TIES}, 4) + 0.0 AS rmse FROM d GROUP BY user_id"
 
+#: Points of a chunk, and the values that are looked for.
+CHUNK, LOW, HIGH = 16, 240.0, 300.0
+
+
+def _zoned(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """A zoned table of all events, written and read again."""
+    rows = tables.zoned(series.pack(base.points(spark, sf_dir), KEY, CHUNK), [*KEY, series.CHUNK], method, base.config(method))
+    return Staging(spark).put(rows)
+
+
+def zone_maps(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """Each chunk's count and extremes, and whether it has to be decoded for the values looked for."""
+    rows = _zoned(spark, sf_dir, method)
+    needed = tables.may_hold(rows, LOW, HIGH).select(*KEY, series.CHUNK, F.lit(True).alias("needed"))
+    out = rows.join(needed, [*KEY, series.CHUNK], "left")
+    return out.select(*KEY, series.CHUNK, "n", *_rounded("least", "most"), F.coalesce("needed", F.lit(False)).alias("needed"))
+
+
+def value_filter(spark: SparkSession, sf_dir: str, method: Method) -> DataFrame:
+    """The points of a range of values, from the chunks that can hold them."""
+    return tables.values_between(_zoned(spark, sf_dir, method), KEY, LOW, HIGH, CHUNK).select(*KEY, "idx", *_rounded("value"))
+
+
+def _zones_sql(points: str) -> str:
+    return f"""WITH {points} SELECT user_id, idx // {CHUNK} AS chunk, count(*) AS n, round(min(value) + {OFF_TIES}, 4) + 0.0 AS least, round(max(value) + {OFF_TIES}, 4) + 0.0 AS most, max(value) >= {LOW} AND min(value) <= {HIGH} AS needed
+FROM pts GROUP BY user_id, idx // {CHUNK}"""
+
+
+def _filter_sql(points: str) -> str:
+    return f"WITH {points} SELECT user_id, idx, round(value + {OFF_TIES}, 4) + 0.0 AS value FROM pts WHERE value BETWEEN {LOW} AND {HIGH}"
+
+
+#: The events in midrange segments that start anew at each chunk, decoded.
+_CHUNKED = f"""raw AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events),
+r AS (
+  SELECT user_id, idx, v, v AS lo, v AS hi, 0 AS seg FROM raw WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, x, CASE WHEN cut THEN x ELSE least(lo, x) END, CASE WHEN cut THEN x ELSE greatest(hi, x) END, seg + cut::INT
+  FROM (SELECT r.*, p.idx AS i, p.v AS x, p.idx % {CHUNK} = 0 OR greatest(r.hi, p.v) - least(r.lo, p.v) > {2 * BOUND} AS cut FROM r JOIN raw p ON p.user_id = r.user_id AND p.idx = r.idx + 1)
+), pts AS (SELECT user_id, idx, (min(v) OVER w + max(v) OVER w) / 2 AS value FROM r WINDOW w AS (PARTITION BY user_id, seg))"""
+
+
+def source_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed events written to and read from the data source, with filters that leave out files and chunks."""
+    points_format.register(spark)
+    path = f"{Staging(spark).root}/points"
+    rows = series.compress(series.pack(base.points(spark, sf_dir), KEY, CHUNK), M.Chimp128, {})
+    rows.repartitionByRange(*KEY).write.format("loomline").mode("append").option("path", path).option("chunk", CHUNK).save()
+    found = spark.read.format("loomline").option("path", path).load()
+    return found.where((F.col("user_id") >= 20) & (F.col("user_id") < 90) & (F.col("idx") >= 5) & (F.col("idx") < 50))
+
+
+SOURCE_POINTS_SQL = f"WITH {PTS} SELECT user_id, idx, value FROM pts WHERE user_id >= 20 AND user_id < 90 AND idx >= 5 AND idx < 50"
+
+
+def sql_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed and unpacked in SQL alone: an aggregate, and a lateral table function."""
+    udfs.register(spark)
+    read_events(spark, sf_dir, "user_id", "ts", "event_id", "value").createOrReplaceTempView("loomline_events")
+    config = base.config(M.SwingFilterDisconnected)
+    return spark.sql(f"""WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM loomline_events),
+      c AS (SELECT user_id, ts_pack(i, value, 'SwingFilterDisconnected', '{json.dumps(config)}') AS payload FROM p GROUP BY user_id)
+      SELECT user_id, t.idx, round(t.value + {OFF_TIES}, 4) + 0D AS value FROM c, LATERAL ts_points(c.payload) t""")
+
+
+SQL_ROUND_TRIP_SQL = base._swing_sql(False).replace("END, 4) + 0.0 AS value", f"END + {OFF_TIES}, 4) + 0.0 AS value")
+
 QUERIES = {
+    "zone_maps_Chimp128": partial(zone_maps, method=M.Chimp128),
+    "zone_maps_Midrange": partial(zone_maps, method=M.PoorMansCompressionMidrange),
+    "value_filter_Chimp128": partial(value_filter, method=M.Chimp128),
+    "value_filter_Midrange": partial(value_filter, method=M.PoorMansCompressionMidrange),
+    "source_points": source_points,
+    "sql_round_trip": sql_round_trip,
     "long_spectrum": long_spectrum,
     "dft_reconstruct": dft_reconstruct,
     "dft_points": dft_points,
@@ -268,6 +345,12 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "zone_maps_Chimp128": _zones_sql(PTS),
+    "zone_maps_Midrange": _zones_sql(_CHUNKED).replace("WITH", "WITH RECURSIVE", 1),
+    "value_filter_Chimp128": _filter_sql(PTS),
+    "value_filter_Midrange": _filter_sql(_CHUNKED).replace("WITH", "WITH RECURSIVE", 1),
+    "source_points": SOURCE_POINTS_SQL,
+    "sql_round_trip": SQL_ROUND_TRIP_SQL,
     "long_spectrum": LONG_SPECTRUM_SQL,
     "dft_reconstruct": DFT_RECONSTRUCT_SQL,
     "dft_points": DFT_POINTS_SQL,
