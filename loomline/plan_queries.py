@@ -300,8 +300,7 @@ def source_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Staging(spark).root}/points"
     rows = series.compress(series.pack(base.points(spark, sf_dir), KEY, CHUNK), M.Chimp128, {})
     rows.repartitionByRange(*KEY).write.format("loomline").mode("append").option("path", path).option("chunk", CHUNK).save()
-    found = spark.read.format("loomline").option("path", path).load()
-    return found.where((F.col("user_id") >= 20) & (F.col("user_id") < 90) & (F.col("idx") >= 5) & (F.col("idx") < 50))
+    return points_format.read_points(spark, path).where((F.col("user_id") >= 20) & (F.col("user_id") < 90) & (F.col("idx") >= 5) & (F.col("idx") < 50))
 
 
 SOURCE_POINTS_SQL = f"WITH {PTS} SELECT user_id, idx, value FROM pts WHERE user_id >= 20 AND user_id < 90 AND idx >= 5 AND idx < 50"

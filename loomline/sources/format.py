@@ -2,8 +2,8 @@
 
 A table is a folder of Parquet files, one a writing task, with a manifest that has each file's range of the first
 key and of indices. Written are compressed rows: key columns, chunk (optional), method, n, payload. Read are points: the keys, idx and
-value. Filters on the first key, idx and method leave out files by the manifest and rows before they are decoded;
-a read schema without value decodes nothing. Writers leave files under names of their own; they are part of
+value. A read schema without value decodes nothing. As ``loomline_pushed`` (see ``read_points``) filters on the first key and
+idx leave out files by the manifest, and rows before they are decoded. Writers leave files under names of their own; they are part of
 the table once the manifest that names them is in place.
 
 Options: ``path`` (a URI that pyarrow's file systems know), ``chunk`` (points of a chunk, when writing).
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,9 +35,19 @@ _BATCH = 256
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with filters pushed to it."""
+    """Make the formats known to a session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Compressed)
+    spark.dataSource.register(Pushed)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """A frame of the points of a table, for one query, whose filters leave out files and chunks.
+
+    Spark keeps what a reader made of pushed filters with the loaded frame and uses it again for a query whose filters it
+    cannot push, which would then lack rows. So this frame serves one query; one of the format ``loomline`` serves many.
+    """
+    return spark.read.format("loomline_pushed").option("path", path).load()
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -135,15 +145,6 @@ class PointReader(DataSourceReader):
         self.key = _schema_of(self.manifest["keys"]).names[0]
         self.tests: list[tuple[str, str, object]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons of the first key and idx are used here, and left to Spark as well where they do not settle each row."""
-        kinds = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
-        for f in filters:
-            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if type(f) in kinds and column in (self.key, "idx"):
-                self.tests.append((column, kinds[type(f)], f.value))
-            yield f
-
     def _may(self, low, high, column: str) -> bool:
         """Whether a value from ``low`` to ``high`` can pass the tests of a column."""
         for name, op, v in self.tests:
@@ -178,3 +179,23 @@ class PointReader(DataSourceReader):
                 payloads = batch.column("payload")
                 made["value"] = np.concatenate([codec.decompress(payloads[int(i)].as_py() or b"") for i in own]) if len(own) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name] for f in schema], schema=schema)
+
+
+class PushedReader(PointReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of the first key and idx are used here, and left to Spark as well where they do not settle each row."""
+        kinds = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if type(f) in kinds and column in (self.key, "idx"):
+                self.tests.append((column, kinds[type(f)], f.value))
+            yield f
+
+
+class Pushed(Compressed):
+    @classmethod
+    def name(cls) -> str:
+        return "loomline_pushed"
+
+    def reader(self, schema: T.StructType) -> PushedReader:
+        return PushedReader(self.options["path"], schema)

@@ -58,17 +58,20 @@ def test_data_source(spark, points, tmp_path):
         rows.where(part).repartitionByRange(3, "id").write.format("loomline").mode("append").option("path", path).option("chunk", 9).save()
     table = spark.read.format("loomline").option("path", path).load()
     assert as_set(table) == as_set(points) and table.columns == ["id", "idx", "value"]
-    reader = points_format.PointReader(path, table.schema)
+    reader = points_format.PushedReader(path, table.schema)
     files = len(reader.partitions())
     list(reader.pushFilters([points_format.EqualTo(("id",), 3), points_format.LessThan(("idx",), 5)]))
     assert 0 < len(reader.partitions()) < files
     decoded = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
     assert decoded == 9  # one chunk of one key
     for where in ("id = 3 AND idx < 5", "id IN (2, 11) AND idx >= 30", "id > 20", "idx = 44", "value > 100 OR id < 1", "id IS NULL"):
-        assert as_set(table.where(where)) == as_set(points.where(where)), where
+        assert as_set(points_format.read_points(spark, path).where(where)) == as_set(points.where(where)), where
     assert spark.read.format("loomline").schema("id long, idx long").option("path", path).load().count() == points.count()
     rows.where("id = 5").write.format("loomline").mode("overwrite").option("path", path).option("chunk", 9).save()
     assert as_set(spark.read.format("loomline").option("path", path).load()) == as_set(points.where("id = 5"))
+    table = spark.read.format("loomline").option("path", path).load()
+    for where in ("id = 5 AND idx < 3", "value > 48 OR id < 1"):  # one frame for many queries
+        assert as_set(table.where(where)) == as_set(points.where("id = 5").where(where))
     with pytest.raises(Exception, match="compressed rows need"):
         points.write.format("loomline").mode("append").option("path", path).save()
 
