@@ -13,7 +13,7 @@ from .functions import udfs
 from .kernels.segments import margin
 from .methods import Method
 from .operators import asof, series
-from .plans import fourier, greedy, intervals, native, piecewise
+from .plans import fourier, greedy, intervals, native, piecewise, sizes
 from .queries import BOUND, KEY, PTS, TERMS
 from .sources import format as points_format
 from .sources import tables
@@ -318,7 +318,80 @@ def sql_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ROUND_TRIP_SQL = base._swing_sql(False).replace("END, 4) + 0.0 AS value", f"END + {OFF_TIES}, 4) + 0.0 AS value")
 
+def lossless_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each lossless method on each series, from expressions over its values, and whether its payload has as many."""
+    found = sizes.lossless_sizes(base.points(spark, sf_dir), KEY)
+    made = base.payload_bytes(spark, sf_dir, base.LOSSLESS).select(*KEY, "method", F.col("bytes").alias("made"))
+    return found.join(made, [*KEY, "method"]).select(*KEY, "method", "n", "bytes", (F.col("bytes") == F.col("made")).alias("same"))
+
+
+def _bits_sql(v: str) -> str:
+    """The bits of a double that is not negative."""
+    e = f"(floor(log2({v}))::INT - CASE WHEN pow(2.0, floor(log2({v}))) > {v} THEN 1 ELSE 0 END + CASE WHEN pow(2.0, floor(log2({v})) + 1) <= {v} THEN 1 ELSE 0 END)"
+    return f"(CASE WHEN {v} = 0 THEN 0::BIGINT ELSE (({e} + 1023)::BIGINT << 52) | (({v} / pow(2.0, {e}) - 1) * 4503599627370496)::BIGINT END)"
+
+
+_LEAD, _TRAIL = "(64 - length(bin({0})))", "(length(bin({0})) - length(rtrim(bin({0}), '0')))"
+_STEP_SQL = "(CASE WHEN {0} >= 24 THEN 24 WHEN {0} >= 22 THEN 22 WHEN {0} >= 20 THEN 20 WHEN {0} >= 18 THEN 18 WHEN {0} >= 16 THEN 16 WHEN {0} >= 12 THEN 12 WHEN {0} >= 8 THEN 8 ELSE 0 END)"
+
+
+def _chimp_sql(name: str, ring: bool) -> str:
+    """Windows of XOR codes; ``ring``: a value of the same low 14 bits within 128 places may be the predecessor."""
+    slot, least = (7, 13) if ring else (0, 6)
+    ref = "CASE WHEN idx - 1 - coalesce(far_idx, 0) < 128 AND (xor(coalesce(far, start), raw) = 0 OR " + _TRAIL.format("xor(coalesce(far, start), raw)") + " > 13) THEN coalesce(far, start) END" if ring else "NULL::BIGINT"
+    return f"""{name}1 AS (SELECT *, {ref} AS ref FROM v WHERE idx > 0),
+{name}2 AS (SELECT user_id, idx, n, xor(coalesce(ref, prev), raw) AS x, ref FROM {name}1),
+{name}3 AS (SELECT *, {_TRAIL.format("x")} AS t, 64 - {_STEP_SQL.format(_LEAD.format("x"))} AS body FROM {name}2),
+{name}4 AS (SELECT *, x <> 0 AND {"ref IS NOT NULL" if ring else f"t > {least}"} AS cut FROM {name}3),
+{name}5 AS (SELECT *, lag(CASE WHEN x <> 0 AND NOT cut THEN body END) OVER (PARTITION BY user_id ORDER BY idx) AS held FROM {name}4),
+{name} AS (SELECT user_id, 9 + ceil((sum(CASE WHEN x = 0 THEN {2 + slot} WHEN cut THEN {11 + slot} + body - t WHEN held = body THEN 2 + body ELSE 5 + body END) + {11 + slot}) / 8) AS bytes FROM {name}5 GROUP BY user_id)"""
+
+
+def lossless_sql() -> str:
+    tagged = "(CASE WHEN {0} < 256 THEN 10 WHEN {0} < 65536 THEN 18 WHEN {0} < 4294967296 THEN 34 ELSE 66 END)"
+    double = "(pow(2.0, (({0} >> 52) - 1023)::INT) * (1 + ({0} & 4503599627370495) / 4503599627370496.0::DOUBLE))"
+    return f"""WITH RECURSIVE {PTS}, b AS (SELECT *, {_bits_sql("value")} AS raw, count(*) OVER (PARTITION BY user_id) AS n FROM pts),
+v AS (SELECT *, lag(raw) OVER w AS prev, first_value(raw) OVER w AS start, lag(raw) OVER k AS far, lag(idx) OVER k AS far_idx FROM b WINDOW w AS (PARTITION BY user_id ORDER BY idx), k AS (PARTITION BY user_id, raw & 16383 ORDER BY idx)),
+runs AS (SELECT user_id, 16 * count(*) FILTER (prev IS NULL OR prev <> raw) + 1 AS bytes FROM v GROUP BY user_id),
+{_chimp_sql("c", False)},
+{_chimp_sql("g", True)},
+-- decimal places and digits: the least power of ten that makes a whole number which gives the value back
+p AS (SELECT *, list_filter(range(0, 21), lambda k: round(value * pow(10.0, k)) / pow(10.0, k) = value AND round(value * pow(10.0, k)) < 9007199254740992)[1] AS places FROM v),
+q AS (SELECT *, CASE WHEN value > 0 THEN round(value * pow(10.0, places))::BIGINT::VARCHAR END AS m FROM p),
+d AS (SELECT * EXCLUDE (places), places - z AS places, length(m) - z AS digits FROM (SELECT *, CASE WHEN places = 0 THEN length(m) - length(rtrim(m, '0')) ELSE 0 END AS z FROM q)),
+w AS (SELECT user_id, idx, n, value, pow(10.0, least(15, max(greatest(places, 0)) FILTER (digits <= 15) OVER (PARTITION BY user_id))) AS scale FROM d),
+s AS (SELECT user_id, idx, n, round(value * coalesce(scale, 1))::BIGINT - lag(round(value * coalesce(scale, 1))::BIGINT) OVER (PARTITION BY user_id ORDER BY idx) AS step FROM w),
+delta AS (SELECT user_id, 29 + ceil(coalesce(sum({tagged.format("(step - least_step)")}) FILTER (step IS NOT NULL), 0) / 8) AS bytes FROM (SELECT *, min(step) OVER (PARTITION BY user_id) AS least_step FROM s) GROUP BY user_id),
+-- bits that the digits give back are cut off
+e AS (SELECT *, 52 - ceil(places * log2(10.0)) - ((raw >> 52) - 1023) AS cut FROM d),
+f AS (SELECT *, CASE WHEN idx > 0 AND digits <= 15 AND places >= 0 AND cut > 4 AND cut < 64 THEN (raw >> cut::INT) << cut::INT END AS short FROM e),
+h AS (SELECT *, {double.format("short")} AS back FROM f),
+i AS (SELECT *, floor(log10(back))::INT - CASE WHEN pow(10.0, floor(log10(back))) > back THEN 1 ELSE 0 END + CASE WHEN pow(10.0, floor(log10(back)) + 1) <= back THEN 1 ELSE 0 END AS f10 FROM h),
+j AS (SELECT *, short <> raw AND coalesce(CASE WHEN digits = 1 AND places > 0 AND value = pow(10.0, -places) THEN pow(10.0, f10 + 1) ELSE ceil(back * pow(10.0, digits - f10 - 1)) / pow(10.0, digits - f10 - 1) END = value, FALSE) AS marked FROM i),
+k AS (SELECT user_id, idx, n, coalesce(marked, FALSE) AS marked, CASE WHEN marked THEN short ELSE raw END AS stored FROM j),
+x AS (SELECT *, xor(stored, lag(stored) OVER (PARTITION BY user_id ORDER BY idx)) AS x FROM k),
+y AS (SELECT *, {_STEP_SQL.format(_LEAD.format("x"))} AS lead, {_TRAIL.format("x")} AS trail FROM x),
+elf AS (
+  SELECT user_id, idx, n, -1 AS lead, -1 AS trail, 0::BIGINT AS bits FROM y WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, n, CASE WHEN x = 0 THEN l0 ELSE l END, CASE WHEN x = 0 OR again THEN t0 ELSE t END, bits + CASE WHEN marked THEN 5 ELSE 1 END + CASE WHEN x = 0 THEN 2 WHEN again THEN 66 - l0 - t0 WHEN 64 - l - t <= 16 THEN 72 - l - t ELSE 74 - l - t END
+  FROM (SELECT y.user_id, y.idx AS i, y.n, y.x, y.marked, y.lead AS l, y.trail AS t, elf.lead AS l0, elf.trail AS t0, elf.bits, elf.lead = y.lead AND y.trail >= elf.trail AS again FROM elf JOIN y ON y.user_id = elf.user_id AND y.idx = elf.idx + 1)
+),
+a AS (
+  SELECT user_id, {int(M.Uncompressed)} AS method, 8 * count(*) + 1 AS bytes FROM pts GROUP BY user_id
+  UNION ALL SELECT user_id, {int(M.RunLengthEncoding)}, bytes FROM runs
+  UNION ALL SELECT user_id, {int(M.Chimp64)}, bytes FROM c
+  UNION ALL SELECT user_id, {int(M.Chimp128)}, bytes FROM g
+  UNION ALL SELECT user_id, {int(M.BitPackedDeltaEncoding)}, bytes FROM delta
+  UNION ALL SELECT user_id, {int(M.Elf)}, 9 + ceil((bits + 12) / 8) FROM elf WHERE idx = n - 1
+), sized AS (SELECT a.user_id, a.method, c.n, CASE WHEN c.n = 1 THEN 9 ELSE a.bytes END::BIGINT AS bytes FROM a JOIN (SELECT user_id, count(*) AS n FROM pts GROUP BY user_id) c ON c.user_id = a.user_id)"""
+
+
+LOSSLESS_BYTES_SQL = f"{lossless_sql()} SELECT *, TRUE AS same FROM sized"
+BEST_METHOD_SQL = f"{lossless_sql()} SELECT user_id, min(bytes) AS bytes, arg_min(method, bytes * 100 + method)::INT AS method FROM sized GROUP BY user_id"
+
 QUERIES = {
+    "lossless_bytes": lossless_bytes,
     "zone_maps_Chimp128": partial(zone_maps, method=M.Chimp128),
     "zone_maps_Midrange": partial(zone_maps, method=M.PoorMansCompressionMidrange),
     "value_filter_Chimp128": partial(value_filter, method=M.Chimp128),
@@ -344,6 +417,8 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "lossless_bytes": LOSSLESS_BYTES_SQL,
+    "best_method": BEST_METHOD_SQL,
     "zone_maps_Chimp128": _zones_sql(PTS),
     "zone_maps_Midrange": _zones_sql(_CHUNKED).replace("WITH", "WITH RECURSIVE", 1),
     "value_filter_Chimp128": _filter_sql(PTS),
