@@ -122,20 +122,28 @@ def compress_each(packed: DataFrame, configs: dict[Method, dict]) -> DataFrame:
 
 
 def _guarded(df: DataFrame, drop: list[str], fields: list[T.StructField], step, permissive: bool) -> DataFrame:
-    """Rows mapped by ``step``; permissive: a refused row gets nulls and its error_code, others the code 0."""
+    """Rows mapped by ``step``; permissive: a refused row gets nulls and its error_code, others the code 0.
+
+    A row that has an error_code already, as of a series refused before, keeps it.
+    """
+    code, known = "error_code", "error_code" in df.columns
 
     def guarded(r: dict) -> tuple:
+        if known and r[code].as_py():
+            return (*[None] * len(fields), r[code].as_py())
         try:
             return (*step(r), 0)
         except SeriesError as e:
             return (*[None] * len(fields), e.code)
 
-    return _mapped(df, drop, [*fields, T.StructField("error_code", T.IntegerType())], guarded) if permissive else _mapped(df, drop, fields, step)
+    if not permissive:
+        return _mapped(df, drop, fields, step)
+    return _mapped(df, [*drop, *[code] * known], [*fields, T.StructField(code, T.IntegerType())], guarded)
 
 
 def decompress(compressed: DataFrame, permissive: bool = False) -> DataFrame:
-    """(…, payload) to (…, values)."""
-    return _guarded(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py() or b""),), permissive)
+    """(…, payload) to (…, values); a null payload, as of a refused series, has null values."""
+    return _guarded(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py()) if r["payload"].is_valid else None,), permissive)
 
 
 def extract(compressed: DataFrame, permissive: bool = False) -> DataFrame:

@@ -72,7 +72,7 @@ STREAM_SWING_SQL = f"{_CONES} SELECT r.user_id, min(r.s) AS start_idx, max(r.idx
 
 def _two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values compressed in two ways, put together by segments."""
-    tables = [intervals.disjoint(native.segment_table(series.extract(base.payloads(spark, sf_dir, m)), KEY, m), KEY) for m in (M.PoorMansCompressionMidrange, M.SwingFilterDisconnected)]
+    tables = [intervals.disjoint(native.segments(base.payloads(spark, sf_dir, m), KEY, m), KEY) for m in (M.PoorMansCompressionMidrange, M.SwingFilterDisconnected)]
     return intervals.combine(intervals.overlap(*tables, KEY), KEY)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.values import FRACTION_BITS, bucket
 from ..methods import Method, SeriesError, bound32, method_of
+from ..operators import series
 
 M = Method
 
@@ -68,6 +69,14 @@ def segment_table(extracted: DataFrame, keys: list[str], method: Method | int |
     return rows.select(*keys, F.col("seg").cast("long").alias("seg"), start.cast("long").alias("start_idx"), "end_idx", "c0", "c1")
 
 
+def segments(compressed: DataFrame, keys: list[str], method: Method | int | str) -> DataFrame:
+    """The segment table of compressed series; a series of one value, which is stored raw, is one constant segment."""
+    rows = compressed.select(*keys, "payload")
+    many = segment_table(series.extract(rows.where(F.octet_length("payload") > 9)), keys, method)
+    one = series.decompress(rows.where(F.octet_length("payload") == 9)).withColumn("c0", F.get("values", 0))
+    return many.unionByName(one.select(*keys, F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("start_idx"), F.lit(1).cast("long").alias("end_idx"), "c0", F.col("c0").alias("c1")))
+
+
 def quantized(points: DataFrame, keys: list[str], bound: float) -> DataFrame:
     """keys, idx, q, decoded, bits: codes of the packed quantisation and their width."""
     step = bucket(bound)

@@ -101,8 +101,7 @@ SELECT user_id, seg::BIGINT AS seg, min(idx) AS start_idx, max(idx) + 1 AS end_i
 
 
 def midrange_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series.extract(payloads(spark, sf_dir, M.PoorMansCompressionMidrange))
-    table = native.segment_table(found, KEY, M.PoorMansCompressionMidrange)
+    table = _midrange_table(spark, sf_dir)
     return table.select("user_id", "seg", "start_idx", "end_idx", F.round("c0", 6).alias("value"))
 
 
@@ -117,7 +116,7 @@ MIDRANGE_SQL = f"WITH RECURSIVE {_MIDRANGE} SELECT user_id, seg::BIGINT AS seg,
 
 
 def _midrange_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.segment_table(series.extract(payloads(spark, sf_dir, M.PoorMansCompressionMidrange)), KEY, M.PoorMansCompressionMidrange)
+    return native.segments(payloads(spark, sf_dir, M.PoorMansCompressionMidrange), KEY, M.PoorMansCompressionMidrange)
 
 
 def segment_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +361,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per series: points, segments, largest error and whether the bound holds, through the segment table."""
     packed = series.pack(points(spark, sf_dir), KEY).withColumn("raw", F.col("values"))
     compressed = series.compress(packed, M.PoorMansCompressionMidrange, config(M.PoorMansCompressionMidrange))
-    table = series.extract(compressed).select("user_id", "raw", F.inline(F.transform("indices", lambda e, i: F.struct(e.alias("stop"), F.coalesce(F.get("indices", i - 1), F.lit(0)).alias("start"), F.get("coefficients", i).alias("c")))))
+    # a series of one value is one segment of that value
+    found = series.extract(compressed, permissive=True).select("user_id", "raw", F.coalesce("indices", F.array(F.lit(1).cast("long"))).alias("indices"), F.coalesce("coefficients", "raw").alias("coefficients"))
+    table = found.select("user_id", "raw", F.inline(F.transform("indices", lambda e, i: F.struct(e.alias("stop"), F.coalesce(F.get("indices", i - 1), F.lit(0)).alias("start"), F.get("coefficients", i).alias("c")))))
     worst = F.aggregate(F.slice("raw", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")), F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v - F.col("c"))))
     out = table.withColumn("e", worst).groupBy("user_id").agg(F.max("stop").alias("n"), F.count("*").alias("segments"), F.round(F.max("e"), 6).alias("max_abs_err"))
     return out.withColumn("within_bound", F.col("max_abs_err") <= bound32(BOUND))

@@ -47,7 +47,7 @@ def zoned(packed: DataFrame, keys: list[str], method: Method | int | str, config
         rows = rows.withColumn("kept", F.col("payload"))
         rows = series.extract(rows.drop("payload").withColumnRenamed("copy", "payload"), permissive=True)
         # a single value is stored raw and has no model
-        rows = series.decompress(rows.withColumn("payload", F.when(F.col("error_code") != 0, F.col("kept"))), permissive=True)
+        rows = series.decompress(rows.withColumn("payload", F.when(F.col("error_code") != 0, F.col("kept"))))
         seen = F.coalesce(F.when(F.size("coefficients") > 0, F.col("coefficients")), F.col("values"))
         rows = rows.withColumn("seen", seen).drop("indices", "coefficients", "error_code", "values").withColumnRenamed("kept", "payload")
     else:

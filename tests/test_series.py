@@ -115,6 +115,24 @@ def test_permissive_verbs_and_refused_tables(spark):
             native.segment_table(series.extract(small), ["id"], method)
 
 
+def test_refused_series_stay_null(spark):
+    packed = spark.createDataFrame([("a", [1.0, float("nan"), 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", [4.0])], "id string, values array<double>")
+    small = series.compress(packed, M.SerfQT, {"abs_error_bound": 0.1}, permissive=True)
+    got = {r.id: (r["values"], r.error_code) for r in series.decompress(small, permissive=True).collect()}
+    assert got["a"] == (None, 2) and got["b"][1] == 0 and got["c"] == ([4.0], 0)
+    assert {r.id: r["values"] for r in series.decompress(small.drop("error_code")).collect()}["a"] is None
+
+
+def test_segments_of_one_value(spark):
+    packed = spark.createDataFrame([(1, [1.0, 2.0, 9.0]), (2, [7.0])], "id long, values array<double>")
+    for m in (M.PoorMansCompressionMidrange, M.SwingFilter, M.SlidingWindow):
+        from loomline.queries import config
+
+        table = native.segments(series.compress(packed, m, config(m)), ["id"], m)
+        assert [(r.seg, r.start_idx, r.end_idx, r.c0, r.c1) for r in table.where("id = 2").collect()] == [(0, 0, 1, 7.0, 7.0)]
+        assert table.where("id = 1").agg(F.max("end_idx")).first()[0] == 3
+
+
 def test_sql_functions_of_null(spark):
     udfs.register(spark)
     row = spark.sql("SELECT ts_extract(CAST(NULL AS BINARY)) AS e, ts_rebuild(CAST(NULL AS ARRAY<BIGINT>), CAST(NULL AS ARRAY<DOUBLE>), 'SwingFilter') AS r").first()
