@@ -274,19 +274,20 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", with_ids:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of the text; ids as binary if asked for."""
     taken = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     extra = [c for c in docs.columns if c != text_col and c not in taken]
+    (own,) = common.unused(docs, "__text")
     schema = T.StructType([docs.schema[c] for c in extra] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + ([T.StructField("ids", T.BinaryType())] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = text_encoder(path)
         for batch in batches:
-            ids = enc.encode(batch.column("__text").to_pylist())
+            ids = enc.encode(batch.column(own).to_pylist())
             decoded = [hashlib.sha256(enc.table.decode(np.frombuffer(i, "<u4")).encode("utf-8")).hexdigest() for i in ids]
             cols = [batch.column(c) for c in extra] + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names=schema.names)
         enc.trim()
         common.give_back()
 
-    return docs.select(*extra, common.text_of(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*extra, common.text_of(F.col(text_col)).alias(own)).mapInArrow(run, schema)
 
 
 def op1_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,17 @@ def release(df: DataFrame | None) -> None:
         remove(df.sparkSession, df._staged_path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 

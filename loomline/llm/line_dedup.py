@@ -7,22 +7,20 @@ go beside it as updates of count and largest document. A level that reaches ``fa
 merged into one run of the next level, and so are their updates.
 
 Defined results: a null or empty text is one empty line; equal documents count once each;
-keys shorter than ``min_chars`` code points never drop; ties cannot occur as document ids are
-unique; an empty table gives an empty result; other columns of the input are passed through.
+keys shorter than ``min_chars`` code points never drop; rows of one id are one document, each with its own
+lines; rows without an id count as one document, keep their lines and are never the last; an empty
+table gives an empty result; other columns of the input, of any name, are passed through.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 KEY = ["h1", "h2"]
 MIN_CHARS, MIN_DOCS = 20, 3
-_CUT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
 
 def line_key(line: Column) -> Column:
@@ -30,10 +28,18 @@ def line_key(line: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, h1, h2) of the lines whose key is long enough; keys are 128-bit hashes."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(common.text_of(F.col(text_col)), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
-    return rows.select("doc_id", "line_no", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
+    """(doc_id, text_hash, line_no, h1, h2) of the lines whose key is long enough; keys are 128-bit hashes."""
+    text = common.text_of(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("doc_id", "text_hash", "line_no", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
+    return rows.select("doc_id", "text_hash", "line_no", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text less the lines of the ascending numbers ``gone``: the stretches between them, joined."""
+    lines = F.split(text, "\n", -1)
+    borders = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(F.size(lines))).alias("b"))
+    return F.array_join(F.flatten(F.transform(borders, lambda p: F.slice(lines, p["a"] + 2, p["b"] - p["a"] - 1))), "\n")
 
 
 class LineRuns:
@@ -96,18 +102,6 @@ class LineRuns:
         return found[0] if len(found) == 1 else self._merged(found)
 
 
-@F.pandas_udf(_CUT)
-def _without(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, d in zip(text, dropped):
-        if d is None or t is None:
-            out.append((0, 0, None))
-            continue
-        gone, lines = set(map(int, d)), t.split("\n")
-        out.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
-    return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 3) -> DataFrame:
     """The documents with text less its repeated lines, plus n_lines and n_dropped.
 
@@ -121,18 +115,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     # staged, so that the join has its exchanges to itself and a very common line's partition can be split
     common_keys = common.stage(runs.compact().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "common")
-    gone = slim.join(common_keys, KEY).where(F.col("doc_id") != F.col("last_doc"))
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
+    hits = slim.join(common_keys, KEY).where(F.col("doc_id") != F.col("last_doc"))
+    own, own_hash, text, gone = common.unused(docs, "__id", "__hash", "__text", "__gone")
+    hits = hits.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(own_hash)).agg(F.sort_array(F.collect_set("line_no")).alias(gone))
     extra = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = docs.select(*extra, common.text_of(F.col(text_col)).alias("__text")).join(gone, F.col(id_col) == F.col("__id"), "left")
-    hit = F.col("__gone").isNotNull()
-    rows = rows.withColumn("__cut", _without(F.when(hit, F.col("__text")), "__gone"))
-    n_lines = F.when(hit, F.col("__cut.n_lines")).otherwise(F.length("__text") - F.length(F.translate("__text", "\n", "")) + 1)
+    rows = docs.select(*extra, common.text_of(F.col(text_col)).alias(text))
+    rows = rows.join(hits, (F.col(id_col) == F.col(own)) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    hit = F.col(gone).isNotNull()
     return rows.select(
         *extra,
-        F.when(hit, F.col("__cut.kept")).otherwise(F.col("__text")).alias(text_col),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(hit, F.col("__cut.n_dropped")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(hit, without(F.col(text), F.col(gone))).otherwise(F.col(text)).alias(text_col),
+        (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
+        F.when(hit, F.size(gone)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -167,7 +167,8 @@ def score(docs: DataFrame, forest: Forest, accept: float = ACCEPT, keep_text: bo
             x = statistics([t or "" for t in b.column(len(extra)).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(extra))] + [pa.array(forest.score(x))], names=schema.names)
 
-    rows = docs.select(*extra, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    (own,) = common.unused(docs, "__text")
+    rows = docs.select(*extra, F.col("text").cast("string").alias(own)).mapInArrow(run, schema)
     return rows.withColumns({"held_out": fold(F.col("doc_id")) == 0, "predicted": (F.col("score") >= accept).cast("int")})
 
 

@@ -323,13 +323,13 @@ def test_banded_edits_is_edit_distance():
 def test_token_files(docs, empty, spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib, at = Tokenizer.from_file(path), 0
-    token_files.write_token_files(docs, f"file://{tmp_path}/t", path, 0, 50257, file_ids=300)
+    token_files.write_token_files(docs, f"file://{tmp_path}/t", path, 0, parts=4, file_ids=300)
     got = by_id(token_files.read_token_files(spark, f"file://{tmp_path}/t"))
     for r in docs.orderBy("doc_id").collect():
         ids = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
         assert tuple(got[r.doc_id]) == (r.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    token_files.write_token_files(empty, f"file://{tmp_path}/e", path, 0, 50257)
+    token_files.write_token_files(empty, f"file://{tmp_path}/e", path, 0, parts=4)
     assert token_files.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
 
 
@@ -488,3 +488,26 @@ def test_pipeline(spark, tmp_path):
     got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
     assert set(got) == set(range(60))
     assert re.fullmatch("[0-9a-f]{64}", got[0].ids_sha256)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__text", "__id", "__gone", "__hash", "__y", "line_no", "h1"]
+    df = spark.createDataFrame([(i, "a line of more than twenty characters\nown line %d" % i) for i in range(5)], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    forest = quality.fit(np.random.default_rng(1).normal(size=(40, len(quality.FEATURES))), np.arange(40) % 2.0)
+    for out in (bpe.encode_decode(df, public_tokenizers.path("word_bpe_49k.json")), quality.score(df, forest), line_dedup.dedup_lines(df)):
+        rows = out.collect()
+        assert len(rows) == 5 and all(r[n] == n for r in rows for n in names)
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    long = ["common line number %d, which is long enough" % i for i in range(3)]
+    rows = [(1, f"{long[0]}\nx"), (1, f"y\n{long[0]}\n\n"), (2, long[0]), (3, f"{long[0]}\n{long[0]}"), (None, long[0]), (2, None), (4, f"\n{long[1]}"), (4, f"\n{long[1]}"), (5, long[1])]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, "x", 2, 1), (1, "y\n\n", 4, 1), (2, "", 1, 1), (3, f"{long[0]}\n{long[0]}", 2, 0), (None, long[0], 1, 0), (2, "", 1, 0), (4, f"\n{long[1]}", 2, 0), (4, f"\n{long[1]}", 2, 0), (5, long[1], 1, 0)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_lines_cut_between_gaps(spark):
+    texts = [("a\nb\nc", [0]), ("a\nb\nc", [1]), ("a\nb\nc", [2]), ("a\nb\nc", [0, 1, 2]), ("", [0]), ("a\n\n", [1]), ("\n".join(map(str, range(500))), list(range(0, 500, 2)))]
+    df = spark.createDataFrame(texts, "t string, g array<int>").select(line_dedup.without(F.col("t"), F.col("g")).alias("kept"))
+    assert [r.kept for r in df.collect()] == ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in texts]
