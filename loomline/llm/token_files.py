@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import array
 import functools
-import re
 import struct
 import uuid
 import zlib
@@ -27,23 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import byte_chars
+from .alignment import ByteTokens
 
 BLOCK, MAX_BITS, FILE_IDS, MAGIC = 512, 20, 2_000_000, b"LTOK1\0\0\0"
-#: Files that a task reads.
-FILES_A_TASK = 8
+#: Files that a task reads, and documents of a part at which one is planned.
+FILES_A_TASK, PART_DOCS = 8, 50_000
 _HEAD = struct.Struct("<8sIQQQ")
-#: Pieces and words that are remembered (of pieces twice as many), and the longest of them.
-_CACHE, _LONG = 600_000, 200
-#: A space that does not stand before a visible character; the places before those that do.
-_RUNS, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -161,40 +154,11 @@ def _table(lengths: bytes) -> tuple[np.ndarray, int]:
     return decode_table(np.frombuffer(lengths, "u1"))
 
 
-class _Spaced(dict):
-    """ids of a piece that follows a space, made on first use; long pieces are not kept.
-
-    Full, it starts anew beside its old self, from which pieces that recur are taken over.
-    """
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is None:
-            got = self.make(piece)
-        if len(piece) <= _LONG:
-            self[piece] = got
-        return got
-
-    def tidy(self, most: int) -> None:
-        if len(self) > most:
-            self.old = dict(self)
-            self.clear()
-
-
 class LibraryEncoder:
-    """The tokenizers library's byte-level BPE over words, which are remembered.
-
-    A byte-level pattern never joins what stands before a single space and what follows it, if a
-    visible character follows; so a text is cut there first, and pieces that recur are looked up
-    whole. A new piece is cut into words by the pattern and each new word goes to the library's model.
-    Texts with special tokens in them go to the library whole.
-    """
+    """The tokenizers library's byte-level BPE. Texts without special tokens are cut by their merges' ranks, which gives the same ids sooner."""
 
-    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+    #: Fixed value: the pattern of byte-level words.
+    WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -202,52 +166,13 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model, self.words = self.lib.model, regex.compile(self.WORDS)
-        self.chars = dict(enumerate(byte_chars()))
+        self.cut = ByteTokens(path, self.WORDS).encode
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"  # unsigned 16 or 32 bits
-        self.space = self.chars[ord(" ")]
-        self.known: dict[str, bytes] = {}
-        self.spaced = _Spaced(self._after_space)
-
-    def _model(self, w: str) -> bytes:
-        return array.array(self.kind, [t.id for t in self.model.tokenize(w)]).tobytes()
-
-    def _word(self, w: str) -> bytes:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            got = self._model(w.encode("utf-8").decode("latin-1").translate(self.chars))
-            if len(w) <= _LONG:
-                self.known[w] = got
-        return got
-
-    def _after_space(self, body: str) -> bytes:
-        if body.isascii():
-            # visible ASCII stands for itself
-            if body.isalpha():
-                return self._model(self.space + body)
-            if body[-1:] in (".", ",") and body[:-1].isalpha():
-                return self.spaced[body[:-1]] + self._word(body[-1])
-        return self._piece(" " + body)
-
-    def _piece(self, p: str) -> bytes:
-        return b"".join(map(self._word, self.words.findall(p)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as integers of ``kind``."""
-        out, spaced, odd = [], self.spaced, _RUNS.search
-        for text in texts:
-            spaced.tidy(_CACHE)
-            if any(s in text for s in self.special):
-                out.append(array.array(self.kind, self.lib.encode(text, add_special_tokens=False).ids).tobytes())
-            elif odd(text):
-                out.append(b"".join([self._piece(p) for p in _CUTS.split(text)]))
-            else:
-                first, *rest = text.split(" ")
-                out.append(self._piece(first) + b"".join(map(spaced.__getitem__, rest)))
-        return out
+        return [array.array(self.kind, self.lib.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else self.cut(t)).tobytes() for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -255,6 +180,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+_TEXT_IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 _IDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("used", T.BinaryType()), T.StructField("times", T.BinaryType())])
 _COUNT = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.LongType())])
 _FILE = T.StructType([T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_bytes", T.LongType())])
@@ -266,13 +192,22 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int, file_i
 
     part grows with doc_id; seq and before count the chunks and ids of the part so far; docs (i64),
     sizes (u32), ids (u16, or u32 for large vocabularies), the ids used (u32) and how many times (u32) are
-    little-endian arrays.
+    little-endian arrays. Texts are encoded where they lie, so ids are shuffled; bounds come from the doc_id column alone.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = library_encoder(path), TaskContext.get().partitionId()
-        wide, end = np.dtype(enc.kind).itemsize, array.array(enc.kind, [end_id]).tobytes()
-        docs, ids, seq, before = [], [], 0, 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = library_encoder(path)
+        end = array.array(enc.kind, [end_id]).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                cut = batch.slice(at, 500)
+                ids = [i + end for i in enc.encode(cut.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(ids, pa.binary())], names=_TEXT_IDS.names)
+        common.give_back()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.dtype(library_encoder(path).kind).itemsize
+        part, docs, ids, seq, before, held = None, [], [], 0, 0, 0
 
         def chunk() -> pa.RecordBatch:
             sizes, raw = np.array([len(i) // wide for i in ids], dtype="<u4"), b"".join(ids)
@@ -280,21 +215,23 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, parts: int, file_i
             used = np.flatnonzero(counts)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([np.array(docs, dtype="<i8").tobytes()]), pa.array([sizes.tobytes()]), pa.array([raw]), pa.array([used.astype("<u4").tobytes()]), pa.array([counts[used].astype("<u4").tobytes()])], names=_IDS.names)
 
-        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                cut = batch.slice(at, 500)
-                docs += cut.column(0).to_pylist()
-                ids += [i + end for i in enc.encode(cut.column(1).to_pylist())]
-                held = sum(map(len, ids)) // wide
-                if held >= file_ids:
+            for p, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if docs and (p != part or held >= file_ids):
                     yield chunk()
-                    docs, ids, seq, before = [], [], seq + 1, before + held
+                    docs, ids, seq, before, held = [], [], (seq + 1 if p == part else 0), (before + held if p == part else 0), 0
+                part = p
+                docs.append(doc)
+                ids.append(raw)
+                held += len(raw) // wide
         if docs:
             yield chunk()
 
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_of(F.col("text")).alias("text"))
-    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _IDS)
+    own = docs.select(F.col("doc_id").cast("long"), common.text_of(F.col("text")).alias("text"))
+    bounds = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else None
+    rows = own.select(common.range_index(F.coalesce("doc_id", F.lit(-(1 << 63))), [b + 1 for b in bounds or []]).alias("part"), "doc_id", "text")
+    rows = rows.mapInArrow(encode, _TEXT_IDS)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(gather, _IDS)
 
 
 def _ids(chunk: pa.BinaryScalar, n: int) -> np.ndarray:
@@ -320,7 +257,7 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int, parts:
     """Encode ``docs`` (doc_id, text) and write token files under ``uri``; the manifest, also at ``uri``/manifest."""
     spark = docs.sparkSession
     width = library_encoder(path).lib.get_vocab_size()
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_DOCS)
     encoded = common.stage(encode_documents(docs, path, end_id, parts, file_ids), "ids")
     counts = np.zeros(width, dtype=np.int64)
     for r in count_ids(encoded, width).collect():  # at most one row per id of the vocabulary
