@@ -390,7 +390,29 @@ a AS (
 LOSSLESS_BYTES_SQL = f"{lossless_sql()} SELECT *, TRUE AS same FROM sized"
 BEST_METHOD_SQL = f"{lossless_sql()} SELECT user_id, min(bytes) AS bytes, arg_min(method, bytes * 100 + method)::INT AS method FROM sized GROUP BY user_id"
 
+def _chords_sql() -> str:
+    """Chords extended while their root mean square error is within the bound, from running sums."""
+    k, y = "(i - s)", "(v - vs)"
+    error = f"sqrt(greatest(q + {y} * {y} - 2 * {y} / {k} * (m + {k} * {y}) + {y} * {y} / ({k} * {k}) * ({k} * ({k} + 1) * (2 * {k} + 1) / 6.0), 0) / ({k} + 1))"
+    return f"""WITH RECURSIVE {PTS}, r AS (
+  SELECT user_id, idx, value, 0::BIGINT AS s, value AS vs, 0.0::DOUBLE AS q, 0.0::DOUBLE AS m FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, v, CASE WHEN cut THEN i ELSE s END, CASE WHEN cut THEN v ELSE vs END, CASE WHEN cut THEN 0.0 ELSE q + {y} * {y} END, CASE WHEN cut THEN 0.0 ELSE m + {k} * {y} END
+  FROM (SELECT *, {k} > 1 AND {error} > {BOUND} AS cut FROM (SELECT r.*, p.idx AS i, p.value AS v FROM r JOIN pts p ON p.user_id = r.user_id AND p.idx = r.idx + 1))
+) SELECT user_id, idx, round(vs + CASE WHEN n > 1 THEN (stop - vs) / (n - 1) * (idx - s) ELSE 0 END + {OFF_TIES}, 4) + 0.0 AS value
+FROM (SELECT *, last_value(value) OVER w AS stop, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY user_id, s ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+#: A value within the bound of the one stored last repeats it; others are stored with shortened mantissas.
+MACAQUE_V_SQL = f"""WITH RECURSIVE h AS ({base.SHORTENED_SQL}), {PTS}, x AS (SELECT p.user_id, p.idx, p.value, h.value AS short FROM pts p JOIN h USING (user_id, idx)), r AS (
+  SELECT user_id, idx, short AS held FROM x WHERE idx = 0
+  UNION ALL
+  SELECT x.user_id, x.idx, CASE WHEN abs(x.value - held) <= {BOUND} THEN held ELSE short END FROM r JOIN x ON x.user_id = r.user_id AND x.idx = r.idx + 1
+) SELECT user_id, idx, round(held + {OFF_TIES}, 4) + 0.0 AS value FROM r"""
+
 QUERIES = {
+    "values_SlidingWindow": partial(piece_values, method=M.SlidingWindow),
+    "values_MacaqueV": partial(piece_values, method=M.MacaqueV),
     "lossless_bytes": lossless_bytes,
     "zone_maps_Chimp128": partial(zone_maps, method=M.Chimp128),
     "zone_maps_Midrange": partial(zone_maps, method=M.PoorMansCompressionMidrange),
@@ -417,6 +439,8 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "values_SlidingWindow": _chords_sql(),
+    "values_MacaqueV": MACAQUE_V_SQL,
     "lossless_bytes": LOSSLESS_BYTES_SQL,
     "best_method": BEST_METHOD_SQL,
     "zone_maps_Chimp128": _zones_sql(PTS),
