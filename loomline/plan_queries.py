@@ -410,7 +410,32 @@ MACAQUE_V_SQL = f"""WITH RECURSIVE h AS ({base.SHORTENED_SQL}), {PTS}, x AS (SEL
   SELECT x.user_id, x.idx, CASE WHEN abs(x.value - held) <= {BOUND} THEN held ELSE short END FROM r JOIN x ON x.user_id = r.user_id AND x.idx = r.idx + 1
 ) SELECT user_id, idx, round(held + {OFF_TIES}, 4) + 0.0 AS value FROM r"""
 
+#: One point is removed a step, that of the least area, while it is under the bound.
+_AREA = "abs(l[k - 1].i * (l[k].v - l[k + 1].v) + l[k].i * (l[k + 1].v - l[k - 1].v) + l[k + 1].i * (l[k - 1].v - l[k].v)) / 2.0"
+VISVALINGAM_SQL = f"""WITH RECURSIVE {PTS}, z AS (
+  SELECT user_id, 0 AS step, list({{'i': idx, 'v': value}} ORDER BY idx) AS l FROM pts GROUP BY user_id
+  UNION ALL
+  SELECT user_id, step + 1, list_filter(l, lambda x: x.i <> least.i)
+  FROM (SELECT *, list_min(list_transform(range(2, len(l)), lambda k: {{'a': {_AREA}, 'i': l[k].i}})) AS least FROM z) WHERE least.a < {base._VALUES["area_under_curve_error"]}
+), k AS (SELECT user_id, unnest(l) AS p FROM z QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) = 1),
+w AS (SELECT user_id, p.i AS i, p.v AS v, lead(p.i) OVER o AS j, lead(p.v) OVER o AS u FROM k WINDOW o AS (PARTITION BY user_id ORDER BY p.i))
+SELECT q.user_id, q.idx, round(CASE WHEN q.idx = w.i THEN v ELSE v + (u - v) * (q.idx - w.i) / (j - w.i) END + {OFF_TIES}, 4) + 0.0 AS value
+FROM pts q JOIN w ON w.user_id = q.user_id AND q.idx >= w.i AND (q.idx < w.j OR w.j IS NULL)"""
+
+#: Neighbouring chords are merged, the pair of least error first, while it is within the bound and more than two are left.
+_CHORD = "sqrt(list_sum(list_transform(range(a.f, b.t + 1), lambda i: pow(v[a.f + 1] + (v[b.t + 1] - v[a.f + 1]) / (b.t - a.f) * (i - a.f) - v[i + 1], 2))) / (b.t - a.f + 1))"
+BOTTOM_UP_SQL = f"""WITH RECURSIVE {PTS}, z AS (
+  SELECT user_id, 0 AS step, v, list_transform(range(0, len(v), 2), lambda i: {{'f': i, 't': least(i + 1, len(v) - 1)}}) AS l FROM (SELECT user_id, list(value ORDER BY idx) AS v FROM pts GROUP BY user_id)
+  UNION ALL
+  SELECT user_id, step + 1, v, list_filter(list_transform(range(1, len(l) + 1), lambda k: CASE WHEN k = least.k THEN {{'f': l[k].f, 't': l[k + 1].t}} ELSE l[k] END), lambda x, k: k <> least.k + 1)
+  FROM (SELECT *, list_min(list_transform(range(1, len(l)), lambda k: {{'e': {_CHORD.replace("a.f", "l[k].f").replace("b.t", "l[k + 1].t")}, 'k': k}})) AS least FROM z) WHERE len(l) > 2 AND least.e <= {BOUND}
+), k AS (SELECT user_id, v, unnest(l) AS p FROM z QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) = 1)
+SELECT q.user_id, q.idx, round(v[p.f + 1] + CASE WHEN p.t > p.f THEN (v[p.t + 1] - v[p.f + 1]) / (p.t - p.f) * (q.idx - p.f) ELSE 0 END + {OFF_TIES}, 4) + 0.0 AS value
+FROM pts q JOIN k ON k.user_id = q.user_id AND q.idx BETWEEN p.f AND p.t"""
+
 QUERIES = {
+    "values_VisvalingamWhyatt": partial(piece_values, method=M.VisvalingamWhyatt),
+    "values_BottomUp": partial(piece_values, method=M.BottomUp),
     "values_SlidingWindow": partial(piece_values, method=M.SlidingWindow),
     "values_MacaqueV": partial(piece_values, method=M.MacaqueV),
     "lossless_bytes": lossless_bytes,
@@ -439,6 +464,8 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "values_VisvalingamWhyatt": VISVALINGAM_SQL,
+    "values_BottomUp": BOTTOM_UP_SQL,
     "values_SlidingWindow": _chords_sql(),
     "values_MacaqueV": MACAQUE_V_SQL,
     "lossless_bytes": LOSSLESS_BYTES_SQL,
