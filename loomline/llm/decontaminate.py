@@ -17,7 +17,7 @@ into slices of that size and the documents are scanned once for each.
 
 Defined results: null or empty texts and items match nothing; repeated items each match; a document
 with many regions of an item has one row, that of an exact region or else of the fewest edits; very long texts
-are scanned whole; empty tables give an empty result; columns of the input are kept by ``clean``.
+are scanned whole, repetitive ones in the same memory as others; empty tables give an empty result; columns of the input are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Q, WINDOW, EDIT_SHARE, MAX_INDEX = 8, 80, 0.08, 2_000_000
+#: Pairs of equal grams of a text and the benchmark that are looked at together.
+PAIRS = 1_000_000
 _BITS, _BASE = 20, 0x9E3779B97F4A7C15
 _HIT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("region_start", T.LongType()), T.StructField("region_end", T.LongType())])
 
@@ -170,41 +172,61 @@ class Index:
         return out
 
     def _long(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """The items of q characters or more."""
+        """The items of q characters or more.
+
+        Pairs of equal grams are looked at for stretches of the text that hold about PAIRS of them; stretches overlap by the
+        longest region, so each window's grams lie within one. So a repetitive text takes no more memory than another.
+        """
         g = grams(codes, self.q)
         at = np.flatnonzero(self.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
             return []
         lo, hi = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        n = hi - lo
-        if not n.sum():
+        total = np.cumsum(hi - lo)
+        if not total[-1]:
             return []
+        reach = self.window + 2 * (int(self.window * self.share) + 1)
+        found: dict[int, tuple[int, int, int]] = {}
+        seen = _Seen(codes)
+        a = 0
+        while a < len(at):
+            b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")), int(np.searchsorted(at, at[a] + 2 * reach)))
+            self._stretch(codes, at[a:b], lo[a:b], hi[a:b], found, seen)
+            if b >= len(at):
+                break
+            a = max(a + 1, int(np.searchsorted(at, at[b] - reach)))
+        return [(self.ids[k], *f) for k, f in sorted(found.items())]
+
+    def _stretch(self, codes: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: dict[int, tuple[int, int, int]], seen: _Seen) -> None:
+        """Add to ``found`` the best region of each item whose grams are at ``at`` in the text, if it is better than what is there."""
+        n = hi - lo
         hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         doc_at, item, pos = np.repeat(at, n), self.item[hit], self.pos[hit]
         enough = np.bincount(item, minlength=len(self.items)) >= self.least
         if not enough.any():
-            return []
+            return
         some = enough[item]
         doc_at, item, pos = doc_at[some], item[some], pos[some]
         order = np.argsort(item, kind="stable")
         doc_at, item, pos = doc_at[order], item[order], pos[order]
         cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
-        out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             k = int(item[a])
+            if k in found and not found[k][0]:
+                continue
             w, e, least = self.limits(k)
-            found = self._item(codes, k, doc_at[a:b], pos[a:b], w, e, least)
-            if found:
-                out.append((self.ids[k], *found))
-        return out
+            best = self._item(codes, k, doc_at[a:b], pos[a:b], w, e, least, found.get(k), seen)
+            if best:
+                found[k] = best
 
-    def _item(self, codes: np.ndarray, k: int, doc_at: np.ndarray, pos: np.ndarray, w: int, e: int, least: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the window of item k with the fewest edits, if any has at most ``e``.
+    def _item(self, codes: np.ndarray, k: int, doc_at: np.ndarray, pos: np.ndarray, w: int, e: int, least: int, best: tuple[int, int, int] | None, seen: _Seen) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the window of item k with the fewest edits, if any has at most ``e`` and fewer than ``best``, else that.
 
         Every window whose shared grams within a band reach ``least`` is aligned, those with the most
-        grams first, but for windows whose grams show that they have no fewer edits than the best.
+        grams first, but for windows whose grams show that they have no fewer edits than the best, and for
+        those whose characters were refused in a region of the same characters before.
         """
-        text, step, best = self.items[k], e + 1, None
+        text, step = self.items[k], e + 1
         diag, whole = doc_at - pos, w - self.q + 1
         for shift in (0, step):
             band = (diag + shift) // (2 * step)
@@ -214,15 +236,16 @@ class Index:
                 if b - a < least:
                     continue
                 # the band's shared grams in the window at each position of the item
-                seen = np.zeros(len(text) - self.q + 2, dtype=np.int64)
-                seen[pos[order[a:b]] + 1] = 1
-                seen = seen.cumsum()
-                count = seen[whole:] - seen[: len(seen) - whole]
+                shared = np.zeros(len(text) - self.q + 2, dtype=np.int64)
+                shared[pos[order[a:b]] + 1] = 1
+                shared = shared.cumsum()
+                count = shared[whole:] - shared[: len(shared) - whole]
                 heads = np.flatnonzero(count >= least)
                 if not len(heads):
                     continue
                 first = int(band[order[a]]) * 2 * step - shift
-                for head in heads[np.argsort(-count[heads], kind="stable")].tolist():
+                heads, keys = seen.new(k, text, heads[np.argsort(-count[heads], kind="stable")], w, first, 2 * step)
+                for head, key in zip(heads.tolist(), keys):
                     # an edit spoils at most q grams of a window
                     if best is not None and -((count[head] - whole) // self.q) >= best[0]:
                         break
@@ -230,6 +253,7 @@ class Index:
                     region = codes[start : head + first + w + 2 * step]
                     pattern = text[head : head + w]
                     if fewest_edits(pattern, region) > (e if best is None else best[0] - 1):
+                        seen.refused.add(key)
                         continue
                     edits, s, t = banded_edits(pattern, region, e)
                     best = (edits, start + s, start + t)
@@ -238,6 +262,34 @@ class Index:
         return best
 
 
+class _Seen:
+    """Windows and regions of one text by their characters: pairs that were refused need no second look."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.refused = codes, set()
+        self.windows: dict[int, np.ndarray] = {}
+        self.regions: dict[int, np.ndarray] = {}
+
+    def new(self, k: int, text: np.ndarray, heads: np.ndarray, w: int, first: int, more: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Of windows at ``heads`` those whose pair with their region is not refused, one of each pair, in the order given; and the pairs."""
+        if k not in self.windows:
+            self.windows[k] = grams(text, w)
+        size = w + more
+        if size not in self.regions:
+            self.regions[size] = grams(self.codes, size)
+        own, start = self.regions[size], heads + first
+        inside = (start >= 0) & (start < len(own))
+        # a region cut off by an end of the text is known by its place
+        there = np.where(inside, own[np.clip(start, 0, max(0, len(own) - 1))] if len(own) else np.uint64(0), start.astype(np.uint64))
+        here = self.windows[k][heads]
+        order = np.lexsort((np.arange(len(heads)), there, here))
+        same = np.r_[False, (here[order][1:] == here[order][:-1]) & (there[order][1:] == there[order][:-1])]
+        pick = np.sort(order[~same])
+        pairs = list(zip(here[pick].tolist(), there[pick].tolist()))
+        left = [i for i, p in enumerate(pairs) if p not in self.refused]
+        return heads[pick[left]], [pairs[i] for i in left]
+
+
 def slices(benchmark: DataFrame, max_index: int) -> Iterator[list[tuple[int, str]]]:
     """Items in slices of at most ``max_index`` q-grams (one item at least); rows come one partition at a time."""
     held, size = [], 0

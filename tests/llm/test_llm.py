@@ -511,3 +511,41 @@ def test_lines_cut_between_gaps(spark):
     texts = [("a\nb\nc", [0]), ("a\nb\nc", [1]), ("a\nb\nc", [2]), ("a\nb\nc", [0, 1, 2]), ("", [0]), ("a\n\n", [1]), ("\n".join(map(str, range(500))), list(range(0, 500, 2)))]
     df = spark.createDataFrame(texts, "t string, g array<int>").select(line_dedup.without(F.col("t"), F.col("g")).alias("kept"))
     assert [r.kept for r in df.collect()] == ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in texts]
+
+
+def test_leaks_in_repetitive_texts():
+    import tracemalloc
+
+    phrase = "the same forty characters again and yes, "
+    item = (phrase * 75)[:3000]
+    index = decontaminate.Index.build([(1, item), (2, "0" * 2000), (3, "ab " * 400)], decontaminate.Q, decontaminate.WINDOW, decontaminate.EDIT_SHARE)
+    changed = list(phrase * 200)
+    for i in range(0, len(changed), 9):
+        changed[i] = "#"
+    texts = {"copy": phrase * 25000, "changed": "".join(changed), "zeros": "0" * 200000, "abs": "xyz " + "ab " * 20000}
+    tracemalloc.start()
+    began = time.time()
+    got = {n: {h[0]: h[1] for h in index.search(decontaminate.codes_of(t))} for n, t in texts.items()}
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    assert got["copy"] == {1: 0} and got["changed"] == {} and got["zeros"] == {2: 0} and got["abs"] == {3: 0}
+
+
+def test_stretches_find_what_a_whole_text_does(monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    r = random.Random(31)
+    items = [(i, " ".join(r.choice(words) for _ in range(40))) for i in range(6)]
+    for _ in range(10):
+        parts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(3)]
+        for _, t in r.sample(items, 2):
+            at = r.randrange(len(t) - 90)
+            own = list(t[at : at + 90])
+            for _ in range(r.randint(0, 7)):
+                own[r.randrange(len(own))] = r.choice("qx")
+            parts.append("".join(own))
+        r.shuffle(parts)
+        codes, found = decontaminate.codes_of(" ".join(parts)), []
+        for pairs in (1_000_000, 50):
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            found.append(sorted((h[0], h[1]) for h in decontaminate.Index.build(items, 8, 80, 0.08).search(codes)))
+        assert found[0] == found[1]
