@@ -433,7 +433,19 @@ BOTTOM_UP_SQL = f"""WITH RECURSIVE {PTS}, z AS (
 SELECT q.user_id, q.idx, round(v[p.f + 1] + CASE WHEN p.t > p.f THEN (v[p.t + 1] - v[p.f + 1]) / (p.t - p.f) * (q.idx - p.f) ELSE 0 END + {OFF_TIES}, 4) + 0.0 AS value
 FROM pts q JOIN k ON k.user_id = q.user_id AND q.idx BETWEEN p.f AND p.t"""
 
+#: Each new point is a group of its own; if there are too many, the two neighbours of the least span together become one.
+_SPAN = "(greatest(m[k].hi, m[k + 1].hi) - least(m[k].lo, m[k + 1].lo)) / 2"
+HISTOGRAM_SQL = f"""WITH RECURSIVE {PTS}, z AS (
+  SELECT user_id, idx, [{{'f': 0::BIGINT, 't': 0::BIGINT, 'lo': value, 'hi': value}}] AS l FROM pts WHERE idx = 0
+  UNION ALL
+  SELECT user_id, i, CASE WHEN len(m) <= {base.BINS} THEN m ELSE list_filter(list_transform(range(1, len(m) + 1), lambda k: CASE WHEN k = best.k THEN {{'f': m[k].f, 't': m[k + 1].t, 'lo': least(m[k].lo, m[k + 1].lo), 'hi': greatest(m[k].hi, m[k + 1].hi)}} ELSE m[k] END), lambda x, k: k <> best.k + 1) END
+  FROM (SELECT *, list_min(list_transform(range(1, len(m)), lambda k: {{'c': {_SPAN}, 'k': k}})) AS best
+        FROM (SELECT z.user_id, p.idx AS i, list_append(z.l, {{'f': p.idx, 't': p.idx, 'lo': p.value, 'hi': p.value}}) AS m FROM z JOIN pts p ON p.user_id = z.user_id AND p.idx = z.idx + 1))
+), g AS (SELECT user_id, unnest(l) AS p FROM z QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY idx DESC) = 1)
+SELECT q.user_id, q.idx, round((p.lo + p.hi) / 2 + {OFF_TIES}, 4) + 0.0 AS value FROM pts q JOIN g ON g.user_id = q.user_id AND q.idx BETWEEN p.f AND p.t"""
+
 QUERIES = {
+    "values_PiecewiseConstantHistogram": partial(piece_values, method=M.PiecewiseConstantHistogram),
     "values_VisvalingamWhyatt": partial(piece_values, method=M.VisvalingamWhyatt),
     "values_BottomUp": partial(piece_values, method=M.BottomUp),
     "values_SlidingWindow": partial(piece_values, method=M.SlidingWindow),
@@ -464,6 +476,7 @@ QUERIES = {
     "aligned_kinds": aligned_kinds,
 }
 ORACLE_SQL = {
+    "values_PiecewiseConstantHistogram": HISTOGRAM_SQL,
     "values_VisvalingamWhyatt": VISVALINGAM_SQL,
     "values_BottomUp": BOTTOM_UP_SQL,
     "values_SlidingWindow": _chords_sql(),
