@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.series import _mapped
+from ..sources.staging import Staging
 
-#: Values of a row that one task may hold.
-MOST = 1 << 20
+#: Values of a row that one task may hold, and those of a series that is a row as it is.
+MOST, SMALL = 1 << 20, 4096
 #: Frequencies among which the strongest are picked first, before those of a whole series.
 _SPAN = 1 << 16
 
@@ -48,14 +49,14 @@ def _lines(rows: DataFrame, by: list[str], at: str, out: str) -> DataFrame:
 
 
 def _two_steps(values: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """(keys, k, re, im) of values (keys, idx, re, im); ``sizes`` has n, n1 and n2 of each key."""
+    """(keys, n, k, re, im) of values (keys, idx, re, im); ``sizes`` has n, n1 and n2 of each key."""
     rows = values.join(sizes, keys).withColumns({"j1": F.expr("idx div n2"), "j2": F.expr("idx % n2")})
     rows = _lines(rows, [*keys, "n", "n1", "j2"], "j1", "k1")
     # j2 * k1 stays under n
     re, im = _times(F.col("re"), F.col("im"), _turn(-(F.col("j2") * F.col("k1")) / F.col("n")))
-    rows = rows.select(*keys, "n1", "k1", "j2", re.alias("re"), im.alias("im"))
-    rows = _lines(rows, [*keys, "n1", "k1"], "j2", "k2")
-    return rows.select(*keys, (F.col("k1") + F.col("n1") * F.col("k2")).alias("k"), "re", "im")
+    rows = rows.select(*keys, "n", "n1", "k1", "j2", re.alias("re"), im.alias("im"))
+    rows = _lines(rows, [*keys, "n", "n1", "k1"], "j2", "k2")
+    return rows.select(*keys, "n", (F.col("k1") + F.col("n1") * F.col("k2")).alias("k"), "re", "im")
 
 
 def _chirp(i: Column, n: Column) -> tuple[Column, Column]:
@@ -64,15 +65,27 @@ def _chirp(i: Column, n: Column) -> tuple[Column, Column]:
     return _turn(-square.cast("double") / (2 * n))
 
 
-def transform(values: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
-    """(keys, k, re, im) for k from 0 to n - 1 of complex values (keys, idx from 0, re, im)."""
-    n = F.col("n")
+def transform(values: DataFrame, keys: list[str], most: int = MOST, small: int = SMALL) -> DataFrame:
+    """(keys, n, k, re, im) for k from 0 to n - 1 of complex values (keys, idx from 0, re, im), which are staged.
+
+    Series of up to ``small`` values are one row each.
+    """
+    staging, n = Staging(values.sparkSession), F.col("n")
+    values = staging.put(values.select(*keys, "idx", "re", "im"))
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("n1", F.array_max(F.filter(F.sequence(F.lit(1), F.floor(F.sqrt("n"))), lambda d: n % d == 0)).cast("long")).withColumn("n2", F.expr("n div n1"))
-    plain = _two_steps(values, keys, sizes.where(F.col("n2") <= most))
-    # a convolution with the chirp, in a power of two of at least 2 n values
-    wide = F.pow(F.lit(2.0), F.ceil(F.log2((2 * n).cast("double")))).cast("long")
-    hard = sizes.where(F.col("n2") > most).select(*keys, "n", wide.alias("m"))
+    sizes = staging.put(sizes)
+    short, wide, hard = sizes.where(n <= small), sizes.where((n > small) & (F.col("n2") <= most)), sizes.where((n > small) & (F.col("n2") > most))
+    out = _lines(values.join(short.select(*keys, "n"), keys), [*keys, "n"], "idx", "k").select(*keys, "n", "k", "re", "im")
+    if not wide.isEmpty():
+        out = out.unionByName(_two_steps(values, keys, wide))
+    return out if hard.isEmpty() else out.unionByName(_by_chirp(values, keys, hard.select(*keys, "n")))
+
+
+def _by_chirp(values: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """As ``transform``, by a convolution with the chirp in a power of two of at least 2 n values."""
+    n = F.col("n")
+    hard = sizes.withColumn("m", F.pow(F.lit(2.0), F.ceil(F.log2((2 * n).cast("double")))).cast("long"))
     root = F.expr("shiftleft(1L, CAST((length(bin(m)) - 1) div 2 AS INT))")
     padded = hard.select(*keys, F.col("m").alias("n"), root.alias("n1")).withColumn("n2", F.expr("n div n1"))
     own = values.join(hard, keys)
@@ -89,16 +102,15 @@ def transform(values: DataFrame, keys: list[str], most: int = MOST) -> DataFrame
     re, im = _times(F.col("re"), F.col("im"), (F.col("fre"), F.col("fim")))
     # the inverse is the transform of the conjugate, conjugated, over m
     turned = _two_steps(both.select(*keys, F.col("k").alias("idx"), re.alias("re"), (-im).alias("im")), keys, padded)
-    turned = turned.join(hard, keys).where(F.col("k") < n)
+    turned = turned.drop("n").join(hard, keys).where(F.col("k") < n)
     re, im = _times(F.col("re") / F.col("m"), -F.col("im") / F.col("m"), _chirp(F.col("k"), n))
-    return plain.unionByName(turned.select(*keys, "k", re.alias("re"), im.alias("im")))
+    return turned.select(*keys, "n", "k", re.alias("re"), im.alias("im"))
 
 
-def terms(points: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
+def terms(points: DataFrame, keys: list[str], most: int = MOST, small: int = SMALL) -> DataFrame:
     """The term table of all frequencies of points (keys, idx, value)."""
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("n"))
-    found = transform(points.select(*keys, "idx", F.col("value").alias("re"), F.lit(0.0).alias("im")), keys, most)
-    return found.join(sizes, keys).where(F.col("k") <= F.expr("n div 2")).select(*keys, "n", "k", "re", "im")
+    found = transform(points.select(*keys, "idx", F.col("value").alias("re"), F.lit(0.0).alias("im")), keys, most, small)
+    return found.where(F.col("k") <= F.expr("n div 2"))
 
 
 def strongest(table: DataFrame, keys: list[str], count: int) -> DataFrame:

@@ -20,11 +20,11 @@ def points(spark, data):
     return spark.createDataFrame([(k, i, float(v)) for k, vs in data.items() for i, v in enumerate(vs)], "id string, idx long, value double").repartition(4).cache()
 
 
-@pytest.mark.parametrize("most", [5, 1 << 20])
-def test_transform_is_numpy(spark, data, points, most):
+@pytest.mark.parametrize("most,small", [(5, 0), (1 << 20, 0), (12, 50), (1 << 20, 4096)])
+def test_transform_is_numpy(spark, data, points, most, small):
     rows = points.select("id", "idx", F.col("value").alias("re"), (F.col("value") / 3 + F.col("idx") % 3).alias("im"))
     got = {}
-    for x in fourier.transform(rows, ["id"], most).collect():
+    for x in fourier.transform(rows, ["id"], most, small).collect():
         got.setdefault(x.id, {})[x.k] = complex(x.re, x.im)
     for k, v in data.items():
         want = np.fft.fft(v + 1j * (v / 3 + np.arange(len(v)) % 3))
@@ -32,7 +32,7 @@ def test_transform_is_numpy(spark, data, points, most):
 
 
 def test_all_terms_give_the_points(data, points):
-    got = {(x.id, x.idx): x.value for x in fourier.values(fourier.terms(points, ["id"], 5), ["id"]).collect()}
+    got = {(x.id, x.idx): x.value for x in fourier.values(fourier.terms(points, ["id"], 5, 2), ["id"]).collect()}
     assert len(got) == sum(map(len, data.values())) and all(abs(got[k, i] - v) < 1e-8 for k, vs in data.items() for i, v in enumerate(vs))
 
 
