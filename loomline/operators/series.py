@@ -37,6 +37,11 @@ def to_points(df: DataFrame, keys: list[str], order: list[str], value: str = "va
     return df.select(*keys, idx.cast("long").alias("idx"), v.alias("value"))
 
 
+def present(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``; a null in a key raises, for plans that join on keys."""
+    return df.withColumns({k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key {k}")).cast(df.schema[k].dataType)).otherwise(F.col(k)) for k in keys})
+
+
 def pack(points: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
     """keys (and chunk), values: each series, or piece of one, as an array in order."""
     by = list(keys)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.series import _mapped
+from ..operators.series import _mapped, present
 from ..sources.staging import Staging
 
 #: Values of a row that one task may hold, and those of a series that is a row as it is.
@@ -68,10 +68,10 @@ def _chirp(i: Column, n: Column) -> tuple[Column, Column]:
 def transform(values: DataFrame, keys: list[str], most: int = MOST, small: int = SMALL) -> DataFrame:
     """(keys, n, k, re, im) for k from 0 to n - 1 of complex values (keys, idx from 0, re, im), which are staged.
 
-    Series of up to ``small`` values are one row each.
+    Series of up to ``small`` values are one row each. A null in a key raises.
     """
     staging, n = Staging(values.sparkSession), F.col("n")
-    values = staging.put(values.select(*keys, "idx", "re", "im"))
+    values = staging.put(present(values.select(*keys, "idx", "re", "im"), keys))
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("n1", F.array_max(F.filter(F.sequence(F.lit(1), F.floor(F.sqrt("n"))), lambda d: n % d == 0)).cast("long")).withColumn("n2", F.expr("n div n1"))
     sizes = staging.put(sizes)

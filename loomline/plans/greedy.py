@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..kernels.segments import no_nan
 from ..methods import bound32
-from ..operators.series import _mapped
+from ..operators.series import _mapped, present
 from ..sources.staging import Staging
 
 #: Points of a block.
@@ -38,12 +38,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], value: str = "val
     """keys, idx, value as ``to_points`` gives them, without a window over a series.
 
     Rows are sorted by range; a part's rows of a key are numbered after those of the parts before.
-    Nulls in value raise; rows must differ in keys and order.
+    Nulls in keys or value raise; rows must differ in keys and order.
     """
     v = F.col(value).cast("double")
     v = F.when(v.isNull(), F.raise_error(F.lit("a series holds a null value")).cast("double")).otherwise(v)
     by = [*keys, *(c for c in order if c not in keys)]
-    rows = df.select(*by, v.alias("__v")).repartitionByRange(*by).sortWithinPartitions(*by).select(*keys, F.col("__v").alias("value"), F.monotonically_increasing_id().alias("at"))
+    rows = present(df, keys).select(*by, v.alias("__v")).repartitionByRange(*by).sortWithinPartitions(*by).select(*keys, F.col("__v").alias("value"), F.monotonically_increasing_id().alias("at"))
     rows = (staging or Staging(df.sparkSession)).put(rows)
     part = F.shiftright("at", 33).alias("part")
     cells = rows.groupBy(*keys, part).agg(F.min("at").alias("low"), F.count("*").alias("rows"))
@@ -111,7 +111,7 @@ def midrange_segments(points: DataFrame, keys: list[str], bound: float, block: i
     """
     limit = float(np.float32(2) * np.float32(bound32(bound)))
     own = staging or Staging(points.sparkSession)
-    packed = points.groupBy(*keys, F.expr(f"idx div {block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("p"))
+    packed = present(points, keys).groupBy(*keys, F.expr(f"idx div {block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("p"))
     blocks = own.put(packed.select(*keys, "block", F.col("p.value").alias("values")))
     shapes = own.put(_shapes(blocks, keys, limit, block))
     edges = own.put(_ends(shapes, keys, limit, own))

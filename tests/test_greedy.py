@@ -43,6 +43,12 @@ def test_one_key_is_many_tasks(spark):
     assert greedy.midrange_segments(points.limit(0), ["id"], 0.2, 64).count() == 0
 
 
+def test_null_keys_raise(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 1, 2.0)], "id string, t int, value double")
+    with pytest.raises(Exception, match="null in key id"):
+        greedy.numbered(df, ["id"], ["t"]).collect()
+
+
 def test_next_starts():
     r = np.random.default_rng(1)
     for n in (1, 2, 3, 8, 77):
