@@ -399,12 +399,25 @@ def region_sets(docs: DataFrame, bits: bytes, words: int) -> DataFrame:
     return docs.select("doc_id", "text", _id_slot(F.col("doc_id")).alias("slot")).mapInArrow(run, _SET)
 
 
-def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``sets`` whose id may be in ``ids``: a bit map of FILTER_BITS bits, 2 MB, is broadcast."""
-    slot = _id_slot(F.col("doc_id"))
+def _marked(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``rows`` with __hit: whether their ``col`` may be in ``ids``; a bit map of FILTER_BITS bits, 2 MB, is broadcast."""
+    slot = _id_slot(F.col(col))
     maps = ids.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("__block")).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("__bits"))
-    rows = sets.withColumn("__s", slot).withColumn("__block", F.expr("__s div 32768")).join(F.broadcast(maps), "__block")
-    return rows.where("(conv(hex(substring(__bits, cast((__s % 32768) div 8 as int) + 1, 1)), 16, 10) >> cast(__s % 8 as int)) & 1 = 1").select(*sets.columns)
+    rows = rows.withColumn("__s", slot).withColumn("__block", F.expr("__s div 32768")).join(F.broadcast(maps), "__block", "left")
+    bit = F.expr("(conv(hex(substring(__bits, cast((__s % 32768) div 8 as int) + 1, 1)), 16, 10) >> cast(__s % 8 as int)) & 1 = 1")
+    return rows.withColumn("__hit", F.coalesce(bit, F.lit(False)))
+
+
+def only(rows: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """Rows whose ``col`` may be in ``ids``."""
+    return _marked(rows, ids, col).where("__hit").select(*rows.columns)
+
+
+def less(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids ``gone``; only rows that the bit map cannot tell from those are shuffled. Rows without an id stay."""
+    marked = _marked(docs, gone, "doc_id")
+    unsure = marked.where("__hit").select(*docs.columns).join(gone.hint("merge"), "doc_id", "left_anti")
+    return marked.where("NOT __hit").select(*docs.columns).unionByName(unsure.select(*docs.columns))
 
 
 def may_link(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -661,7 +674,7 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
         if big.isEmpty():
             common.release(size)
             break
-        large = rows.join(big.hint("merge"), "region").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).cast("int"))
+        large = only(rows, big, "region").join(big.hint("merge"), "region").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("parts")).cast("int"))
         large = common.stage(large, "large")
         if level == LEVELS:
             found.append(common.stage(join_blocks(large.drop("parts"), big, percent), "links"))

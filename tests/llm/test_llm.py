@@ -513,6 +513,14 @@ def test_lines_cut_between_gaps(spark):
     assert [r.kept for r in df.collect()] == ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in texts]
 
 
+def test_rows_less_ids(spark):
+    df = spark.createDataFrame([(i if i % 9 else None, f"t{i}") for i in range(300)], "doc_id long, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 300, 4)], "doc_id long")
+    got = sorted(r.text for r in jaccard_join.less(df, gone).collect())
+    assert got == sorted(f"t{i}" for i in range(300) if i % 9 == 0 or i % 4)
+    assert jaccard_join.less(df, gone.limit(0)).count() == 300 and jaccard_join.less(df.limit(0), gone).count() == 0
+
+
 def test_leaks_in_repetitive_texts():
     import tracemalloc
 
