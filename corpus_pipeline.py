@@ -3,6 +3,11 @@
 quality classifier -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> BPE.
 Each stage works on all that the one before has kept. All but the last return the columns of
 ``documents``; the last returns the token ids' digests for each document that is left.
+
+Defined results: a null text is scored and cut into lines as the empty one, becomes empty in line dedup, is near nothing and
+has no tokens; documents of one id count as one where lines are counted, and go or stay together where a stage decides by id;
+rows without an id are kept by the stages that decide by id; ties go to the smallest id; an empty table gives
+an empty table; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, common, decontaminate, jaccard_join, line_dedup, quality
 
-#: Quality, near-duplicate components, edits and token ids are not expressible in SQL; tests use brute force.
+#: Quality, edits and token ids are not expressible in SQL; tests/llm/test_pipeline_stages.py checks the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -31,9 +36,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group: 5-word shingles, similarity 0.8 or more."""
-    groups = jaccard_join.near_duplicates(docs, words=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    groups = jaccard_join.near_duplicates(docs.where("doc_id IS NOT NULL"), words=5, percent=80)
+    return jaccard_join.less(docs, groups.where("doc_id <> component_id").select("doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
