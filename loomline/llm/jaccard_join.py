@@ -47,6 +47,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Documents and shingles that one task joins at most, pivots of a large region, levels of splitting, and copies of a region's documents that are too many for one.
 REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS, SPREAD = 256, 600_000, 16, 4, 1.5
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Rounds of pivots and rings before regions are joined; documents compared with a pivot by one task.
 ROUNDS, PIVOT_DOCS = 1, 256
 #: Bits of the filter of routed ids; common shingles wanted at most; least count of one.
@@ -707,6 +709,11 @@ def link_edges(rows: DataFrame, percent: int, max_docs: int, max_shingles: int)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, max_docs: int = REGION_DOCS, max_shingles: int = REGION_SHINGLES, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id it is connected with)."""
+    with common.batches_of(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text_col, words, percent, max_docs, max_shingles, rounds)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, max_docs: int, max_shingles: int, rounds: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # LEVEL_BITS / 8 bytes
     sketch = common.stage(docs.mapInArrow(_sketch(words, percent, often), _DOC), "sketch")
