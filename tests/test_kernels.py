@@ -189,3 +189,20 @@ def test_stabber():
     assert all(s.add(x, 2 * x - 0.5, 2 * x + 0.5) for x in range(10)) and not s.add(10, 30, 31)
     a, b = s.line()
     assert all(2 * x - 0.5 <= a * x + b <= 2 * x + 0.5 for x in range(10))
+
+
+def test_mean_ties_are_cut_as_in_sql():
+    # the mean of six values, 7.89, less the least of them, 2.89, is the bound
+    x = [10.57, 7.83, 2.89, 8.54, 8.63, 8.88, 0.91, 0.12]
+    ends, start, lo, hi, total = [], 0, x[0], x[0], x[0]
+    for i, v in enumerate(x[1:], 1):
+        m = (total + v) / (i - start + 1)
+        if max(hi, v) - m > 5.0 or m - min(lo, v) > 5.0:
+            ends.append(i)
+            start, lo, hi, total = i, v, v, v
+        else:
+            lo, hi, total = min(lo, v), max(hi, v), total + v
+    values, got = segments.mean(np.array(x), 5.0)
+    assert got == [*ends, len(x)]
+    assert values[0] == pytest.approx(sum(x[: got[0]]) / got[0], abs=1e-12)
+    assert segments.mean(np.array([0.1] * 3 + [82.61 - 0.3] + [0.0] * 4), 80.0)[0] == [82.61 / 8]
