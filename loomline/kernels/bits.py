@@ -43,12 +43,15 @@ class BitReader:
         return int.from_bytes(self.data[first:stop], "big") >> (-self.at % 8) & ((1 << bits) - 1)
 
 
-def bits_of(v: float) -> int:
-    return struct.unpack("<Q", struct.pack("<d", v))[0]
+_DOUBLE, _WORD = struct.Struct("<d"), struct.Struct("<Q")
 
 
-def float_of(b: int) -> float:
-    return struct.unpack("<d", struct.pack("<Q", b))[0]
+def bits_of(v: float, pack=_DOUBLE.pack, unpack=_WORD.unpack) -> int:
+    return unpack(pack(v))[0]
+
+
+def float_of(b: int, pack=_WORD.pack, unpack=_DOUBLE.unpack) -> float:
+    return unpack(pack(b))[0]
 
 
 def ordered(b: int) -> int:

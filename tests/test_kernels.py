@@ -1,15 +1,16 @@
 """Kernels: round trips, bounds, golden vectors, structure checks."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomline.kernels import codec, segments
+from loomline.kernels import codec, lossless, segments
 from loomline.kernels.bits import BitReader, BitWriter, get_gamma, put_gamma, unzigzag, zigzag
-from loomline.kernels.geometry import Stabber, extend_hull, strip_line
+from loomline.kernels.geometry import Stabber, extend_hull, longest_line, strip_line
 from loomline.methods import FIELDS, Method, SeriesError, bound32, parse_config
 
 M = Method
@@ -206,3 +207,35 @@ def test_mean_ties_are_cut_as_in_sql():
     assert got == [*ends, len(x)]
     assert values[0] == pytest.approx(sum(x[: got[0]]) / got[0], abs=1e-12)
     assert segments.mean(np.array([0.1] * 3 + [82.61 - 0.3] + [0.0] * 4), 80.0)[0] == [82.61 / 8]
+
+
+@pytest.mark.parametrize("name", ["walk", "ties"])
+def test_longest_line_is_the_stabber(name):
+    r = np.random.default_rng(8)
+    v = (np.cumsum(r.normal(0, 1, 200)) if name == "walk" else np.round(np.cumsum(r.integers(-1, 2, 200)) / 2, 1)).tolist()
+    spans, xs, s = [(y - 1.0, y + 1.0) for y in v] + [None, (0.0, 1.0)], range(300), 0
+    while s < len(v):
+        fit, i = Stabber(), s
+        while spans[i] is not None and fit.add(i - s, *spans[i]):
+            i += 1
+        assert longest_line(xs, spans, s) == (i, *fit.line())
+        s = i
+    assert longest_line(xs, spans, 200) == (200, 0.0, 0.0) and longest_line(xs, spans, 201) == (202, 0.0, 0.5)
+
+
+def test_narrowest_strip_looks_at_all_sides():
+    r = np.random.default_rng(9)
+    for n in (2, 3, 9, 60):
+        upper, lower = [], []
+        for p in enumerate(np.round(r.normal(0, 3, n), 1).tolist()):
+            extend_hull(upper, p, True)
+            extend_hull(lower, p, False)
+        sides = [(max(s * (a[1] + (b[1] - a[1]) / (b[0] - a[0]) * (x - a[0]) - y) for x, y in far)) for near, far, s in ((upper, lower, 1), (lower, upper, -1)) for a, b in zip(near, near[1:])]
+        assert strip_line(upper, lower)[2] == min(sides) / 2
+
+
+@pytest.mark.parametrize("v", [1.0, 10.0, 120.0, 0.1, 0.001, 123.456, 0.30000000000000004, 1e15, 1e16, 1.5e-7, 999999.0, 5e-324, 9.999999999999999])
+def test_decimal_digits(v):
+    _, digits, exponent = Decimal(repr(v)).normalize().as_tuple()
+    assert lossless._decimal(-v) == (len(digits), len(digits) + exponent - 1)
+    assert lossless._first(v) == Decimal(v).adjusted()
