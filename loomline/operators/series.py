@@ -22,6 +22,7 @@ from ..kernels import codec
 from ..methods import Method, SeriesError, method_of, parse_config
 
 CHUNK = "chunk"
+_PAYLOAD = [T.StructField("method", T.ByteType()), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType())]
 #: Absolute and relative tolerance of nearly_equal.
 ABS_TOLERANCE, REL_TOLERANCE = 1e-12, 1e-15
 
@@ -59,24 +60,34 @@ def unpack(packed: DataFrame, keys: list[str], chunk: int | None = None) -> Data
     return rows.select(*keys, idx.alias("idx"), "value")
 
 
-def _mapped(df: DataFrame, drop: list[str], fields: list[T.StructField], step: Callable[[dict], tuple]) -> DataFrame:
-    """``df`` without ``drop``, with ``fields`` that ``step`` makes from the dropped columns of a row."""
-    kept = [c for c in df.columns if c not in drop and c not in {f.name for f in fields}]
+def _mapped(df: DataFrame, reads: list[str], fields: list[T.StructField], step: Callable[[dict], tuple | list[tuple]], keep: list[str] = (), many: bool = False) -> DataFrame:
+    """``df`` with ``fields`` that ``step`` makes from the columns ``reads`` of a row, which go unless they are in ``keep``; ``many``: a list of rows for each.
+
+    On the result of another such step, unless that is cached, both run in one pass: a chain of verbs has one Python worker a task, and nothing goes back to the JVM between them.
+    """
+    kept = [c for c in df.columns if (c not in reads or c in keep) and c not in {f.name for f in fields}]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
+    source, before = (df, None) if df.is_cached else getattr(df, "_mapped_from", (df, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
-        for b in batches:
+        for b in batches if before is None else before(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols = {c: part.column(i) for i, c in enumerate(part.schema.names)}
-                rows = [step({c: cols[c][i] for c in drop}) for i in range(part.num_rows)]
+                rows = [step({c: cols[c][i] for c in reads}) for i in range(part.num_rows)]
+                beside = [cols[c] for c in kept]
+                if many:
+                    at_row = pa.array([i for i, own in enumerate(rows) for _ in own], pa.int32())
+                    beside, rows = [c.take(at_row) for c in beside], [r for own in rows for r in own]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([cols[c] for c in kept] + made, names=schema.names)
+                yield pa.RecordBatch.from_arrays(beside + made, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    out._mapped_from = source, run
+    return out
 
 
 def _numbers(x: pa.ListScalar) -> np.ndarray:
@@ -98,18 +109,18 @@ def compress(packed: DataFrame, method: Method | int | str, config: dict | str |
     method = method_of(method)
     parse_config(method, config)
 
+    code = (0,) if permissive else ()
+
     def step(r: dict) -> tuple:
         x = _numbers(r["values"])
         try:
-            return int(method), len(x), codec.compress(x, method, config), 0
+            return int(method), len(x), codec.compress(x, method, config), *code
         except SeriesError as e:
             if not permissive:
                 raise
             return int(method), len(x), None, e.code
 
-    fields = [T.StructField("method", T.ByteType()), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("error_code", T.IntegerType())]
-    out = _mapped(packed, ["values"], fields, step)
-    return out if permissive else out.drop("error_code")
+    return _mapped(packed, ["values"], [*_PAYLOAD, *[T.StructField("error_code", T.IntegerType())] * permissive], step)
 
 
 def compress_each(packed: DataFrame, configs: dict[Method, dict]) -> DataFrame:
@@ -117,16 +128,14 @@ def compress_each(packed: DataFrame, configs: dict[Method, dict]) -> DataFrame:
     for method, config in configs.items():
         parse_config(method, config)
 
-    def step(r: dict) -> tuple:
+    def step(r: dict) -> list[tuple]:
         x = _numbers(r["values"])
-        return ([{"method": int(m), "n": len(x), "payload": codec.compress(x, m, c)} for m, c in configs.items()],)
+        return [(int(m), len(x), codec.compress(x, m, c)) for m, c in configs.items()]
 
-    one = T.StructType([T.StructField("method", T.ByteType()), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType())])
-    kept = [c for c in packed.columns if c not in ("values", *one.names)]
-    return _mapped(packed.select(*kept, "values"), ["values"], [T.StructField("__each", T.ArrayType(one))], step).select(*kept, F.inline("__each"))
+    return _mapped(packed, ["values"], _PAYLOAD, step, many=True)
 
 
-def _guarded(df: DataFrame, drop: list[str], fields: list[T.StructField], step, permissive: bool) -> DataFrame:
+def _guarded(df: DataFrame, reads: list[str], fields: list[T.StructField], step, permissive: bool, keep: list[str] = ()) -> DataFrame:
     """Rows mapped by ``step``; permissive: a refused row gets nulls and its error_code, others the code 0.
 
     A row that has an error_code already, as of a series refused before, keeps it.
@@ -142,28 +151,33 @@ def _guarded(df: DataFrame, drop: list[str], fields: list[T.StructField], step,
             return (*[None] * len(fields), e.code)
 
     if not permissive:
-        return _mapped(df, drop, fields, step)
-    return _mapped(df, [*drop, *[code] * known], [*fields, T.StructField(code, T.IntegerType())], guarded)
+        return _mapped(df, reads, fields, step, keep)
+    return _mapped(df, [*reads, *[code] * known], [*fields, T.StructField(code, T.IntegerType())], guarded, keep)
 
 
-def decompress(compressed: DataFrame, permissive: bool = False) -> DataFrame:
-    """(…, payload) to (…, values); a null payload, as of a refused series, has null values."""
-    return _guarded(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py()) if r["payload"].is_valid else None,), permissive)
+def decompress(compressed: DataFrame, permissive: bool = False, keep: bool = False) -> DataFrame:
+    """(…, payload) to (…, values), with the payload beside them if ``keep``; a null payload, as of a refused series, has null values."""
+    return _guarded(compressed, ["payload"], [T.StructField("values", T.ArrayType(T.DoubleType()))], lambda r: (codec.decompress(r["payload"].as_py()) if r["payload"].is_valid else None,), permissive, ["payload"] * keep)
 
 
-def extract(compressed: DataFrame, permissive: bool = False) -> DataFrame:
-    """(…, payload) to (…, indices, coefficients).
+def extract(compressed: DataFrame, permissive: bool = False, keep: bool = False) -> DataFrame:
+    """(…, payload) to (…, indices, coefficients), with the payload beside them if ``keep``.
 
     A series of one point is stored raw and has neither: it is refused, or null if permissive.
     """
     fields = [T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("coefficients", T.ArrayType(T.DoubleType()))]
-    return _guarded(compressed, ["payload"], fields, lambda r: codec.extract(r["payload"].as_py() or b""), permissive)
+    return _guarded(compressed, ["payload"], fields, lambda r: codec.extract(r["payload"].as_py() or b""), permissive, ["payload"] * keep)
 
 
-def rebuild(extracted: DataFrame, method: Method | int | str, permissive: bool = False) -> DataFrame:
-    """(…, indices, coefficients) to (…, payload)."""
-    method = method_of(method)
-    return _guarded(extracted, ["indices", "coefficients"], [T.StructField("payload", T.BinaryType())], lambda r: (codec.rebuild(r["indices"].as_py() or [], r["coefficients"].as_py() or [], method),), permissive)
+def rebuild(extracted: DataFrame, method: Method | int | str | None = None, permissive: bool = False, into: str = "payload") -> DataFrame:
+    """(…, indices, coefficients) to (…, payload), under the name ``into``; without a method, each row's own one from its column."""
+    fixed = None if method is None else method_of(method)
+
+    def step(r: dict) -> tuple:
+        return (codec.rebuild(r["indices"].as_py() or [], r["coefficients"].as_py() or [], r["method"].as_py() if fixed is None else fixed),)
+
+    own = ["method"] if fixed is None else []
+    return _guarded(extracted, ["indices", "coefficients", *own], [T.StructField(into, T.BinaryType())], step, permissive, own)
 
 
 def evaluate(points: DataFrame, decoded: DataFrame, keys: list[str], bound: float | None = None) -> DataFrame:

@@ -66,8 +66,7 @@ BOUNDED_SQL = "SELECT user_id, count(*) AS n, count(*) AS n_decoded, TRUE AS wit
 
 def sized(spark: SparkSession, sf_dir: str, method: Method, most: int | None) -> DataFrame:
     """Per series: lengths, and whether the model is no larger than asked for."""
-    packed = payloads(spark, sf_dir, method).withColumn("p", F.col("payload"))
-    both = series.decompress(series.extract(packed.withColumnRenamed("p", "copy")).withColumnRenamed("copy", "payload"))
+    both = series.decompress(series.extract(payloads(spark, sf_dir, method), keep=True))
     small = F.size("indices") <= (F.lit(most) if most is not None else F.col("n"))
     return both.select("user_id", "n", F.size("values").cast("long").alias("n_decoded"), small.alias("within_size"))
 

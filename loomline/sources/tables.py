@@ -42,16 +42,15 @@ def zoned(packed: DataFrame, keys: list[str], method: Method | int | str, config
     A row with a NaN has it as its most, which is above every number.
     """
     method = method_of(method)
-    rows = series.compress(packed, method, config).withColumn("copy", F.col("payload"))
+    rows = series.compress(packed, method, config)
     if method in native._SEGMENTED:
-        rows = rows.withColumn("kept", F.col("payload"))
-        rows = series.extract(rows.drop("payload").withColumnRenamed("copy", "payload"), permissive=True)
+        rows = series.extract(rows, permissive=True, keep=True).withColumnRenamed("payload", "kept")
         # a single value is stored raw and has no model
         rows = series.decompress(rows.withColumn("payload", F.when(F.col("error_code") != 0, F.col("kept"))))
         seen = F.coalesce(F.when(F.size("coefficients") > 0, F.col("coefficients")), F.col("values"))
         rows = rows.withColumn("seen", seen).drop("indices", "coefficients", "error_code", "values").withColumnRenamed("kept", "payload")
     else:
-        rows = series.decompress(rows.withColumnRenamed("payload", "kept").withColumnRenamed("copy", "payload")).withColumnRenamed("kept", "payload").withColumnRenamed("values", "seen")
+        rows = series.decompress(rows, keep=True).withColumnRenamed("values", "seen")
     return rows.select(*[c for c in packed.columns if c != "values"], "method", "n", "payload", F.array_min("seen").alias("least"), F.array_max("seen").alias("most"))
 
 

@@ -148,3 +148,33 @@ def test_compress_each(spark):
         for r in series.compress(packed, m, c).collect():
             assert got[r.id, int(m)] == (r.n, r.payload)
     assert series.compress_each(packed.limit(0), configs).count() == 0
+
+
+def passes(df):
+    return sum("MapInArrow" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_chains_of_verbs_run_in_one_pass(points):
+    from loomline import queries
+
+    packed = series.pack(series.to_points(points, ["id"], ["t"]), ["id"])
+    small = series.compress(packed, M.SwingFilter, {"abs_error_bound": 0.5})
+    chain = series.decompress(series.extract(small, keep=True), keep=True)
+    assert passes(chain) == 1 and set(chain.columns) == {"id", "method", "n", "payload", "indices", "coefficients", "values"}
+    alone = {r.id: r["values"] for r in series.decompress(small.select("id", "payload")).collect()}
+    assert {r.id: r["values"] for r in chain.collect()} == alone
+    kept = small.persist()
+    assert sorted(r.id for r in series.decompress(kept).collect()) == ["a", "b", "c"]
+    kept.unpersist()
+    each = series.compress_each(packed, {m: queries.config(m) for m in queries.MODELS})
+    back = series.rebuild(series.extract(each, keep=True), into="rebuilt")
+    assert passes(back) == 1
+    rows = back.collect()
+    assert len(rows) == 3 * len(queries.MODELS) and all(r.rebuilt == r.payload and r.payload[-1] == r.method for r in rows)
+
+
+def test_queries_of_chains_run_in_one_pass(spark):
+    from loomline import queries
+
+    for f in (lambda s, d: queries.sized(s, d, M.DiscreteFourierTransform, 10), lambda s, d: queries.bounded(s, d, M.SlideFilter)):
+        assert passes(f(spark, "/root/testdata/sf0.001")) == 1
