@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +75,11 @@ SIZED_SQL = "SELECT user_id, count(*) AS n, count(*) AS n_decoded, TRUE AS withi
 
 
 def extract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether extract and rebuild give back the same payload, for each method that has them."""
-    packed = series.pack(points(spark, sf_dir), KEY)
-
-    def one(m: Method) -> DataFrame:
-        out = series.compress(packed, m, config(m)).withColumn("copy", F.col("payload"))
-        out = series.rebuild(series.extract(out), m)
-        return out.select("user_id", F.lit(m.name).alias("method"), (F.col("payload") == F.col("copy")).alias("same"))
-
-    return reduce(DataFrame.unionByName, map(one, MODELS))
+    """Whether extract and rebuild give back the same payload, for each method that has them; the series are packed once for all."""
+    rows = series.compress_each(series.pack(points(spark, sf_dir), KEY), {m: config(m) for m in MODELS})
+    out = series.rebuild(series.extract(rows, keep=True), into="rebuilt")
+    name = F.create_map(*(F.lit(x) for m in MODELS for x in (int(m), m.name)))[F.col("method").cast("int")]
+    return out.select("user_id", name.alias("method"), (F.col("rebuilt") == F.col("payload")).alias("same"))
 
 
 EXTRACT_REBUILD_SQL = "SELECT user_id, method, TRUE AS same FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([%s]) AS method)" % ", ".join(f"'{m.name}'" for m in MODELS)

@@ -176,5 +176,5 @@ def test_chains_of_verbs_run_in_one_pass(points):
 def test_queries_of_chains_run_in_one_pass(spark):
     from loomline import queries
 
-    for f in (lambda s, d: queries.sized(s, d, M.DiscreteFourierTransform, 10), lambda s, d: queries.bounded(s, d, M.SlideFilter)):
+    for f in (queries.extract_rebuild, lambda s, d: queries.sized(s, d, M.DiscreteFourierTransform, 10), lambda s, d: queries.bounded(s, d, M.SlideFilter)):
         assert passes(f(spark, "/root/testdata/sf0.001")) == 1
