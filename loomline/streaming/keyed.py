@@ -1,8 +1,8 @@
 """One-pass segments over a stream of many keys: one open segment a key in the state, timers that close it.
 
 A key's state is one row: where its open segment began, how many steps it has, the last point's place in
-order and a few numbers of the method. A point closes the open segment if it does not fit; a timer closes it, and
-forgets the key, once the watermark is ``idle`` past the key's last point, and a point that comes later than
+order and a few numbers of the method. A point closes the open segment if it does not fit; a timer (a key has one, which is set again if
+points have come since) closes it, and forgets the key, once the watermark is ``idle`` past the key's last point, and a point that comes later than
 that begins the key anew as well, so the result does not depend on how points fall into micro-batches. Points of a micro-batch are sorted;
 a point that comes before the last one of its key, or that the method cannot take (null, not finite), is
 refused and counted with the segment that is open then.
@@ -13,8 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -100,14 +99,13 @@ class Segments(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("open", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step, out = self.step, []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        step, out, row = self.step, [], Row(*self.names)
         held = self.state.get()
         start, steps, nxt, last_ts, last_tie, refused, *x = held if held else (0, -1, 0, None, 0, 0, *[0.0] * _NUMBERS)
-        old = last_ts
-        points = pd.concat(list(rows)).sort_values(["ts", "tie"])
-        for ts, tie, v in zip(points["ts"].astype("int64"), points["tie"], points[self.value].astype(float)):
-            if not math.isfinite(v) or (last_ts is not None and (ts, tie) <= (last_ts, last_tie)):
+        points = sorted(((r["ts"], r["tie"], r[self.value]) for r in rows), key=lambda p: (p[0], p[1] is None, p[1] or 0))
+        for ts, tie, v in points:
+            if v is None or tie is None or not math.isfinite(v := float(v)) or (last_ts is not None and (ts, tie) <= (last_ts, last_tie)):
                 refused += 1
                 continue
             if last_ts is not None and ts - last_ts > self.idle * 1000:
@@ -129,18 +127,19 @@ class Segments(StatefulProcessor):
             nxt, last_ts, last_tie = nxt + 1, ts, tie
         if last_ts is not None:
             self.state.update((start, steps, nxt, last_ts, last_tie, refused, *x, *[0.0] * (_NUMBERS - len(x))))
-            if last_ts != old:
+            if not held:
                 self.handle.registerTimer(last_ts // 1000 + self.idle)
-        yield pd.DataFrame(out, columns=self.names)
+        return (row(*x) for x in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        out = []
-        if held and held[3] // 1000 + self.idle <= expiredTimerInfo.getExpiryTimeInMs():  # else a later point has set its own timer
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, out = self.state.get(), []
+        if held and (due := held[3] // 1000 + self.idle) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        elif held:
             start, steps, _, _, _, refused, *x = held
-            out.append((*key, start, start + steps + 1, *self.step.ends(x, steps), refused))
+            out.append(Row(*self.names)(*key, start, start + steps + 1, *self.step.ends(x, steps), refused))
             self.state.clear()
-        yield pd.DataFrame(out, columns=self.names)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -159,7 +158,7 @@ def stream_segments(stream: DataFrame, keys: list[str], ts: str, tie: str, value
     # microseconds as a number: order is exact, whatever pandas makes of timestamps
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     rows = rows.select(*keys, F.col(ts).alias("event_time"), F.unix_micros(F.col(ts)).alias("ts"), F.col(tie).alias("tie"), value)
-    return rows.groupBy(*keys).transformWithStateInPandas(Segments(step, chained, value, idle_ms, schema.names), schema, "append", "eventTime")
+    return rows.groupBy(*keys).transformWithState(Segments(step, chained, value, idle_ms, schema.names), schema, "append", "eventTime")
 
 
 def replay(spark: SparkSession, table: DataFrame, ts: str, parts: int, path: str, after_days: int = 1) -> DataFrame:

@@ -59,3 +59,48 @@ def test_timers_and_refused_points(spark, tmp_path):
 def test_other_methods_are_refused(spark):
     with pytest.raises(SeriesError):
         keyed.stream_segments(spark.range(1), ["id"], "id", "id", "id", M.Chimp64)
+
+
+class Handle:
+    """State and timers of one key in memory, and how often each was called."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.held
+
+    def update(self, x):
+        self.held = x
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Now:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_key_has_one_timer():
+    from pyspark.sql import Row
+
+    for method, c1 in ((M.RunLengthEncoding, 7.0), (M.SwingFilterDisconnected, 7.0)):
+        p, h = keyed.Segments(*keyed._step(method, 1.0), "value", 1000, ["id", "start_idx", "end_idx", "c0", "c1", "refused"]), Handle()
+        p.init(h)
+        for batch in range(3):  # the rows of a batch in any order
+            rows = [Row(ts=(batch * 10 + i) * 100_000, tie=i, value=7.0) for i in (2, 0, 1)]
+            assert not list(p.handleInputRows(("a",), iter(rows), Now(0)))
+        assert h.timers == [1200]
+        # points have come since, so the timer is set again; then the watermark is past them
+        assert not list(p.handleExpiredTimer(("a",), Now(1300), None)) and h.timers == [1200, 3200]
+        assert [tuple(x) for x in p.handleExpiredTimer(("a",), Now(3200), None)] == [("a", 0, 9, 7.0, c1, 0)] and h.held is None
