@@ -116,12 +116,12 @@ def _xor_size(raw: DataFrame, keys: list[str], ring: bool) -> DataFrame:
     else:
         rows = rows.withColumn("x", x).withColumn("cut", (F.col("x") != 0) & (_zeros(F.col("x"))[1] > least))
     lead, trail = _zeros(F.col("x"))
-    rows = rows.where("idx > 0").withColumn("body", 64 - _step(lead)).withColumn("trail", trail)
+    rows = rows.withColumn("body", 64 - _step(lead)).withColumn("trail", trail)
+    # at index 0, which is stored in full, x is null or 0, so nothing is held after it
     held = F.lag(F.when((F.col("x") != 0) & ~F.col("cut"), F.col("body"))).over(order)
     rows = rows.withColumn("held", held)
     bits = F.when(F.col("x") == 0, 2 + slot).when(F.col("cut"), 11 + slot + F.col("body") - F.col("trail")).when(F.coalesce(F.col("held") == F.col("body"), F.lit(False)), 2 + F.col("body")).otherwise(5 + F.col("body"))
-    sums = rows.groupBy(*keys).agg((F.count("*") + 1).alias("n"), F.sum(bits).alias("bits"))
-    sums = raw.where("idx = 0").select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("n", F.lit(1)).alias("n"), "bits")
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("idx") > 0, bits)).alias("bits"))
     return _sized(sums, keys, M.Chimp128 if ring else M.Chimp64, _bytes(8, F.col("bits") + 11 + slot))
 
 
@@ -192,7 +192,11 @@ def _elf_size(raw: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lossless_sizes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, method, n, bytes) of each lossless method on each series of points (keys, idx, value)."""
+    """(keys, method, n, bytes) of each lossless method on each series of points (keys, idx, value).
+
+    Sizes are dealt by key and method, so each method is a stage of its own: Spark would put those of the same keys in one task, with the sorts of all methods in its memory.
+    """
     raw = points.withColumn("raw", double_bits(F.col("value")))
     plain = _sized(points.groupBy(*keys).agg(F.count("*").alias("n")), keys, M.Uncompressed, F.col("n") * 8 + 1)
-    return reduce(DataFrame.unionByName, [plain, _run_size(points, keys), _xor_size(raw, keys, False), _xor_size(raw, keys, True), _delta_size(points, keys), _elf_size(raw, keys)])
+    each = [plain, _run_size(points, keys), _xor_size(raw, keys, False), _xor_size(raw, keys, True), _delta_size(points, keys), _elf_size(raw, keys)]
+    return reduce(DataFrame.unionByName, [x.repartition(*keys, "method") for x in each])

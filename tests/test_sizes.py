@@ -33,3 +33,27 @@ def test_bits(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", sizes.double_bits(F.col("v")).alias("b"))
     for x in df.collect():
         assert x.b & (1 << 64) - 1 == bits_of(x.v), x.v
+
+
+def test_each_method_is_a_stage(spark, data):
+    """The rows of a task are those of one method: what is put together has been shuffled, so its sorts lie in other tasks."""
+    points = spark.createDataFrame([("a", 0, 1.5), ("a", 1, 2.5), ("b", 0, 1.5)], "id string, idx long, value double")
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sizes.lossless_sizes(points, ["id"])._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+    def below(p):
+        return [p.children().apply(i) for i in range(p.children().size())]
+
+    def find(p):
+        return [p] if p.nodeName() == "Union" else [u for c in below(p) for u in find(c)]
+
+    (union,) = find(plan)
+    assert len(below(union)) == 6
+    for child in below(union):
+        while child.nodeName().startswith(("WholeStageCodegen", "InputAdapter", "Project")):
+            (child,) = below(child)
+        assert child.nodeName() == "Exchange"
