@@ -6,6 +6,9 @@ points have come since) closes it, and forgets the key, once the watermark is ``
 that begins the key anew as well, so the result does not depend on how points fall into micro-batches. Points of a micro-batch are sorted;
 a point that comes before the last one of its key, or that the method cannot take (null, not finite), is
 refused and counted with the segment that is open then.
+
+Calls between JVM and Python are what a key costs, so keys of one hash are a bucket: their states are a list that is read and written at once,
+and one timer stands for those of all its keys.
 """
 
 from __future__ import annotations
@@ -145,20 +148,114 @@ class Segments(StatefulProcessor):
         pass
 
 
-def stream_segments(stream: DataFrame, keys: list[str], ts: str, tie: str, value: str, method: Method | int | str, bound: float = 0.0, late: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
+class _Key:
+    """State of one key of a bucket, as ``Segments`` calls it; its timer is the bucket's."""
+
+    def __init__(self, held: tuple | None):
+        self.held = held
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.held
+
+    def update(self, held):
+        self.held = held
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, at):
+        pass
+
+
+class Buckets(StatefulProcessor):
+    """``each`` for every key of a bucket. The bucket has a timer no later than the first that a key of it would have."""
+
+    def __init__(self, each: Segments, keys: list[str], types: list[T.DataType]):
+        self.each, self.keys = each, keys
+        self.schema = T.StructType([*(T.StructField(f"key{i}", t) for i, t in enumerate(types)), *_STATE])
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.states = handle.getListState("open", self.schema)
+
+    def _read(self) -> dict[str, tuple[tuple, tuple]]:
+        """Key and state of each open key, by the key as text: NaN equals itself, and lists can be looked up."""
+        k = len(self.keys)
+        return {repr(tuple(x[:k])): (tuple(x[:k]), tuple(x[k:])) for x in self.states.get()}
+
+    def _write(self, held: dict[str, tuple[tuple, tuple]]) -> None:
+        if held:
+            self.states.put([(*key, *state) for key, state in held.values()])
+        else:
+            self.states.clear()
+
+    def _first(self, held: dict[str, tuple[tuple, tuple]]) -> float:
+        """When the first of the keys is due."""
+        return min((state[3] // 1000 + self.each.idle for _, state in held.values()), default=math.inf)
+
+    def _of(self, key: tuple, name: str, held: dict[str, tuple[tuple, tuple]], call) -> list[Row]:
+        """What ``call`` gives for one key; its state in ``held`` is brought up to date."""
+        one = _Key(held[name][1] if name in held else None)
+        self.each.init(one)
+        out = list(call(key))
+        if one.held is not None:
+            held[name] = key, one.held
+        else:
+            held.pop(name, None)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        points: dict[str, tuple[tuple, list[Row]]] = {}
+        for r in rows:
+            own = tuple([r[c] for c in self.keys])
+            points.setdefault(repr(own), (own, []))[1].append(r)
+        held, out = self._read(), []
+        before = self._first(held)
+        for name, (own, some) in points.items():
+            out += self._of(own, name, held, lambda k, some=some: self.each.handleInputRows(k, iter(some), timerValues))
+        if held:
+            self._write(held)
+            if (first := self._first(held)) < before:
+                self.handle.registerTimer(first)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, out, now = self._read(), [], timerValues.getCurrentWatermarkInMs()
+        if not held:
+            return iter(out)
+        for name, (own, state) in list(held.items()):
+            if state[3] // 1000 + self.each.idle <= now:
+                out += self._of(own, name, held, lambda k: self.each.handleExpiredTimer(k, timerValues, expiredTimerInfo))
+        if out:
+            self._write(held)
+        if held:
+            self.handle.registerTimer(self._first(held))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_segments(stream: DataFrame, keys: list[str], ts: str, tie: str, value: str, method: Method | int | str, bound: float = 0.0, late: str = "1 minute", idle_ms: int = 60_000, buckets: int = 512) -> DataFrame:
     """(keys, start_idx, end_idx, c0, c1, refused) of each segment when it closes: a stream of segment tables.
 
     ``ts`` is a timestamp, ``tie`` orders points of one instant; points later than ``late`` behind the
     newest are dropped by the watermark. A key whose values are all refused has no state, so a row without key and value only moves the watermark.
-    A key whose timer has fired begins anew, at index 0.
+    A key whose timer has fired begins anew, at index 0. Keys fall into ``buckets``, of which a task holds one micro-batch's points and all
+    states at a time; the number stays the same as long as a checkpoint is in use.
     """
     step, chained = _step(method_of(method), bound)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = T.StructType([*(stream.schema[k] for k in keys), T.StructField("start_idx", T.LongType()), T.StructField("end_idx", T.LongType()), T.StructField("c0", T.DoubleType()), T.StructField("c1", T.DoubleType()), T.StructField("refused", T.LongType())])
     # microseconds as a number: order is exact, whatever pandas makes of timestamps
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    rows = rows.select(*keys, F.col(ts).alias("event_time"), F.unix_micros(F.col(ts)).alias("ts"), F.col(tie).alias("tie"), value)
-    return rows.groupBy(*keys).transformWithState(Segments(step, chained, value, idle_ms, schema.names), schema, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+    rows = rows.select(*keys, bucket, F.col(ts).alias("event_time"), F.unix_micros(F.col(ts)).alias("ts"), F.col(tie).alias("tie"), value)
+    each = Segments(step, chained, value, idle_ms, schema.names)
+    return rows.groupBy("bucket").transformWithState(Buckets(each, keys, [stream.schema[k].dataType for k in keys]), schema, "append", "eventTime")
 
 
 def replay(spark: SparkSession, table: DataFrame, ts: str, parts: int, path: str, after_days: int = 1) -> DataFrame:

@@ -104,3 +104,47 @@ def test_a_key_has_one_timer():
         # points have come since, so the timer is set again; then the watermark is past them
         assert not list(p.handleExpiredTimer(("a",), Now(1300), None)) and h.timers == [1200, 3200]
         assert [tuple(x) for x in p.handleExpiredTimer(("a",), Now(3200), None)] == [("a", 0, 9, 7.0, c1, 0)] and h.held is None
+
+
+class Listed(Handle):
+    """State of a bucket in memory."""
+
+    def getListState(self, name, schema):
+        self.held, self.fields = [], len(schema.fields)
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held)
+
+    def put(self, rows):
+        self.calls += 1
+        assert all(len(x) == self.fields for x in rows)
+        self.held = rows
+
+    def clear(self):
+        self.calls += 1
+        self.held = []
+
+
+def test_a_bucket_is_one_state():
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    each = keyed.Segments(*keyed._step(M.RunLengthEncoding, 0.0), "value", 10_000, ["id", "start_idx", "end_idx", "c0", "c1", "refused"])
+    p, h = keyed.Buckets(each, ["id"], [T.DoubleType()]), Listed()
+    p.init(h)
+    keys = [None, *(float(i) for i in range(50)), float("nan")]
+    row = lambda k, second, tie, v: Row(id=k, ts=second * 1_000_000, tie=tie, value=v)
+    assert not list(p.handleInputRows((1,), iter([row(k, 5, 0, 7.0) for k in keys]), Now(0)))
+    # all go on but the last two, whose value changes; NaN is the same key again
+    out = list(p.handleInputRows((1,), iter([row(float("nan") if k != k else k, 9, 1, 7.0 if i < 50 else 8.0) for i, k in enumerate(keys)]), Now(0)))
+    assert [tuple(x)[1:] for x in out] == [(0, 1, 7.0, 7.0, 0)] * 2
+    assert h.calls == 4 and h.timers == [15000] and len(h.held) == 52
+    # a key that is due before all others brings the timer forward
+    assert not list(p.handleInputRows((1,), iter([row(-1.0, 2, 2, 1.0)]), Now(0))) and h.timers == [15000, 12000]
+    assert [tuple(x) for x in p.handleExpiredTimer((1,), Now(12000), None)] == [(-1.0, 0, 1, 1.0, 1.0, 0)]
+    assert h.timers == [15000, 12000, 19000] and len(h.held) == 52
+    assert not list(p.handleExpiredTimer((1,), Now(15000), None)) and len(h.held) == 52
+    assert len(list(p.handleExpiredTimer((1,), Now(19000), None))) == 52 and not h.held
+    assert h.timers[-1] == 19000
